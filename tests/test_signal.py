@@ -1,0 +1,59 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from wordloom.functions import signal
+
+RNG = np.random.default_rng(2)
+
+
+def column(spark, xs, expression):
+    rows = spark.createDataFrame([(i, np.asarray(x, np.float32).tolist()) for i, x in enumerate(xs)], "i int, x array<float>")
+    return [r[0] for r in rows.orderBy("i").select(expression).collect()]
+
+
+def test_frames_agree_with_the_envelope(spark):
+    xs = [RNG.normal(size=n) for n in (0, 5, 8, 11, 12, 64)]
+    got = column(spark, xs, signal.frames(F.col("x"), 8, 4))
+    for x, levels in zip(xs, got):
+        assert levels == pytest.approx(signal.envelope(x, 1000, 8.0, 4.0)[0].tolist(), abs=1e-6)
+
+
+def test_fades_agree(spark):
+    xs = [RNG.normal(size=n) for n in (0, 1, 3, 50)]
+    got = column(spark, xs, signal.fade(F.col("x"), F.lit(10), F.lit(1)))
+    for x, y in zip(xs, got):
+        assert y == pytest.approx(signal.faded(x, 1000, 0.01, 0.001).tolist(), abs=1e-6)
+
+
+def test_fit_and_peak(spark):
+    xs = [[1.0, -2.0, 0.5], []]
+    assert column(spark, xs, signal.fit(F.col("x"), F.lit(2))) == [[1.0, -2.0], [0.0, 0.0]]
+    assert column(spark, xs, signal.peak(F.col("x"))) == [2.0, 0.0]
+    assert signal.fitted(np.ones(2, np.float32), 3).tolist() == [1, 1, 0]
+
+
+def test_integers():
+    assert signal.as_float32(np.array([32767, -32767], np.int16)).tolist() == [1.0, -1.0]
+
+
+def test_quietest():
+    x = np.ones(1000, np.float32)
+    x[500:520] = 0.0
+    at, level = signal.quietest(x, 1000, 0.0, 1.0)
+    assert 0.5 <= at <= 0.52 and level == 0.0
+    assert signal.quietest(np.zeros(1000, np.float32), 1000, 0.2, 0.8, 0.5)[0] == pytest.approx(0.5, abs=0.005)
+    assert signal.quietest(x, 1000, 0.8, 0.2) == (0.2, float("inf"))
+    assert signal.quietest(x, 1000, 2.0, 3.0)[1] == float("inf")
+
+
+def test_levels_and_gain():
+    t = np.arange(24_000) / 24_000
+    x = (0.1 * np.sin(2 * np.pi * 200 * t)).astype(np.float32)
+    assert signal.speech_level(x, 24_000) == pytest.approx(0.0707, abs=1e-3)
+    assert signal.speech_level(np.zeros(0, np.float32), 24_000) == 0.0
+    assert signal.speech_level(signal.matched(x, 24_000, 0.14), 24_000) == pytest.approx(0.14, abs=1e-3)
+    assert np.abs(signal.matched(x, 24_000, 100.0)).max() == pytest.approx(10 ** 0.6 * 0.1, abs=1e-3)  # 12 dB at most
+    assert np.abs(signal.matched(x * 9, 24_000, 5.0)).max() == pytest.approx(0.99, abs=1e-6)
+    assert signal.matched(x, 24_000, 0.0) is x
+    assert not signal.carries_content(np.zeros(10, np.float32), 10, 5.0, 6.0)

@@ -159,7 +159,7 @@ ORACLE = {
     "sample_places": f"""WITH {CLIPS}, x AS (SELECT job_id, clip_index, round_even(round(duration, 6) * 24000, 0)::BIGINT AS n_samples FROM clip)
         SELECT *, coalesce(sum(n_samples) OVER (PARTITION BY job_id ORDER BY clip_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_sample FROM x""",
     "lyric_lines": f"""WITH {CLIPS}, x AS (SELECT job_id, clip_index, label, round(out_start, 4) AS a FROM clip WHERE kind = 'tts')
-        SELECT job_id, clip_index, printf('[%02d:%05.2f]', floor(a / 60)::INT, round((a - floor(a / 60) * 60)::DECIMAL(18, 4), 2)::DOUBLE) || replace(label, chr(10), ' ') AS line FROM x""",
+        SELECT job_id, clip_index, printf('[%02d:%05.2f]', floor(a / 60)::INT, round((a - floor(a / 60) * 60)::VARCHAR::DECIMAL(30, 18), 2)::DOUBLE) || replace(label, chr(10), ' ') AS line FROM x""",
     "signal_levels": f"WITH {_FRAMES} SELECT vec_id, frame::INT AS frame, round(level::DOUBLE, 5) AS level FROM f",
     "signal_peaks": "SELECT vec_id, list_max(list_transform(embedding, lambda x: abs(x))) AS peak, 80::INT AS fitted FROM embeddings",
     "signal_percentiles": f"WITH {_FRAMES} SELECT vec_id, round(quantile_cont(level::DOUBLE, 0.75), 5) AS level FROM f WHERE level > 0.005::FLOAT GROUP BY vec_id",
