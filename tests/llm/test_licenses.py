@@ -1,0 +1,76 @@
+import math
+import re
+
+import pytest
+
+from wordloom.llm import licenses
+
+FILES = "path string, text string"
+
+
+def scan(spark, rows, **how):
+    got = licenses.scan(spark.createDataFrame(rows, FILES), **how).collect()
+    return {r["path"]: (r["license"], r["origin"], r["declared_in"]) for r in got}
+
+
+NOISE = [(f"src/m{i}/f{i}.c", f"the terms of value {i} are of the form of this or that work and may not apply") for i in range(40)]
+
+
+def test_headers_files_and_inheritance(spark):
+    rows = [*NOISE, ("LICENSE", "some words\nReleased under the MIT License.\n"), ("a/COPYING.txt", "This work is licensed under the GNU General Public License, version 3."),
+            ("a/b/c/x.c", "int x;"), ("a/b/y.c", "// Licensed under the Apache License, Version 2.0.\nint y;"), ("z.c", "zzz"), ("ab/q.c", "qqq"),
+            ("a/license_plate.c", "words"), ("d/notes.txt", "All rights reserved.")]
+    got = scan(spark, rows)
+    assert got["LICENSE"] == ("MIT", "header", None) and got["z.c"] == ("MIT", "inherited", "") and got["ab/q.c"] == ("MIT", "inherited", "")
+    assert got["a/b/c/x.c"] == ("GPL-3.0", "inherited", "a") and got["a/b/y.c"] == ("Apache-2.0", "header", None)
+    assert got["d/notes.txt"] == ("Proprietary", "header", None) and got["src/m1/f1.c"] == ("MIT", "inherited", "")
+    assert got["a/license_plate.c"] == ("GPL-3.0", "inherited", "a")
+
+
+def test_none_without_notices(spark):
+    assert {v for v in scan(spark, NOISE).values()} == {(None, "none", None)}
+
+
+def brute(rows):
+    """Best cosine of any line or the whole text, by plain dictionaries."""
+    bags = [licenses.words(t) if t is not None else None for _, t in rows]
+    n = sum(b is not None for b in bags)
+    vocabulary = {w for own in licenses.TEMPLATES.values() for t in own for w in licenses.words(t)}
+    idf = lambda w: math.log((1 + n) / (1 + (sum(w in b for b in bags if b) if w in vocabulary else 0))) + 1
+    vector = lambda t: {w: c * idf(w) for w, c in licenses.words(t).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    out = {}
+    for path, text in rows:
+        best = (0.0, None)
+        for unit in [text, *re.split(r"[\r\n]+", text)] if text else []:
+            u = vector(unit)
+            for name, own in licenses.TEMPLATES.items():
+                for t in map(vector, own):
+                    if u and (cos := round(sum(x * t.get(w, 0) for w, x in u.items()) / norm(u) / norm(t), 6)) >= licenses.THRESHOLD and cos > best[0]:
+                        best = (cos, name)
+        out[path] = best
+    return out
+
+
+def test_cosines_against_brute_force(spark):
+    edits = ["Licensed under the Apache License, Version 2.0", "licensed under apache license version 2", "# Released under the MIT License. See file.", "Released under a MIT licence",
+             "This work is licensed under the GNU General Public License, version 2.", "All rights reserved", "Copyright 2020 X. All rights reserved.", "rights are reserved to all",
+             "Licensed under CC BY-NC 4.0. Thanks.", "SPDX-License-Identifier: MIT", "the software is provided as is", ""]
+    rows = [*NOISE, *[(f"e/{i}", f"first line {i}\n{t}\nlast") for i, t in enumerate(edits)], ("w/1", edits[0]), ("w/2", None)]
+    got = {r["path"]: (r["similarity"], r["license"]) for r in licenses.scan(spark.createDataFrame(rows, FILES)).collect() if r["origin"] == "header"}
+    assert got == {k: pytest.approx(v) for k, v in brute(rows).items() if v[1]}
+    assert len(got) >= 8
+
+
+def test_awkward(awkward, empty):
+    got = licenses.scan(awkward, keep=["doc_id", "hash", "license" if "license" in awkward.columns else "label"])
+    assert got.columns[:3] == ["doc_id", "hash", "label"] and got.count() == awkward.count()
+    nulls = awkward.selectExpr("doc_id", "cast(null as string) AS path", "text")
+    assert {(r["path"], r["origin"]) for r in licenses.scan(nulls).collect()} == {("", "none")}
+    assert licenses.scan(empty).count() == 0
+
+
+def test_repeated_rows(spark):
+    rows = [("LICENSE", "Released under the MIT License.")] * 3 + [("x", "y")] * 2 + NOISE
+    got = [(r["path"], r["license"], r["similarity"]) for r in licenses.scan(spark.createDataFrame(rows, FILES)).collect() if r["path"] in ("LICENSE", "x")]
+    assert sorted(got) == [("LICENSE", "MIT", 1.0)] * 3 + [("x", "MIT", 1.0)] * 2
