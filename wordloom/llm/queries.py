@@ -16,9 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def modest_batches(spark: SparkSession) -> None:
-    """Few rows in an Arrow batch: texts can be long, and memory stays bounded by bytes, not by rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+def modest_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Arrow batches of few rows and 16 MB at most: texts can be long, and memory stays bounded by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
@@ -80,8 +80,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    modest_batches(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # whole archives of some MB
+    modest_batches(spark, 4096)
     merged = warc.archive(table(spark, sf_dir, "pages"))
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -13,7 +13,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,22 +128,26 @@ def _order(row: tuple) -> tuple:
     return row[0], row[1], row[2] is None, row[2] or 0, row[7], row[8]
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=[x.split()[0] for x in INDEX.split(", ")])
-    return frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+_ARROW = {"string": pa.string(), "long": pa.int64()}
+_FIELDS = pa.schema([(name, _ARROW[kind]) for name, kind in (x.split() for x in INDEX.split(", "))])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else ((),) * len(_FIELDS)
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _FIELDS)], schema=_FIELDS)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """The captures of every archive under ``path``, each archive's in order: its run. Payloads are verified."""
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"]):
-                archive = name.rsplit("/", 1)[-1]
-                data = zlib.decompress(content, 31)
-                yield _frame(sorted((_capture(archive, *x) for x in parse_records(data)), key=_order))
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path"), batch.column("content")):
+                archive = name.as_py().rsplit("/", 1)[-1]
+                data = zlib.decompress(content.as_buffer(), 31)
+                yield _batch(sorted((_capture(archive, *x) for x in parse_records(data)), key=_order))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("path", "content").mapInPandas(parse, INDEX)
+    return files.select("path", "content").mapInArrow(parse, INDEX)
 
 
 class LoserTree:
@@ -195,23 +199,23 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     ``runs`` must be materialised. A range holds about 200,000 captures, whatever the number of
     runs; equal keys can cross ranges because times and page ids are part of the order.
     """
-    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices: dict[str, list[tuple]] = {}
-        for frame in frames:
-            for row in frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None):
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
                 slices.setdefault(row[7], []).append(row)
         ordered = [sorted(x, key=_order) for _, x in sorted(slices.items())]  # linear where a slice kept its order
         chunk: list[tuple] = []
         for row in LoserTree([iter(x) for x in ordered], _order):
             chunk.append(row)
             if len(chunk) == 10_000:
-                yield _frame(chunk)
+                yield _batch(chunk)
                 chunk = []
-        yield _frame(chunk)
+        yield _batch(chunk)
 
     ranges = max(-(-runs.count() // CAPTURES_PER_RANGE),
                  int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return runs.repartitionByRange(ranges, "url_key", "captured_at", "page_id", "archive", "offset").mapInPandas(merge, INDEX)
+    return runs.repartitionByRange(ranges, "url_key", "captured_at", "page_id", "archive", "offset").mapInArrow(merge, INDEX)
 
 
 def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
