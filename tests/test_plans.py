@@ -79,7 +79,7 @@ def test_edit_list(spark):
     got = rows.orderBy("clip_index").collect()
     assert [r["kind"] for r in got] == ["source", *["source", "silence", "tts", "silence"] * 2, "source"]
     assert got[-1]["src_end"] == pytest.approx(len(tone(SIMPLE)) / RATE)
-    stats = edits.plan_stats(rows, made).first()
+    stats = edits.plan_stats(edits.parts(made, Params())).first()
     assert (stats["translated_segments"], stats["skipped_segments"]) == (2, 1)
     freeze = {r["clip_index"]: r["freeze_at"] for r in edits.freeze_times(rows).collect()}
     assert freeze[0] is None and freeze[2] == freeze[3] == got[1]["src_end"]

@@ -32,7 +32,7 @@ def test_blank_dropped(spark):
     assert [r[0] for r in runs(spark, ("  ", 0.0, 0.1), ("a", 0.2, 0.3))] == ["a"]
 
 
-def test_both_paths_agree(spark):
+def test_windows_agree_with_the_fold(spark):
     rnd, rows, at = random.Random(1), [], 0.0
     for i in range(200):
         at += rnd.choice([0.1, 0.8, 0.9, -0.05])

@@ -50,14 +50,21 @@ def nonblank(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
+_AFTER = r"\s*[\"')\]}»”’]*$"
+_MARK = rf"(?U)[{TERMINAL}]{_AFTER}"
+_PERIOD = rf"(?U)\.{_AFTER}"
+_TOKEN = rf"(?U)(\S+)\s*\.{_AFTER}"
+
+
 def ends_sentence(c: Column) -> Column:
-    """Whether a word ends in a terminal mark, closers aside, that isn't an abbreviation's or an initial's."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"[\"')\]}»”’]+$", ""), r"(?U)\s+$", "")
-    mark = F.substring(bare, -1, 1)
-    token = F.regexp_extract(F.regexp_replace(bare, r"\.$", ""), r"(?U)(\S+)\s*$", 1)
+    """Whether a word ends in a terminal mark, closers aside, that isn't an abbreviation's or an initial's.
+
+    Most words are settled by the first pattern; only those that end in a period need their token.
+    """
+    token = F.regexp_extract(c, _TOKEN, 1)
     short = F.regexp_replace(F.lower(token), r"^[(\[{]+|[(\[{]+$", "").isin(ABBREVIATIONS)
     initial = token.rlike(r"^\p{L}$")
-    return F.coalesce(mark.isin(list(TERMINAL)) & ~((mark == ".") & (short | initial)), F.lit(False))
+    return F.coalesce(F.when(~c.rlike(_MARK), False).when(~c.rlike(_PERIOD), True).otherwise(~(short | initial)), F.lit(False))
 
 
 def punctuation_weight(lang: Column) -> Column:

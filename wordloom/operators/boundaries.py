@@ -17,21 +17,20 @@ def score_boundaries(words: DataFrame, p: Params, *, lang: Column | None = None,
     output. Without it punctuation and pause alone count. A negative pause lowers the score.
     A job's last word scores 1. The order of operations is fixed, so doubles agree everywhere.
     """
-    w = by_job("word_index")
-    after = F.lead("start").over(w)
-    pause = F.coalesce(after - F.col("end"), F.lit(float("inf")))
+    # Each of these stands in a projection of its own, so that it is evaluated once.
+    rows = words.withColumn("has_terminal_punct", ends_sentence(F.col("text")))
+    rows = rows.withColumn("__after", F.lead("start").over(by_job("word_index")))
+    mark, last = F.col("has_terminal_punct"), F.col("__after").isNull()
+    pause = F.coalesce(F.col("__after") - F.col("end"), F.lit(float("inf")))
     share = F.least(F.lit(1.0), pause / F.lit(p.pause_saturation)) if p.pause_saturation else F.lit(0.0)
     text = F.coalesce(F.col(probability), F.lit(0.0)) if probability else F.lit(0.0)
     weight = punctuation_weight(lang if lang is not None else F.lit("en"))
-    mark = ends_sentence(F.col("text"))
     fused = 1.0 - (1.0 - text) * (1.0 - F.when(mark, weight).otherwise(0.0)) * (1.0 - F.lit(p.pause_weight) * share)
-    last = after.isNull()
     source = F.when(last, "eof").when(mark & F.lit(probability is None), "punctuation").otherwise("fused")
-    return words.withColumns({
+    return rows.withColumns({
         "score": F.when(last, 1.0).otherwise(F.least(F.lit(1.0), fused)),
         "sat_prob": text if probability else F.lit(None).cast("double"),
-        "pause_after": F.when(last, 0.0).otherwise(pause),
-        "has_terminal_punct": mark, "source": source})
+        "pause_after": F.when(last, 0.0).otherwise(pause), "source": source}).drop("__after")
 
 
 def probabilities_at_words(words: DataFrame, char_probs: DataFrame, separator: str = " ") -> DataFrame:

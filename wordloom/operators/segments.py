@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import strip
-from wordloom.operators.folds import ordered_fold, segment_ranges
-from wordloom.operators.words import as_arrays, by_job
+from wordloom.operators.folds import segment_ranges
+from wordloom.operators.words import by_job
 from wordloom.params import Params
 
 BOUNDARY = ["source", "score", "sat_prob", "pause_after", "has_terminal_punct"]
@@ -28,53 +29,52 @@ def number_segments(split_words: DataFrame) -> DataFrame:
     return split_words.withColumn("seg_index", F.coalesce(F.sum(F.col("is_split").cast("int")).over(before), F.lit(0)).cast("int"))
 
 
-def constrained(candidates: DataFrame, p: Params) -> DataFrame:
-    """``job_id, word_index, seg_index`` after merging short ranges and dividing long ones.
-
-    What a range absorbs depends on what it has absorbed already, so it is a fold over a job's
-    words. Only numbers go through it; texts join again afterwards.
-    """
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        ranges = segment_ranges(*as_arrays(frame, "start", "end", "score"), p)
-        seg = [i for i, (a, b) in enumerate(ranges) for _ in range(a, b)]
-        return pd.DataFrame({"job_id": frame["job_id"], "word_index": frame["word_index"], "seg_index": seg})
-
-    numbers = candidates.select("job_id", "word_index", "start", "end", "score")
-    return ordered_fold(numbers, ["job_id"], ["word_index"], fold, "job_id long, word_index int, seg_index int")
+def _closing() -> Column:
+    return F.struct(*[F.col(c) for c in BOUNDARY], (F.col("source") == "llm").alias("llm_reviewed"))
 
 
-def rebuild(segment_words: DataFrame, p: Params, separator: str = " ") -> DataFrame:
-    """One row per segment: range, text, first start, last end, closing boundary, kind.
+def _assembled(rows: DataFrame, p: Params, separator: str) -> DataFrame:
+    """Segments from ``job_id, seg_index`` and ``w``, the ordered array of their words.
 
-    ``segment_words`` are candidates with ``seg_index``. A blank segment, or one with both few
-    words and little time, is ``skip``; it keeps its sound and isn't translated. Ids derive
-    from job and place, so reruns agree.
+    A blank segment, or one with both few words and little time, is ``skip``; it keeps its
+    sound and isn't translated. Ids derive from job and place, so reruns agree.
     """
-    boundary = F.struct(*[F.col(c) for c in BOUNDARY], (F.col("source") == "llm").alias("llm_reviewed"))
-    at = F.struct("word_index", "text", "start", "end", boundary.alias("boundary"))
-    grouped = segment_words.groupBy("job_id", "seg_index").agg(
-        F.min("word_index").alias("word_start"), (F.max("word_index") + 1).alias("word_end"),
-        strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "text"))), lambda x: x["text"]), separator)).alias("text"),
-        F.min_by(at, "word_index").alias("first"), F.max_by(at, "word_index").alias("last"))
+    first, last = F.get("w", F.lit(0)), F.element_at("w", -1)
+    rows = rows.select(
+        "job_id", "seg_index", first["word_index"].alias("word_start"), (last["word_index"] + 1).alias("word_end"),
+        strip(F.array_join("w.text", separator)).alias("text"), first["start"].alias("start"), last["end"].alias("end"),
+        (first["end"] - first["start"]).alias("first_seconds"), (last["end"] - last["start"]).alias("last_seconds"),
+        last["boundary"].alias("boundary"))
     count, seconds = F.col("word_end") - F.col("word_start"), F.col("end") - F.col("start")
     unusable = (F.col("text") == "") | (count < p.min_words) & (seconds < p.min_duration)
-    return (grouped.withColumns({"start": F.col("first.start"), "end": F.col("last.end")})
-            .select("job_id", "seg_index",
-                    F.substring(F.sha2(F.concat_ws("/", "job_id", "seg_index").cast("binary"), 256), 1, 8).alias("id"),
-                    "word_start", "word_end", "text", "start", "end",
-                    (F.col("first.end") - F.col("first.start")).alias("first_seconds"),
-                    (F.col("last.end") - F.col("last.start")).alias("last_seconds"),
-                    F.col("last.boundary").alias("boundary"), F.when(unusable, "skip").otherwise("speech").alias("kind")))
+    name = F.substring(F.sha2(F.concat_ws("/", "job_id", "seg_index").cast("binary"), 256), 1, 8)
+    return rows.withColumns({"id": name, "kind": F.when(unusable, "skip").otherwise("speech")})
 
 
 def sentences(candidates: DataFrame, p: Params, separator: str = " ") -> DataFrame:
     """Segments by scores and pauses alone: window functions only."""
-    return rebuild(number_segments(with_splits(candidates, p)), p, separator)
+    word = F.struct("word_index", "text", "start", "end", _closing().alias("boundary"))
+    rows = (number_segments(with_splits(candidates, p)).groupBy("job_id", "seg_index")
+            .agg(F.array_sort(F.collect_list(word), lambda x, y: x["word_index"] - y["word_index"]).alias("w")))
+    return _assembled(rows, p, separator)
 
 
 def segment(candidates: DataFrame, p: Params, separator: str = " ") -> DataFrame:
-    """Segments under all constraints."""
-    return rebuild(candidates.join(constrained(candidates, p), ["job_id", "word_index"]), p, separator)
+    """Segments under all constraints: short ranges merged, long ones divided.
+
+    What a range absorbs depends on what it has absorbed already, so ranges are folded over a
+    job's words: times and scores go in as arrays, range ends come out, and the words are cut
+    by them in place. Nothing joins and rows shuffle once, by job.
+    """
+    def fold(start: pd.Series, end: pd.Series, score: pd.Series) -> pd.Series:
+        return pd.Series([[b for _, b in segment_ranges(*(np.asarray(x, float) for x in job), p)] for job in zip(start, end, score)], dtype=object)
+
+    word = F.struct("word_index", "text", "start", "end", _closing().alias("boundary"))
+    jobs = candidates.groupBy("job_id").agg(F.array_sort(F.collect_list(word), lambda x, y: x["word_index"] - y["word_index"]).alias("words"))
+    ends = F.pandas_udf(fold, "array<int>")(F.col("words.start"), F.col("words.end"), F.col("words.boundary.score"))
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get("ends", i - 1))
+    parts = F.transform("ends", lambda e, i: F.struct(i.alias("seg_index"), F.slice("words", begin(i) + 1, e - begin(i)).alias("w")))
+    return _assembled(jobs.withColumn("ends", ends).select("job_id", F.inline(parts)), p, separator)
 
 
 def translatable(segments: DataFrame) -> DataFrame:

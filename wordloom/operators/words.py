@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import zlib
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import invented, nonblank, strip
-from wordloom.operators.folds import RUN_GAP, accepted, fill_times, ordered_fold, runs_of
+from wordloom.operators.folds import RUN_GAP, accepted
 
 #: A run of at least so many bytes that compresses by more than this factor is a stuck decoder's.
 DEGENERATE_BYTES, DEGENERATE_RATIO = 40, 2.4
@@ -42,56 +41,66 @@ def drop_blank(chunks: DataFrame) -> DataFrame:
 def with_runs(chunks: DataFrame, gap: float = RUN_GAP) -> DataFrame:
     """``job_id, pos, text, start, end, run``: missing times filled, a run for each stretch without a long pause.
 
-    Filling is a fold only where a start is missing, because a filled time depends on the word
-    before. Jobs without missing starts take the window path; both give the same rows.
+    A missing start is the previous word's end (0 at first), a missing end the start, and no
+    end precedes its start. So from each word with a start up to the next, ends are the running
+    maximum of what ends are known: a window over those stretches, not a fold.
     """
     clean = drop_blank(chunks)
-    holes = clean.filter(F.col("start").isNull()).select("job_id").distinct()
-    schema = "job_id long, pos int, text string, start double, end double, run int"
+    w = by_job("pos")
+    anchored = clean.withColumn("stretch", F.count("start").over(w))
+    known = F.when(F.col("start").isNull(), F.col("end")).otherwise(F.greatest("end", "start"))
+    upto = Window.partitionBy("job_id", "stretch").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    reached = F.max(known).over(upto)
+    filled = anchored.withColumn("reach", F.when(F.col("stretch") == 0, F.greatest(reached, F.lit(0.0))).otherwise(reached))
+    before = F.lag("reach").over(w)
+    filled = filled.withColumns({"before": before, "start": F.coalesce("start", before, F.lit(0.0))}).withColumn("end", F.coalesce("reach", "start"))
+    breaks = F.coalesce((F.col("start") - F.col("before") > gap).cast("int"), F.lit(0))
+    return filled.withColumn("run", F.sum(breaks).over(w).cast("int")).select("job_id", "pos", "text", "start", "end", "run")
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        start, end = fill_times(frame["start"].tolist(), frame["end"].tolist())
-        return frame.assign(start=start, end=end, run=runs_of(start, end, gap))[[x.split()[0] for x in schema.split(", ")]]
 
-    folded = ordered_fold(clean.join(holes, "job_id", "left_semi"), ["job_id"], ["pos"], fold, schema)
-    w = by_job("pos")
-    whole = (clean.join(holes, "job_id", "left_anti")
-             .withColumn("end", F.greatest(F.coalesce("end", "start"), "start"))
-             .withColumn("run", F.sum(F.coalesce((F.col("start") - F.lag("end").over(w) > gap).cast("int"), F.lit(0)))
-                         .over(w).cast("int"))
-             .select("job_id", "pos", "text", "start", "end", "run"))
-    return whole.unionByName(folded)
+def _run_words(words: DataFrame) -> DataFrame:
+    """``job_id, run, text, words``: each run's words in order, and their texts joined by spaces."""
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "text", "start", "end")))
+    return words.groupBy("job_id", "run").agg(ordered.alias("words")).withColumn("text", strip(F.array_join("words.text", " ")))
 
 
 def run_texts(words: DataFrame) -> DataFrame:
-    """``job_id, run, text, n_words``: each run's words joined by spaces."""
-    return words.groupBy("job_id", "run").agg(
-        strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")).alias("text"),
-        F.count(F.lit(1)).alias("n_words"))
+    """``job_id, run, text, n_words`` of each run."""
+    return _run_words(words).select("job_id", "run", "text", F.size("words").cast("long").alias("n_words"))
+
+
+def _rejected(text: Column) -> Column:
+    return invented(text) | degenerate(text)
 
 
-def judged_runs(runs: DataFrame, extra: Column | None = None) -> DataFrame:
-    """``job_id, run, text, kept``: invented, degenerate and just repeated texts are not kept.
+def _with_kept(runs: DataFrame, *carry: str) -> DataFrame:
+    """``job_id`` and the array ``runs`` of (run, text, bad, *carry, kept) in order.
 
-    A repeat is compared with the last two runs that were kept, so it is a fold over a job's runs.
+    A repeat is compared with the last two runs that were kept, so flags are folded over a
+    job's runs: one array in, one out.
     """
-    bad = invented(F.col("text")) | degenerate(F.col("text"))
-    if extra is not None:
-        bad = bad | extra
-    marked = runs.select("job_id", "run", "text", bad.alias("bad"))
+    def each(texts: pd.Series, bads: pd.Series) -> pd.Series:
+        return pd.Series([accepted(list(t), list(b)) for t, b in zip(texts, bads)], dtype=object)
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.assign(kept=accepted(frame["text"].tolist(), frame["bad"].tolist()))[["job_id", "run", "text", "kept"]]
+    marked = runs.withColumn("bad", _rejected(F.col("text")))
+    jobs = marked.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("run", "text", "bad", *carry))).alias("runs"))
+    kept = F.pandas_udf(each, "array<boolean>")(F.col("runs.text"), F.col("runs.bad"))
+    return jobs.withColumn("flags", kept).select("job_id", F.zip_with("runs", "flags", lambda r, k: r.withField("kept", k)).alias("runs"))
 
-    return ordered_fold(marked, ["job_id"], ["run"], fold, "job_id long, run int, text string, kept boolean")
+
+def judged_runs(runs: DataFrame) -> DataFrame:
+    """``job_id, run, text, kept``: invented, degenerate and just repeated texts are not kept."""
+    return _with_kept(runs).select("job_id", F.inline("runs")).select("job_id", "run", "text", "kept")
 
 
 def collect_words(chunks: DataFrame) -> DataFrame:
-    """``job_id, word_index, text, start, end`` of the kept runs, stably ordered by start and end."""
-    timed = with_runs(chunks)
-    kept = judged_runs(run_texts(timed)).filter("kept").select("job_id", "run")
-    return (timed.join(kept, ["job_id", "run"], "left_semi")
-            .withColumn("word_index", F.row_number().over(by_job("start", "end", "pos")) - 1)
+    """``job_id, word_index, text, start, end`` of the kept runs, stably ordered by start and end.
+
+    Rows shuffle once, by job; runs and words travel as arrays inside it.
+    """
+    kept = _with_kept(_run_words(with_runs(chunks)), "words").select("job_id", F.filter("runs", lambda r: r["kept"]).alias("runs"))
+    rows = kept.select("job_id", F.inline(F.flatten(F.transform("runs", lambda r: r["words"]))))
+    return (rows.withColumn("word_index", F.row_number().over(by_job("start", "end", "pos")) - 1)
             .select("job_id", "word_index", "text", "start", "end"))
 
 
@@ -99,9 +108,11 @@ def from_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Words with made-up times for each text: ``job_id, word_index, text, start, end, start_ms, end_ms``.
 
     Durations and gaps are integers of milliseconds computed from key, place and length; rare
-    gaps are long or negative. Times divide once, so any engine gets the same doubles.
+    gaps are long or negative. Times divide once, so any engine gets the same doubles. Texts
+    are dealt by job before they are split: what follows needs its rows by job, and whole texts
+    shuffle smaller than their words.
     """
-    split = docs.select(F.col(key).alias("job_id"), F.posexplode(F.filter(F.split("text", r"[ \t\n]+"), lambda x: x != "")).alias("word_index", "text"))
+    split = docs.select(key, "text").repartition(key).select(F.col(key).alias("job_id"), F.posexplode(F.filter(F.split("text", r"[ \t\n]+"), lambda x: x != "")).alias("word_index", "text"))
     h = (F.col("job_id") * 7919 + F.col("word_index") * 104729) % 1000
     gap = F.when(h < 5, 2500).when(h < 20, 900).when(h < 30, -40).otherwise(20 + h % 200)
     timed = split.withColumns({"dur": 80 + 40 * F.length("text"), "gap": gap})
@@ -111,6 +122,3 @@ def from_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             .select("job_id", "word_index", "text", (F.col("start_ms") / 1000.0).alias("start"),
                     (F.col("end_ms") / 1000.0).alias("end"), "start_ms", "end_ms"))
 
-
-def as_arrays(frame: pd.DataFrame, *columns: str) -> list[np.ndarray]:
-    return [frame[c].to_numpy(float) for c in columns]

@@ -78,14 +78,16 @@ def quiet_seams(bounds: DataFrame, audio: DataFrame, rate: int, chunk: int) -> D
             .mapInPandas(search, "job_id long, seg_index int, cut double, level double"))
 
 
-def cuts(segments: DataFrame, p: Params, durations: DataFrame, seams: DataFrame | None = None, silence: float = 0.005) -> DataFrame:
+def cuts(segments: DataFrame, p: Params, durations: DataFrame | None = None, seams: DataFrame | None = None, silence: float = 0.005) -> DataFrame:
     """Segments with ``src_in, src_out, hard_in, hard_out``.
 
-    ``durations`` has ``job_id, media_end``. ``seams`` comes from :func:`quiet_seams`; without
+    ``durations`` has ``job_id, media_end``; without it the segments carry ``media_end``. ``seams`` comes from :func:`quiet_seams`; without
     sound the seam is cut at its centre, softly. Neighbours share a seam's cut; a segment is
     never inverted.
     """
-    bounds = boundaries(segments, p).join(durations, "job_id")
+    bounds = boundaries(segments, p)
+    if durations is not None:
+        bounds = bounds.join(durations, "job_id")
     if seams is None:
         bounds = bounds.withColumns({"cut": F.greatest(F.lit(0.0), "centre"), "level": F.lit(0.0)})
     else:

@@ -12,6 +12,8 @@ from wordloom.plans.cuts import previous_out
 
 #: What is left after the last segment is kept if longer than this.
 LEAST_OUTRO = 0.05
+#: Place of a segment's own sound among its clips.
+SOUND = 1
 TOLERANCE, SPAN_TOLERANCE = 1e-6, 1e-3
 
 
@@ -23,13 +25,13 @@ def _clip(order: int, kind: str, duration: Column, **values: Column) -> Column:
                     *[values.get(k, plain.get(k, F.lit(None))).cast(t).alias(k) for k, t in none.items()])
 
 
-def clips(cut_segments: DataFrame, p: Params, *, keep_bridge: Column | None = None, keep_outro: Column | None = None,
+def parts(cut_segments: DataFrame, p: Params, *, keep_bridge: Column | None = None, keep_outro: Column | None = None,
           selected: DataFrame | None = None, bridge_from_zero: bool = False) -> DataFrame:
-    """Clips in order with ``clip_index`` and ``out_start``.
+    """What each segment puts into the list: ``job_id, seg_index, media_end, hard, part`` and a clip's fields.
 
     Each segment gives up to five clips: a bridge over a long gap before it, its own sound, and
-    silence, translation, silence if it has one; after the last comes an outro. Clips without
-    length are left out; the others' running sum is each one's start.
+    silence, translation, silence if it has one; after the last comes an outro. Some may have
+    no length.
 
     ``keep_bridge`` and ``keep_outro`` say whether the sound there has content (true without
     them). ``selected`` (``job_id, id``) restricts the list and drops the outro; the first
@@ -47,32 +49,40 @@ def clips(cut_segments: DataFrame, p: Params, *, keep_bridge: Column | None = No
     bridge = (gap > p.max_source_gap) & (F.coalesce(keep_bridge, F.lit(True)) if keep_bridge is not None else F.lit(True))
     rest = F.col("media_end") - F.col("src_out")
     outro = F.col("__last") & (rest > LEAST_OUTRO) & F.lit(selected is None) & (keep_outro if keep_outro is not None else F.lit(True))
-    parts = F.array(
+    made = F.array(
         F.when(bridge, _clip(0, "source", gap, src_start=start, src_end=F.col("src_in"),
                              fade_in=F.when(F.col("prev_out").isNull(), 0.0).otherwise(soft), fade_out=soft)),
-        _clip(1, "source", F.col("src_out") - F.col("src_in"), src_start=F.col("src_in"), src_end=F.col("src_out"), segment_id=F.col("id"),
+        _clip(SOUND, "source", F.col("src_out") - F.col("src_in"), src_start=F.col("src_in"), src_end=F.col("src_out"), segment_id=F.col("id"),
               fade_in=F.when(F.col("hard_in"), hard).otherwise(soft), fade_out=F.when(F.col("hard_out"), hard).otherwise(soft)),
         F.when(spoken, _clip(2, "silence", F.lit(p.pre_gap))),
         F.when(spoken, _clip(3, "tts", F.col("tts_duration") / F.greatest(F.lit(p.tts_speed), F.lit(0.01)), path=F.col("tts_path"),
                              segment_id=F.col("id"), label=F.col("translation"), fade_in=soft, fade_out=soft)),
         F.when(spoken, _clip(4, "silence", F.lit(p.post_gap))),
         F.when(outro, _clip(5, "source", rest, src_start=F.col("src_out"), src_end=F.col("media_end"), fade_in=soft)))
-    flat = (rows.select("job_id", "seg_index", F.explode(parts).alias("c")).filter("c is not null and c.duration > 0")
-            .select("job_id", "seg_index", "c.*"))
+    return rows.select("job_id", "seg_index", "media_end", F.col("hard_out").alias("hard"), F.inline(F.filter(made, lambda c: c.isNotNull())))
+
+
+def in_order(part_rows: DataFrame) -> DataFrame:
+    """Clips with ``clip_index`` and ``out_start``, the running sum of the durations before; those without length are left out."""
     w = Window.partitionBy("job_id").orderBy("seg_index", "part")
     before = F.coalesce(F.sum("duration").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return (flat.withColumns({"clip_index": F.row_number().over(w) - 1, "out_start": before})
+    return (part_rows.filter("duration > 0").withColumns({"clip_index": F.row_number().over(w) - 1, "out_start": before})
             .select("job_id", "clip_index", "kind", "out_start", "duration", "src_start", "src_end", "path", "segment_id",
                     "fade_in", "fade_out", "label"))
 
 
-def plan_stats(clip_rows: DataFrame, cut_segments: DataFrame) -> DataFrame:
-    """Per job: durations, translated and skipped segments, hard splices, expansion (0 without a source)."""
-    made = clip_rows.groupBy("job_id").agg(F.sum("duration").alias("output_duration"),
-                                           F.count_if(F.col("kind") == "tts").alias("translated_segments"))
-    held = cut_segments.groupBy("job_id").agg(F.max("media_end").alias("source_duration"), F.count(F.lit(1)).alias("n"),
-                                              F.count_if("hard_out").alias("hard_splices"))
-    out = held.join(made, "job_id", "left").fillna(0, ["output_duration", "translated_segments"])
+def clips(cut_segments: DataFrame, p: Params, **options) -> DataFrame:
+    """The edit list of each job; options as for :func:`parts`."""
+    return in_order(parts(cut_segments, p, **options))
+
+
+def plan_stats(part_rows: DataFrame) -> DataFrame:
+    """Per job, from :func:`parts`: durations, translated and skipped segments, hard splices, expansion (0 without a source)."""
+    own = F.col("part") == SOUND
+    out = part_rows.groupBy("job_id").agg(
+        F.max("media_end").alias("source_duration"), F.sum(F.greatest("duration", F.lit(0.0))).alias("output_duration"),
+        F.count_if(F.col("kind") == "tts").alias("translated_segments"), F.count_if(own).alias("n"),
+        F.count_if(own & F.col("hard")).alias("hard_splices"))
     ratio = F.when(F.col("source_duration") > 0, F.col("output_duration") / F.col("source_duration")).otherwise(0.0)
     return out.select("job_id", "source_duration", "output_duration", "translated_segments",
                       (F.col("n") - F.col("translated_segments")).alias("skipped_segments"), "hard_splices", ratio.alias("expansion_ratio"))

@@ -7,7 +7,7 @@ embeddings short signals, parts changes of parameters.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions import signal, text
@@ -221,8 +221,7 @@ def invalidated_stages(spark, sf_dir):
 
 def _cut(spark, sf_dir) -> DataFrame:
     segs = segments.sentences(candidates(spark, sf_dir), P)
-    media = segs.groupBy("job_id").agg((F.max("end") + 3.0).alias("media_end"))
-    made = cuts.cuts(segs, P, media)
+    made = cuts.cuts(segs.withColumn("media_end", F.max("end").over(Window.partitionBy("job_id")) + 3.0), P)
     return made.withColumns({
         "translation": F.when((F.col("kind") == "speech") & (F.col("seg_index") % 5 != 4), F.concat(F.lit("T:"), "text")),
         "tts_duration": F.length("text") * 0.0625, "tts_path": F.concat(F.lit("tts/"), "job_id", F.lit("-"), "seg_index", F.lit(".wav"))})
@@ -243,8 +242,7 @@ def edit_list(spark, sf_dir):
 
 
 def plan_stats(spark, sf_dir):
-    made = _cut(spark, sf_dir)
-    return edits.plan_stats(edits.clips(made, P), made).select(
+    return edits.plan_stats(edits.parts(_cut(spark, sf_dir), P)).select(
         "job_id", _rounded("source_duration"), _rounded("output_duration"), "translated_segments", "skipped_segments", "hard_splices")
 
 
