@@ -73,3 +73,15 @@ def test_empty(empty):
 def test_sources_without_words(spark):
     rows = spark.createDataFrame([(1, "", "a"), (2, None, "b")], "doc_id long, text string, source string")
     assert [(r["target"], r["taken"]) for r in mixing.mix(rows).collect()] == [(0.0, 0)] * 2
+
+
+def test_repeats_among_equal_keys(spark):
+    rows = spark.createDataFrame([(1, f"a b c d {i}", "s", i) for i in range(30)] + [(2, "x y", "t", 0)] * 5, "doc_id long, text string, source string, n int")
+    taken = mixing.mix(rows, weights=(1, 3))
+    out = mixing.repeat_rows(rows, taken).collect()
+    want = Counter()
+    for r in taken.collect():
+        want[r["doc_id"]] += r["copies"]
+    assert Counter(r["doc_id"] for r in out) == +want
+    times = Counter(r["n"] for r in out if r["doc_id"] == 1)
+    assert max(times.values()) - min(times.get(i, 0) for i in range(30)) == 1

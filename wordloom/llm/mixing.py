@@ -98,23 +98,31 @@ def mix(docs: DataFrame, *, size: Column | None = None, source: str = "source",
 
 
 def repeat_rows(docs: DataFrame, taken: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` as often as ``taken`` says, with the columns of ``docs``.
+    """Rows of ``docs`` as often as ``taken`` (by :func:`mix`) says, with the columns of ``docs``.
 
-    Rows sharing a key are matched to their counts one to one by source, size and running
-    number, so repeated rows aren't multiplied by each other.
+    Rows that share key, source and size are alike to the mix, which takes the first few of them
+    once more than the rest; only where a source's last row falls among such rows, so at most
+    once in each source, are they told apart by a running number over their other columns.
     """
-    columns = docs.columns
-    match = ["__k", "__s", "__size", "__n"]
-
-    def numbered(df: DataFrame, size: Column, order: list[Column]) -> DataFrame:
-        df = df.withColumns({"__k": F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("~")),
-                             "__s": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("~")),
-                             "__size": size})
-        return df.withColumn("__n", F.row_number().over(
-            Window.partitionBy("__k", "__s", "__size").orderBy(*order)))
-
-    left = numbered(docs, word_count(F.col("text")), [F.xxhash64("text"), F.col("text")])
-    right = numbered(taken, F.col("size"), [F.col("copies").desc()]).select(*match, F.col("copies").alias("__copies"))
-    return (left.join(right, match).filter("__copies > 0")
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-            .select(*[F.col(f"`{c}`") for c in columns]))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    match = ["__k", "__s", "__size"]
+
+    def matched(df: DataFrame, size: Column) -> DataFrame:
+        name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~"))
+        return df.withColumns({"__k": name(key), "__s": name("source"), "__size": size})
+
+    fates = (matched(taken, F.col("size")).groupBy(*match)
+             .agg(F.min("copies").alias("__low"), F.max("copies").alias("__high"), F.sum("copies").alias("__sum"), F.count(F.lit(1)).alias("__n")))
+    fates = materialize(fates.filter("__high > 0").withColumn("__more", F.col("__sum") - F.col("__low") * F.col("__n")).drop("__sum", "__n"), "mix-fates")
+    marked = matched(docs, word_count(F.col("text")))
+    # One row for each different document: never broadcast, so that all sizes run alike.
+    out = (marked.join(fates.filter("__low = __high").hint("merge"), match)
+           .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__high")))).select(*columns))
+    torn = fates.filter("__low < __high")
+    if torn.isEmpty():
+        return out
+    place = F.row_number().over(Window.partitionBy(*match).orderBy(F.xxhash64("text"), *columns))
+    some = (join_small(marked, torn, match).withColumn("__place", place)
+            .withColumn("__times", F.when(F.col("__place") <= F.col("__more"), F.col("__high")).otherwise(F.col("__low")))
+            .filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*columns))
+    return out.unionByName(some)
