@@ -61,7 +61,7 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed,block", [(0, 512), (1, 512), (2, 7), (3, 16)])
+@pytest.mark.parametrize("seed,block", [(0, 512), (2, 7)])
 def test_against_all_pairs(spark, monkeypatch, seed, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
     texts = corpus(seed)

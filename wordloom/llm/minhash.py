@@ -18,6 +18,8 @@ BANDS = COORDINATES // ROWS
 THRESHOLD = 0.8
 #: Darts that a text gets on average in a throw: all coordinates are hit in one with high probability.
 DARTS = COORDINATES * (np.log(COORDINATES) + 2.5)
+#: Strips that expect up to so many darts are thrown at in turns; others in matrices of so many cells.
+TURNS, CELLS = 6.0, 1 << 18
 MASK = (1 << 64) - 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -27,6 +29,39 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
+def _darts(seed: np.ndarray, limit: np.ndarray, wide: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Which strip, rank and id of all darts of a region up to each strip's limit.
+
+    Strips that expect few darts are thrown at together, one dart each a turn, until none
+    falls short of its limit. Those that expect many get theirs as rows of a matrix. Gaps add
+    up in the same order either way, so a strip's darts are the same in every text.
+    """
+    many = np.flatnonzero(limit * wide > TURNS)
+    step = np.uint64(int(_GOLD))
+    for size in np.unique(np.ceil(np.log2(limit[many] * wide))).astype(int):
+        own = many[np.ceil(np.log2(limit[many] * wide)).astype(int) == size]
+        width = int(2.0 ** size + 7 * 2.0 ** (size / 2) + 20)  # beyond the limit in all but 1e-11 of strips
+        for at in range(0, len(own), max(1, CELLS // width)):
+            strip, n = own[at:at + max(1, CELLS // width)], np.arange(1, width + 1, dtype=np.uint64)
+            while len(strip):
+                dart = mix(seed[strip, None] + n * step)
+                rank = np.cumsum(-np.log(_uniform(dart)) / wide, axis=1)
+                fell = rank <= limit[strip, None]
+                short = fell[:, -1]
+                row, column = np.nonzero(fell & ~short[:, None])
+                yield strip[row], rank[row, column], dart[row, column]
+                strip, n = strip[short], np.arange(1, 2 * len(n) + 1, dtype=np.uint64)
+    strip, n = np.flatnonzero(limit * wide <= TURNS), 0
+    rank = np.zeros(len(strip))
+    while len(strip):
+        n += 1
+        dart = mix(seed[strip] + np.uint64(n * int(_GOLD) & MASK))
+        rank = rank - np.log(_uniform(dart)) / wide
+        fell = rank <= limit[strip]
+        strip, rank = strip[fell], rank[fell]
+        yield strip, rank, dart[fell]
+
+
 def signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
     """Dart signatures of weighted sets: owners x coordinates, 64-bit dart ids.
 
@@ -39,40 +74,29 @@ def signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, own
     Darts are thrown up to a rank at which a text is expected to keep ``DARTS``; where that
     leaves a coordinate empty, the text throws again, four times as far.
     """
-    best = np.full((owners, COORDINATES), np.inf)
-    gold = int(_GOLD)
-    sign = np.zeros((owners, COORDINATES), np.uint64)
+    best = np.full(owners * COORDINATES, np.inf)
+    sign = np.zeros(owners * COORDINATES, np.uint64)
     total = np.bincount(owner, weights, owners)
     todo, reach = total > 0, DARTS / np.maximum(total, 1e-12)
     while todo.any():
         pick = todo[owner]
         x, w, o = elements[pick], weights[pick], owner[pick]
-        top = np.maximum(np.ceil(np.log2(np.maximum(w, 1))), 0).astype(np.int64)
+        top = np.ceil(np.log2(np.maximum(w, 1))).astype(np.int64)
         for region in range(int(top.max()) + 1):
             own = top >= region
-            low = 0.0 if region == 0 else float(1 << (region - 1))
-            wide = 1.0 if region == 0 else low
-            seed = mix(x[own] * _GOLD + np.uint64(region))
-            limit, width, holder, rank = reach[o[own]], w[own] - low, o[own], np.zeros(int(own.sum()))
-            n = 0
-            while len(seed):
-                n += 1
-                dart = mix(seed + np.uint64(n * gold & MASK))
-                rank = rank - np.log(_uniform(dart)) / wide
-                fell = rank <= limit
-                seed, limit, width, holder, rank, dart = (v[fell] for v in (seed, limit, width, holder, rank, dart))
+            low, wide = (0.0, 1.0) if region == 0 else (2.0 ** (region - 1),) * 2
+            seed, width, holder = mix(x[own] * _GOLD + np.uint64(region)), w[own] - low, o[own]
+            for strip, rank, dart in _darts(seed, reach[holder], wide):
                 second = mix(dart ^ _GOLD)
-                kept = _uniform(second) * wide < width
-                row, place, score = holder[kept], (mix(second) % np.uint64(COORDINATES)).astype(np.int64)[kept], rank[kept]
-                order = np.argsort(-score, kind="stable")  # of equal cells, the least rank is written last
-                cell, ordered = row[order] * COORDINATES + place[order], score[order]
-                better = ordered < best.ravel()[cell]
-                cell = cell[better]
-                best.ravel()[cell] = ordered[better]
-                sign.ravel()[cell] = dart[kept][order][better]
-        todo &= ~np.isfinite(best).all(1)
+                kept = _uniform(second) * wide < width[strip]
+                place = (mix(second[kept]) % np.uint64(COORDINATES)).astype(np.int64)
+                cell, rank, dart = holder[strip[kept]] * COORDINATES + place, rank[kept], dart[kept]
+                np.minimum.at(best, cell, rank)
+                least = best[cell] == rank
+                sign[cell[least]] = dart[least]
+        todo &= ~np.isfinite(best.reshape(owners, COORDINATES)).all(1)
         reach = reach * 4
-    return sign
+    return sign.reshape(owners, COORDINATES)
 
 
 def text_signatures(texts: list[str | None]) -> np.ndarray:
