@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from wordloom.storage import materialize
+from wordloom.storage import join_small, materialize
 
 #: Rows of a range partition, about; their number follows the counted input.
 ROWS_PER_RANGE = 200_000
@@ -68,7 +68,7 @@ def sweep(points: DataFrame, intervals: DataFrame, carry: list[str], payload: li
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     depths = (dealt.groupBy("part").agg(F.sum("step").alias("net"))
               .select("part", F.coalesce(F.sum("net").over(earlier), F.lit(0)).alias("start")))
-    deep = (dealt.join(F.broadcast(depths), "part")  # one row per range partition
+    deep = (join_small(dealt, materialize(depths, "depths"), ["part"])
             .withColumn("depth", F.col("start") + F.sum("step").over(upto)))
     level = Window.partitionBy("part", "depth").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     seen = deep.withColumn("inside", F.last("top", ignorenulls=True).over(level))
