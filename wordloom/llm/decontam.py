@@ -18,6 +18,8 @@ from wordloom.storage import join_small, materialize
 SHINGLE = 5
 THRESHOLD = 0.8
 SEPARATOR = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
+#: Marks (12 bytes each) that are broadcast at most; more are joined by shuffling the places.
+MARKS = 1_000_000
 #: Fingerprints of windows at the threshold differ in 9.7 of 64 bits on average, with deviation 2.9.
 RADIUS = 23
 #: One block more than the radius: fingerprints within it agree on a whole block at least.
@@ -118,7 +120,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
                         F.col(text).alias("text"))
     places = (named.withColumn("hs", shingle_hashes(F.col("text")))
               .select("id", "hash", F.size("hs").alias("m"), F.posexplode("hs").alias("pos", "h")))
-    marked = join_small(places, marks, ["h"]).groupBy("id", "hash", "m", "n").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    marked = join_small(places, marks, ["h"], limit=MARKS).groupBy("id", "hash", "m", "n").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     window = F.least("m", "n")
     need = least_common(window, F.col("n"), threshold)
     marked = marked.withColumn("need", need).filter(F.size("at") >= F.col("need"))
