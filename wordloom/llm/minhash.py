@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -185,46 +184,75 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
-def _within(threshold: float):
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Consecutive rows with equal integer keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(c).to_numpy() for c in keys])
+        edges = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [batch.num_rows]))
+        for begin, end in zip(edges[:-1], edges[1:]):
+            own = tuple(key[:, begin])
+            if held and own != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+            last = own
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _cross_links(group: pa.Table, threshold: float) -> list[tuple[int, int]]:
     """Links between differently labelled members of one bucket's pair of blocks: enough to connect them."""
-    def links(frame: pd.DataFrame) -> pd.DataFrame:
-        band, one = int(frame["band"].iloc[0]), frame["low"].iloc[0] == frame["high"].iloc[0]
-        frame = frame.drop_duplicates("node").sort_values("node")
-        node, label, block = (frame[c].to_numpy() for c in ("node", "label", "block"))
-        sign, bands = np.stack(frame["sign"].to_numpy()), np.stack(frame["bands"].to_numpy())
-        texts, sets, root = frame["text"].to_numpy(), {}, {}
-
-        def find(x: int) -> int:
-            while root.get(x, x) != x:
-                x = root[x]
-            return x
-
-        def of(i: int):
-            if i not in sets:
-                sets[i] = weighted(texts[i])
-            return sets[i]
-
-        near = []
-        for at in range(0, len(node), 64):
-            own = slice(at, at + 64)
-            agree = (sign[own, None, :] == sign[None]).mean(2)
-            agree[label[own, None] == label[None]] = 0
-            agree[node[own, None] >= node[None]] = 0
-            if not one:
-                agree[block[own, None] == block[None]] = 0
-            i, j = np.nonzero(agree >= PLAUSIBLE)
-            score, i = agree[i, j], i + at
-            first = (bands[i] == bands[j]).argmax(1) == band  # each pair is compared in the first band it shares
-            near += zip(-score[first], i[first], j[first])
-        out = []
-        for _, i, j in sorted(near):
-            x, y = find(label[i]), find(label[j])
-            if x != y and similarity(of(i), of(j)) >= threshold:
-                root[max(x, y)] = min(x, y)
-                out.append((node[i], node[j]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return links
+    matrix = lambda c: group.column(c).combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+    node, label, block = (group.column(c).to_numpy() for c in ("node", "label", "block"))
+    sign, bands, band = matrix("sign"), matrix("bands"), group.column("band")[0].as_py()
+    one, texts, sets, root = group.column("low")[0] == group.column("high")[0], group.column("text"), {}, {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    def of(i: int):
+        if i not in sets:
+            sets[i] = weighted(texts[int(i)].as_py())
+        return sets[i]
+
+    near = []
+    for at in range(0, len(node), 64):
+        own = slice(at, at + 64)
+        agree = (sign[own, None, :] == sign[None]).mean(2)
+        agree[label[own, None] == label[None]] = 0
+        agree[node[own, None] >= node[None]] = 0
+        if not one:
+            agree[block[own, None] == block[None]] = 0
+        i, j = np.nonzero(agree >= PLAUSIBLE)
+        score, i = agree[i, j], i + at
+        first = (bands[i] == bands[j]).argmax(1) == band  # each pair is compared in the first band it shares
+        near += zip(-score[first], i[first], j[first])
+    out = []
+    for _, i, j in sorted(near):
+        x, y = find(label[i]), find(label[j])
+        if x != y and similarity(of(i), of(j)) >= threshold:
+            root[max(x, y)] = min(x, y)
+            out.append((node[i], node[j]))
+    return out
+
+
+def _within(open_: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) across components inside every pair of blocks of the buckets that are still open."""
+    keys = ["bucket", "low", "high"]
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, keys):
+            if found := _cross_links(group, threshold):
+                yield pa.record_batch([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    rows = open_.select(*keys, "band", "node", "label", "block", "sign", "bands", "text")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(links, "a long, b long")
 
 
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
@@ -277,9 +305,7 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
              .join(full.select("node", "sign", "bands"), "node").join(texts, "node"))
-    more = (open_.select("bucket", "low", "high", "band", "node", "label", "block", "sign", "bands", "text")
-            .groupBy("bucket", "low", "high").applyInPandas(_within(threshold), "a long, b long"))
-    more = materialize(more, "edges")
+    more = materialize(_within(open_, threshold), "edges")
     if not more.isEmpty():
         labels = components(edges.union(more))
     placed = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
