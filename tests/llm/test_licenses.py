@@ -74,3 +74,18 @@ def test_repeated_rows(spark):
     rows = [("LICENSE", "Released under the MIT License.")] * 3 + [("x", "y")] * 2 + NOISE
     got = [(r["path"], r["license"], r["similarity"]) for r in licenses.scan(spark.createDataFrame(rows, FILES)).collect() if r["path"] in ("LICENSE", "x")]
     assert sorted(got) == [("LICENSE", "MIT", 1.0)] * 3 + [("x", "MIT", 1.0)] * 2
+
+
+def test_every_word_weighs_by_its_own_frequency(spark):
+    rows = [*NOISE, *[(f"p/{i}", "plain plumage here") for i in range(60)], ("m", "Released under the MIT License plain plumage"), ("x", "Released under the MIT License zebra quagga")]
+    n, bags = len(rows), [licenses.words(t) for _, t in rows]
+    idf = lambda w: math.log((1 + n) / (1 + sum(w in b for b in bags))) + 1
+    vector = lambda t: {w: c * idf(w) for w, c in licenses.words(t).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    mit = vector(licenses.TEMPLATES["MIT"][0])
+    got = {r["path"]: r["similarity"] for r in licenses.scan(spark.createDataFrame(rows, FILES), every_word=True).collect() if r["origin"] == "header"}
+    for path, text in rows[-2:]:
+        u = vector(text)
+        assert got[path] == pytest.approx(sum(x * mit.get(w, 0) for w, x in u.items()) / norm(u) / norm(mit), abs=2e-6)
+    assert got["m"] > 0.95 > got["x"]
+    assert "m" not in {r["path"] for r in licenses.scan(spark.createDataFrame(rows, FILES)).collect() if (r["similarity"] or 0) > 0.95}

@@ -73,12 +73,19 @@ def document_frequencies(files: DataFrame, vocabulary: list[str], text: str = "t
     return counts.pop("", 0), counts
 
 
+def all_frequencies(files: DataFrame, text: str = "text") -> DataFrame:
+    """``token, n``: in how many texts each word of the corpus occurs; the empty token counts the texts."""
+    own = files.filter(F.col(text).isNotNull())
+    found = own.select(F.explode(F.concat(F.array_distinct(tokens(F.col(text))), F.array(F.lit("")))).alias("token"))
+    return materialize(found.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "frequencies")
+
+
 class Weights:
-    """Template vectors in the corpus's TF-IDF weights. Words of no template weigh as if they were in no text."""
+    """Template vectors in the corpus's TF-IDF weights. ``other`` is the weight of a word that is in no text."""
 
     def __init__(self, texts: int, frequencies: dict[str, int], templates: dict[str, list[str]]) -> None:
         idf = lambda n: math.log((1 + texts) / (1 + n)) + 1
-        self.other = idf(0)
+        self.texts, self.other = texts, idf(0)
         vectors = [(name, i, words(t)) for name, own in templates.items() for i, t in enumerate(own)]
         self.idf = {w: idf(frequencies.get(w, 0)) for w in sorted({w for *_, v in vectors for w in v})}
         self.vectors = []
@@ -112,11 +119,12 @@ class Weights:
         return spark.createDataFrame(list(self.idf.items()), "token string, idf double")
 
 
-def declared(files: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
+def declared(files: DataFrame, weights: Weights, threshold: float = THRESHOLD, frequencies: DataFrame | None = None) -> DataFrame:
     """``file, license, similarity``: the best template of any line or of the whole text of each file.
 
     ``files`` has ``file`` (whatever tells files apart) and ``text``. A repeated row multiplies all
-    of its words' counts alike, which changes no cosine.
+    of its words' counts alike, which changes no cosine. Each word weighs by ``frequencies``
+    (:func:`all_frequencies`); without them, words of no template weigh as if they were in no text.
     """
     spark = files.sparkSession
     anchor = r"(?i)(?<![0-9a-z])(" + "|".join(weights.anchors(threshold)) + r")(?![0-9a-z])"
@@ -125,9 +133,13 @@ def declared(files: DataFrame, weights: Weights, threshold: float = THRESHOLD) -
     lines = lines.filter(F.col("line").rlike(anchor))
     counted = (lines.select("file", "unit", F.explode(tokens(F.col("line"))).alias("token"))
                .groupBy("file", "unit", "token").agg(F.count(F.lit(1)).alias("tf")))
-    # Both tables hold as many rows as the fixed templates have words.
-    weighed = (counted.join(F.broadcast(weights.frequencies(spark)), "token", "left")
-               .withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(weights.other))))
+    # Tables of the weights hold as many rows as the fixed templates have words, that of all words as many as the corpus.
+    if frequencies is None:
+        weighed = counted.join(F.broadcast(weights.frequencies(spark)), "token", "left")
+    else:
+        idf = F.log(F.lit(1.0 + weights.texts) / (F.lit(1) + F.col("n"))) + 1
+        weighed = join_small(counted, frequencies.select("token", idf.alias("idf")), ["token"], "left")
+    weighed = weighed.withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(weights.other)))
     norms = weighed.groupBy("file", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = (weighed.join(F.broadcast(weights.frame(spark)), "token")
             .groupBy("file", "unit", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot")))
@@ -143,10 +155,11 @@ def folder(path: Column) -> Column:
 
 
 def scan(files: DataFrame, *, path: str = "path", text: str = "text", keep: list[str] | None = None,
-         threshold: float = THRESHOLD, templates: dict[str, list[str]] | None = None) -> DataFrame:
+         threshold: float = THRESHOLD, templates: dict[str, list[str]] | None = None, every_word: bool = False) -> DataFrame:
     """``*keep, path, license, similarity, origin, declared_in`` of each row.
 
-    The weights of the template words come from all texts. A file's own notice is its best line
+    The weights of the template words come from all texts; with ``every_word`` those of all other
+    words do too, else these weigh as if they were in no text. A file's own notice is its best line
     or whole text (``origin`` header); a licence file (LICENSE, COPYING, NOTICE) also declares
     for its directory: the best similarity wins, then the first licence by name. A file without
     own notice takes that of its nearest directory upwards (``origin`` inherited, ``declared_in``
@@ -159,9 +172,15 @@ def scan(files: DataFrame, *, path: str = "path", text: str = "text", keep: list
     named = files.select(F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("__none")).alias("kept"),
                          F.coalesce(path, F.lit("")).alias("path"), F.col(text).alias("text"))
     vocabulary = sorted({w for own in (templates or TEMPLATES).values() for t in own for w in words(t)})
-    weights = Weights(*document_frequencies(named, vocabulary), templates or TEMPLATES)
+    frequencies = all_frequencies(named) if every_word else None
+    if every_word:
+        counts = {r["token"]: r["n"] for r in frequencies.filter(F.col("token").isin("", *vocabulary)).collect()}
+        counts = (counts.pop("", 0), counts)
+    else:
+        counts = document_frequencies(named, vocabulary)
+    weights = Weights(*counts, templates or TEMPLATES)
     key = F.struct("path", F.unhex(F.md5(F.col("text").cast("binary"))).alias("hash"))
-    found = materialize(declared(named.select(key.alias("file"), "text"), weights, threshold), "notices")
+    found = materialize(declared(named.select(key.alias("file"), "text"), weights, threshold, frequencies), "notices")
     rows = named.withColumn("file", key).drop("text")
     name = F.regexp_extract("file.path", r"[^/]*$", 0)
     homes = (found.filter(name.rlike(LICENSE_FILE))

@@ -59,7 +59,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.when(n % 64 != 0, F.concat(F.lit("m"), F.floor(n / 8))))
     name = F.when(n % 8 == 0, F.concat(F.lit("LICENSE."), n)).otherwise(F.concat(F.lit("f"), n, F.lit(".txt")))
     files = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", folder, name))
-    return licenses.scan(files, keep=["doc_id"])
+    return licenses.scan(files, keep=["doc_id"], every_word=True)
 
 
 def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
