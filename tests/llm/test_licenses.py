@@ -89,3 +89,43 @@ def test_every_word_weighs_by_its_own_frequency(spark):
         assert got[path] == pytest.approx(sum(x * mit.get(w, 0) for w, x in u.items()) / norm(u) / norm(mit), abs=2e-6)
     assert got["m"] > 0.95 > got["x"]
     assert "m" not in {r["path"] for r in licenses.scan(spark.createDataFrame(rows, FILES)).collect() if (r["similarity"] or 0) > 0.95}
+
+
+def test_wrapped_headers(spark):
+    import textwrap
+
+    notices = {(name, i): t for name, own in licenses.TEMPLATES.items() for i, t in enumerate(own) if len(t) > 60}
+    rows, want = [*NOISE], {}
+    for (name, i), t in notices.items():
+        for width in (30, 50, 60, 70, 72, 76, 80):
+            body = "\n".join(" * " + x for x in textwrap.wrap("Copyright 2020 by us and others. " + t, width))
+            rows.append((f"{name}/{i}/{width}.c", f"/*\n{body}\n */\n" + "\n".join(f"int value{k} = call{k}(of, this, {k});" for k in range(30))))
+            want[rows[-1][0]] = (name, 1.0)
+    for every in (False, True):
+        got = {r["path"]: (r["license"], r["similarity"]) for r in licenses.scan(spark.createDataFrame(rows, FILES), every_word=every).collect() if r["origin"] == "header"}
+        assert got == want
+
+
+def test_windows_lose_no_span_that_reaches_the_threshold(spark):
+    gpl = licenses.TEMPLATES["GPL-3.0"][2].split()
+    rows = [*NOISE]
+    for k in range(12):
+        own = [w for j, w in enumerate(gpl) if (j * 7 + k) % (k + 3)]
+        rows.append((f"g/{k}", "code here\n" + "\n".join(" ".join(own[j:j + 6]) for j in range(0, len(own), 6)) + "\nmore code\nthen more"))
+    rows.append(rows[-1])
+    files = spark.createDataFrame(rows, FILES)
+    weights = licenses.Weights(*licenses.document_frequencies(files, sorted({w for own in licenses.TEMPLATES.values() for t in own for w in licenses.words(t)})), licenses.TEMPLATES)
+    found = {r["file"]: {(x["start"], x["n"]) for x in r["spans"]} for r in licenses.windows(files.withColumnRenamed("path", "file"), weights, licenses.THRESHOLD).collect()}
+    reached = 0
+    for path, text in rows[len(NOISE):]:
+        placed = [(w, n) for n, line in enumerate(re.split(r"[\r\n]+", text)) for w in re.split(licenses.SEPARATOR, line.lower()) if w]
+        for name, i, v in weights.vectors:
+            n = weights.sizes[name, i]
+            for start in range(len(placed)):
+                span = placed[start:start + n]
+                if span[0][0] in v and len({at for w, at in span if w in v}) > 1:
+                    u = {w: c * weights.idf.get(w, weights.other) for w, c in licenses.words(" ".join(w for w, _ in span)).items()}
+                    if sum(x * v.get(w, 0) for w, x in u.items()) / math.sqrt(sum(x * x for x in u.values())) >= licenses.THRESHOLD:
+                        reached += 1
+                        assert (start, n) in found[path]
+    assert reached > 20

@@ -93,34 +93,77 @@ class Weights:
             raw = {w: n * self.idf[w] for w, n in v.items()}
             norm = math.sqrt(sum(x * x for x in raw.values()))
             self.vectors.append((name, i, {w: x / norm for w, x in raw.items()}))
+        self.sizes = {(name, i): sum(v.values()) for name, i, v in vectors}
 
     def anchors(self, threshold: float) -> list[str]:
-        """Words of which a unit that reaches the threshold with any template has at least one.
+        """Words of which a unit that reaches the threshold with any template has at least one."""
+        return sorted(set().union(*(self.template_anchors(v, threshold) for *_, v in self.vectors)))
 
-        Of each template the heaviest words are taken until the rest, even if all of a unit,
+    def template_anchors(self, v: dict[str, float], threshold: float) -> set[str]:
+        """Words of which a unit that reaches the threshold with this template has at least one.
+
+        The heaviest words are taken until the rest, even if all of a unit,
         can't reach the threshold: a cosine is at most the norm of the words in common.
         """
-        found = set()
-        for *_, v in self.vectors:
-            rest = 1.0
-            for w in sorted(v, key=lambda w: (-v[w], w)):
-                if rest < threshold * threshold - 1e-9:
-                    break
-                found.add(w)
-                rest -= v[w] * v[w]
-        return sorted(found)
+        found, rest = set(), 1.0
+        for w in sorted(v, key=lambda w: (-v[w], w)):
+            if rest < threshold * threshold - 1e-9:
+                break
+            found.add(w)
+            rest -= v[w] * v[w]
+        return found
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """``token, template, license, weight``: as many rows as the templates have words."""
         rows = [(w, f"{name}/{i}", name, x) for name, i, v in self.vectors for w, x in v.items()]
         return spark.createDataFrame(rows, "token string, template string, license string, weight double")
 
+    def places(self, spark: SparkSession, threshold: float) -> DataFrame:
+        """``token, template, n, c, square, anchor``: what one place of a word adds to a template's dot and a squared norm."""
+        rows = []
+        for name, i, v in self.vectors:
+            heavy = self.template_anchors(v, threshold)
+            rows += [(w, f"{name}/{i}", self.sizes[name, i], self.idf[w] * x, self.idf[w] ** 2, w in heavy) for w, x in v.items()]
+        return spark.createDataFrame(rows, "token string, template string, n int, c double, square double, anchor boolean")
+
     def frequencies(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(self.idf.items()), "token string, idf double")
 
 
+def windows(candidate: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """``file, spans``: starts and sizes, in words, of the windows over several lines that can reach the threshold.
+
+    A window has as many words as a template and begins at one of its words; words of the template
+    stand on more than one of its lines. Its cosine is at most the template's dot by the norm of
+    single words, as words that repeat only add to the norm and no word weighs under 1.
+    """
+    split = F.split("text", r"[\r\n]+")
+    numbered = F.flatten(F.transform(split, lambda x, i: F.transform(tokens(x), lambda w: F.struct(i.alias("line"), w.alias("token")))))
+    own = candidate.filter(F.col("text").rlike(r"[\r\n]")).select("file", numbered.alias("seq"))
+    own = own.select("file", F.size("seq").alias("total"), F.posexplode("seq").alias("pos", "word"))
+    met = (own.select("file", "total", "pos", "word.line", "word.token")
+           .join(F.broadcast(weights.places(candidate.sparkSession, threshold)), "token")  # a row for each word of a fixed template
+           .groupBy("file", "total", "template", "n")
+           .agg(F.max("anchor").alias("anchor"), F.array_sort(F.collect_set(F.struct("pos", "line", "c", "square"))).alias("at"))
+           .filter("anchor"))
+
+    def reach(i: Column) -> Column:
+        first = F.get("at", i)
+        inside = F.filter(F.slice("at", i + 1, F.col("n")), lambda p: p["pos"] < first["pos"] + F.col("n"))
+        zero = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("square"), F.lit(0).alias("k"), F.lit(-1).alias("line"))
+        sums = F.aggregate(inside, zero, lambda s, p: F.struct(
+            (s["c"] + p["c"]).alias("c"), (s["square"] + p["square"]).alias("square"), (s["k"] + 1).alias("k"), p["line"].alias("line")))
+        return F.struct(first["pos"].alias("start"), first["line"].alias("line"), sums.alias("sums"))
+
+    found = met.select("file", "total", "n", F.explode(F.transform(F.sequence(F.lit(0), F.size("at") - 1), reach)).alias("w"))
+    rest = F.least(F.col("n"), F.col("total") - F.col("w.start")) - F.col("w.sums.k")
+    able = F.col("w.sums.c") >= (threshold - 1e-6) * F.sqrt(F.col("w.sums.square") + rest)
+    found = found.filter((F.col("w.sums.line") > F.col("w.line")) & able)
+    return found.groupBy("file").agg(F.collect_set(F.struct("w.start", "n")).alias("spans"))
+
+
 def declared(files: DataFrame, weights: Weights, threshold: float = THRESHOLD, frequencies: DataFrame | None = None) -> DataFrame:
-    """``file, license, similarity``: the best template of any line or of the whole text of each file.
+    """``file, license, similarity``: the best template of any line, window over lines or whole text of each file.
 
     ``files`` has ``file`` (whatever tells files apart) and ``text``. A repeated row multiplies all
     of its words' counts alike, which changes no cosine. Each word weighs by ``frequencies``
@@ -128,11 +171,15 @@ def declared(files: DataFrame, weights: Weights, threshold: float = THRESHOLD, f
     """
     spark = files.sparkSession
     anchor = r"(?i)(?<![0-9a-z])(" + "|".join(weights.anchors(threshold)) + r")(?![0-9a-z])"
-    candidate = files.filter(F.col("text").rlike(anchor))
+    candidate = materialize(files.filter(F.col("text").rlike(anchor)), "candidates")
     lines = candidate.select("file", F.posexplode(F.concat(F.array("text"), F.split("text", r"[\r\n]+"))).alias("unit", "line"))
     lines = lines.filter(F.col("line").rlike(anchor))
-    counted = (lines.select("file", "unit", F.explode(tokens(F.col("line"))).alias("token"))
-               .groupBy("file", "unit", "token").agg(F.count(F.lit(1)).alias("tf")))
+    spans = materialize(windows(candidate, weights, threshold), "spans")
+    over = (join_small(candidate, spans, ["file"]).select("file", tokens(F.col("text")).alias("seq"), F.explode("spans").alias("span"))
+            .select("file", F.col("span.start").alias("unit"), F.col("span.n").alias("size"),
+                    F.explode(F.slice("seq", F.col("span.start") + 1, F.col("span.n"))).alias("token")))
+    counted = (lines.select("file", "unit", F.lit(0).alias("size"), F.explode(tokens(F.col("line"))).alias("token")).unionByName(over)
+               .groupBy("file", "unit", "size", "token").agg(F.count(F.lit(1)).alias("tf")))
     # Tables of the weights hold as many rows as the fixed templates have words, that of all words as many as the corpus.
     if frequencies is None:
         weighed = counted.join(F.broadcast(weights.frequencies(spark)), "token", "left")
@@ -140,10 +187,10 @@ def declared(files: DataFrame, weights: Weights, threshold: float = THRESHOLD, f
         idf = F.log(F.lit(1.0 + weights.texts) / (F.lit(1) + F.col("n"))) + 1
         weighed = join_small(counted, frequencies.select("token", idf.alias("idf")), ["token"], "left")
     weighed = weighed.withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(weights.other)))
-    norms = weighed.groupBy("file", "unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    norms = weighed.groupBy("file", "unit", "size").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = (weighed.join(F.broadcast(weights.frame(spark)), "token")
-            .groupBy("file", "unit", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot")))
-    scored = (dots.join(norms, ["file", "unit"])
+            .groupBy("file", "unit", "size", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot")))
+    scored = (dots.join(norms, ["file", "unit", "size"])
               .withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("similarity") >= threshold))
     best = scored.groupBy("file", "license").agg(F.max("similarity").alias("similarity"))
     return (best.groupBy("file").agg(F.min(F.struct((-F.col("similarity")).alias("down"), "license")).alias("best"))
@@ -159,8 +206,8 @@ def scan(files: DataFrame, *, path: str = "path", text: str = "text", keep: list
     """``*keep, path, license, similarity, origin, declared_in`` of each row.
 
     The weights of the template words come from all texts; with ``every_word`` those of all other
-    words do too, else these weigh as if they were in no text. A file's own notice is its best line
-    or whole text (``origin`` header); a licence file (LICENSE, COPYING, NOTICE) also declares
+    words do too, else these weigh as if they were in no text. A file's own notice is its best line,
+    window over several lines or whole text (``origin`` header); a licence file (LICENSE, COPYING, NOTICE) also declares
     for its directory: the best similarity wins, then the first licence by name. A file without
     own notice takes that of its nearest directory upwards (``origin`` inherited, ``declared_in``
     that directory, its similarity); else ``origin`` is none and the rest null.
