@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-CLASHING = "hash string, id long, node long, size long, score double, shard int, label int, copies int, n int, bucket string, __text string, path string"
+CLASHING = "hash string, id long, node long, size long, score double, shard int, label int, copies int, n int, bucket string, __text string, path string, meta map<string,int>"
 
 
 @pytest.fixture(scope="session")
@@ -20,7 +20,7 @@ def awkward(spark):
     rows[13] = rows[12]
     rows += [(100 + i, text(rnd.randint(1, 60)), rnd.choice(["en", "fr"]), rnd.choice("abcd")) for i in range(40)]
     schema = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}"
-    extra = ("h", 1, 2, 3, 0.5, 4, 5, 6, 7, "b", "t", "p")
+    extra = ("h", 1, 2, 3, 0.5, 4, 5, 6, 7, "b", "t", "p", {"k": 1})
     return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), *extra) for r in rows], schema).cache()
 
 

@@ -3,52 +3,93 @@
 from __future__ import annotations
 
 import math
+import pathlib
 import re
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.storage import join_small, materialize
 
-THRESHOLD = 0.7
+#: Least cosine of a notice, and of a whole licence text.
+THRESHOLD, FULL_THRESHOLD = 0.7, 0.8
 SEPARATOR = r"[^0-9a-z]+"
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
+#: An identifier, or an expression of several, after its tag.
+SPDX = r"SPDX-License-Identifier:[ \t]*([0-9A-Za-z.+()-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[0-9A-Za-z.+()-]+)*)"
+#: Ranks of evidence: a stated identifier, a whole licence text, a notice, and words that any notice may add.
+STATED, WHOLE, NOTICE, GENERIC = 3, 2, 1, 0
 
 # Notices by which licences are declared, by SPDX identifier.
 TEMPLATES = {
+    "AGPL-3.0": [
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version.",
+    ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
-        "SPDX-License-Identifier: Apache-2.0",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
         "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     ],
     "BSD-3-Clause": [
-        "SPDX-License-Identifier: BSD-3-Clause",
         "Use of this source code is governed by a BSD-style license.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
         "that the following conditions are met:",
     ],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "Licensed under the Creative Commons Attribution 4.0 International License."],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "Licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+        "option) any later version.",
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
-        "SPDX-License-Identifier: GPL-3.0",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
         "option) any later version.",
     ],
+    "LGPL-2.1": [
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+        "option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version.",
+    ],
+    "ISC": ["Released under the ISC License."],
     "MIT": [
         "Released under the MIT License.",
-        "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         'documentation files (the "Software"), to deal in the Software without restriction',
     ],
-    "MPL-2.0": [
-        "SPDX-License-Identifier: MPL-2.0",
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    ],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Proprietary": ["All rights reserved.", "Copyright. All rights reserved."],
 }
+# Words that tell the variants of a licence apart. A notice has exactly its template's
+# variant words, and at least its template's numbers, so that versions aren't confused.
+VARIANTS = ["affero", "lesser", "library", "nc", "nd", "noncommercial", "noderivatives", "noderivs", "sa", "sharealike"]
+#: Licences that any other notice beats, however similar.
+GENERIC_LICENSES = {"Proprietary"}
+#: Whole licence texts, by SPDX identifier.
+FULL_TEXTS = pathlib.Path(__file__).with_name("licence_texts")
+#: Template words that stand in more than this share of the texts don't count as evidence for a whole licence.
+COMMON = 0.05
+
+
+@cache
+def full_texts() -> dict[str, str]:
+    return {p.stem: p.read_text(encoding="utf-8") for p in sorted(FULL_TEXTS.glob("*.txt"))}
 
 
 def words(text: str) -> dict[str, int]:
@@ -63,16 +104,6 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), SEPARATOR), "")
 
 
-def document_frequencies(files: DataFrame, vocabulary: list[str], text: str = "text") -> tuple[int, dict[str, int]]:
-    """Rows with a text, and in how many of them each word of the vocabulary occurs. At most one row per word returns."""
-    own = files.filter(F.col(text).isNotNull())
-    wanted = F.split(F.lit(" ".join(vocabulary)), " ")
-    found = (own.select(F.explode(F.concat(F.array_intersect(tokens(F.col(text)), wanted), F.array(F.lit("")))).alias("w"))
-             .groupBy("w").count().collect())
-    counts = {r["w"]: r["count"] for r in found}
-    return counts.pop("", 0), counts
-
-
 def all_frequencies(files: DataFrame, text: str = "text") -> DataFrame:
     """``token, n``: in how many texts each word of the corpus occurs; the empty token counts the texts."""
     own = files.filter(F.col(text).isNotNull())
@@ -80,20 +111,23 @@ def all_frequencies(files: DataFrame, text: str = "text") -> DataFrame:
     return materialize(found.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "frequencies")
 
 
+def _unit(raw: dict[str, float]) -> dict[str, float]:
+    norm = math.sqrt(sum(x * x for x in raw.values()))
+    return {w: x / norm for w, x in raw.items()}
+
+
 class Weights:
     """Template vectors in the corpus's TF-IDF weights. ``other`` is the weight of a word that is in no text."""
 
-    def __init__(self, texts: int, frequencies: dict[str, int], templates: dict[str, list[str]]) -> None:
+    def __init__(self, texts: int, frequencies: dict[str, int], templates: dict[str, list[str]], whole: dict[str, str] | None = None) -> None:
         idf = lambda n: math.log((1 + texts) / (1 + n)) + 1
-        self.texts, self.other = texts, idf(0)
+        self.texts, self.other, self.frequencies = texts, idf(0), frequencies
         vectors = [(name, i, words(t)) for name, own in templates.items() for i, t in enumerate(own)]
-        self.idf = {w: idf(frequencies.get(w, 0)) for w in sorted({w for *_, v in vectors for w in v})}
-        self.vectors = []
-        for name, i, v in vectors:
-            raw = {w: n * self.idf[w] for w, n in v.items()}
-            norm = math.sqrt(sum(x * x for x in raw.values()))
-            self.vectors.append((name, i, {w: x / norm for w, x in raw.items()}))
+        full = {name: words(t) for name, t in (whole or {}).items()}
+        self.idf = {w: idf(frequencies.get(w, 0)) for w in sorted({w for v in (*(v for *_, v in vectors), *full.values()) for w in v})}
+        self.vectors = [(name, i, _unit({w: n * self.idf[w] for w, n in v.items()})) for name, i, v in vectors]
         self.sizes = {(name, i): sum(v.values()) for name, i, v in vectors}
+        self.full = {name: _unit({w: (1 + math.log(n)) * self.idf[w] for w, n in v.items()}) for name, v in full.items()}
 
     def anchors(self, threshold: float) -> list[str]:
         """Words of which a unit that reaches the threshold with any template has at least one."""
@@ -113,10 +147,35 @@ class Weights:
             rest -= v[w] * v[w]
         return found
 
+    def evidence(self, threshold: float) -> tuple[list[str], int]:
+        """Rare words of the whole licence texts, and of how many a text needs to reach the threshold with any.
+
+        A cosine is at most the norm of the template's words in common, so that of its common
+        words and its so many heaviest rare ones bounds it.
+        """
+        rare, least = set(), None
+        for v in self.full.values():
+            own = {w for w in v if self.frequencies.get(w, 0) <= COMMON * self.texts}
+            mass, n = sum(x * x for w, x in v.items() if w not in own), 0
+            for x in sorted((v[w] for w in own), reverse=True):
+                if mass >= threshold * threshold - 1e-9:
+                    break
+                mass, n = mass + x * x, n + 1
+            rare, least = rare | own, n if least is None else min(n, least)
+        return sorted(rare), least or 0
+
     def frame(self, spark: SparkSession) -> DataFrame:
-        """``token, template, license, weight``: as many rows as the templates have words."""
-        rows = [(w, f"{name}/{i}", name, x) for name, i, v in self.vectors for w, x in v.items()]
-        return spark.createDataFrame(rows, "token string, template string, license string, weight double")
+        """``token, template, license, weight, sign``, and per template ``signs`` and ``variants``: a row for each of its words.
+
+        ``sign`` is 1 for numbers and variant words, ``signs`` how many of them the template has.
+        """
+        sign = lambda w: int(w.isdigit() or w in VARIANTS)
+        rows = [(w, f"{name}/{i}", name, x, sign(w), sum(map(sign, v)), sorted(set(v) & set(VARIANTS))) for name, i, v in self.vectors for w, x in v.items()]
+        return spark.createDataFrame(rows, "token string, template string, license string, weight double, sign int, signs int, variants array<string>")
+
+    def whole(self, spark: SparkSession) -> DataFrame:
+        """``token, license, weight`` of the whole licence texts."""
+        return spark.createDataFrame([(w, name, x) for name, v in self.full.items() for w, x in v.items()], "token string, license string, weight double")
 
     def places(self, spark: SparkSession, threshold: float) -> DataFrame:
         """``token, template, n, c, square, anchor``: what one place of a word adds to a template's dot and a squared norm."""
@@ -126,9 +185,6 @@ class Weights:
             rows += [(w, f"{name}/{i}", self.sizes[name, i], self.idf[w] * x, self.idf[w] ** 2, w in heavy) for w, x in v.items()]
         return spark.createDataFrame(rows, "token string, template string, n int, c double, square double, anchor boolean")
 
-    def frequencies(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.idf.items()), "token string, idf double")
-
 
 def windows(candidate: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """``file, spans``: starts and sizes, in words, of the windows over several lines that can reach the threshold.
@@ -162,39 +218,71 @@ def windows(candidate: DataFrame, weights: Weights, threshold: float) -> DataFra
     return found.groupBy("file").agg(F.collect_set(F.struct("w.start", "n")).alias("spans"))
 
 
-def declared(files: DataFrame, weights: Weights, threshold: float = THRESHOLD, frequencies: DataFrame | None = None) -> DataFrame:
-    """``file, license, similarity``: the best template of any line, window over lines or whole text of each file.
+def weigh(counted: DataFrame, weights: Weights, frequencies: DataFrame) -> DataFrame:
+    """``counted`` with ``idf`` of each token; the table of all words has as many rows as the corpus has words."""
+    idf = F.log(F.lit(1.0 + weights.texts) / (F.lit(1) + F.col("n"))) + 1
+    found = join_small(counted, frequencies.select("token", idf.alias("idf")), ["token"], "left")
+    return found.withColumn("idf", F.coalesce("idf", F.lit(weights.other)))
+
 
-    ``files`` has ``file`` (whatever tells files apart) and ``text``. A repeated row multiplies all
-    of its words' counts alike, which changes no cosine. Each word weighs by ``frequencies``
-    (:func:`all_frequencies`); without them, words of no template weigh as if they were in no text.
+def whole_licences(files: DataFrame, weights: Weights, frequencies: DataFrame, threshold: float = FULL_THRESHOLD) -> DataFrame:
+    """``file, license, similarity, rank`` of the files whose whole text is a licence's, by dampened counts.
+
+    Only texts with as many rare words of licences as any licence needs are compared: the bound loses none.
+    """
+    rare, least = weights.evidence(threshold)
+    seen = F.filter(F.array_distinct(tokens(F.col("text"))), lambda w: w.isin(rare))
+    able = materialize(files.filter(F.size(seen) >= least).dropDuplicates(["file"]), "legal") if rare else files.limit(0)
+    counted = (able.select("file", F.explode(tokens(F.col("text"))).alias("token"))
+               .groupBy("file", "token").agg(F.count(F.lit(1)).alias("tf")))
+    weighed = weigh(counted, weights, frequencies).withColumn("x", (1 + F.log("tf")) * F.col("idf"))
+    norms = weighed.groupBy("file").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = (weighed.join(F.broadcast(weights.whole(files.sparkSession)), "token")  # a row for each word of a fixed text
+            .groupBy("file", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot")))
+    return (dots.join(norms, "file").withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6))
+            .filter(F.col("similarity") >= threshold).select("file", "license", "similarity", F.lit(WHOLE).alias("rank")))
+
+
+def declared(files: DataFrame, weights: Weights, frequencies: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``file, license, similarity, rank``: the best evidence of each file.
+
+    ``files`` has ``file`` (whatever tells files apart) and ``text``. A stated SPDX identifier
+    beats a whole licence text, that beats a notice (a line, a window over lines or a whole
+    text like a template's), and that beats words that any notice may add (``All rights reserved.``).
+    Within a rank the greatest similarity wins, then the first licence by name. Words weigh by
+    ``frequencies`` (:func:`all_frequencies`).
     """
     spark = files.sparkSession
     anchor = r"(?i)(?<![0-9a-z])(" + "|".join(weights.anchors(threshold)) + r")(?![0-9a-z])"
-    candidate = materialize(files.filter(F.col("text").rlike(anchor)), "candidates")
+    candidate = materialize(files.filter(F.col("text").rlike(anchor)).dropDuplicates(["file"]), "candidates")
     lines = candidate.select("file", F.posexplode(F.concat(F.array("text"), F.split("text", r"[\r\n]+"))).alias("unit", "line"))
     lines = lines.filter(F.col("line").rlike(anchor))
     spans = materialize(windows(candidate, weights, threshold), "spans")
     over = (join_small(candidate, spans, ["file"]).select("file", tokens(F.col("text")).alias("seq"), F.explode("spans").alias("span"))
             .select("file", F.col("span.start").alias("unit"), F.col("span.n").alias("size"),
                     F.explode(F.slice("seq", F.col("span.start") + 1, F.col("span.n"))).alias("token")))
+    unit = ["file", "unit", "size"]
     counted = (lines.select("file", "unit", F.lit(0).alias("size"), F.explode(tokens(F.col("line"))).alias("token")).unionByName(over)
-               .groupBy("file", "unit", "size", "token").agg(F.count(F.lit(1)).alias("tf")))
-    # Tables of the weights hold as many rows as the fixed templates have words, that of all words as many as the corpus.
-    if frequencies is None:
-        weighed = counted.join(F.broadcast(weights.frequencies(spark)), "token", "left")
-    else:
-        idf = F.log(F.lit(1.0 + weights.texts) / (F.lit(1) + F.col("n"))) + 1
-        weighed = join_small(counted, frequencies.select("token", idf.alias("idf")), ["token"], "left")
-    weighed = weighed.withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(weights.other)))
-    norms = weighed.groupBy("file", "unit", "size").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = (weighed.join(F.broadcast(weights.frame(spark)), "token")
-            .groupBy("file", "unit", "size", "template", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot")))
-    scored = (dots.join(norms, ["file", "unit", "size"])
+               .groupBy(*unit, "token").agg(F.count(F.lit(1)).alias("tf")))
+    weighed = weigh(counted, weights, frequencies).withColumn("x", F.col("tf") * F.col("idf"))
+    norms = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"),
+                                       F.collect_set(F.when(F.col("token").isin(VARIANTS), F.col("token"))).alias("own"))
+    dots = (weighed.join(F.broadcast(weights.frame(spark)), "token")  # a row for each word of a fixed template
+            .groupBy(*unit, "template", "license")
+            .agg(F.sum(F.col("x") * F.col("weight")).alias("dot"), F.sum("sign").alias("met"),
+                 F.first("signs").alias("signs"), F.first("variants").alias("variants")))
+    scored = (dots.filter("met = signs").join(norms, unit).filter(F.size(F.array_except("own", "variants")) == 0)
               .withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("similarity") >= threshold))
-    best = scored.groupBy("file", "license").agg(F.max("similarity").alias("similarity"))
-    return (best.groupBy("file").agg(F.min(F.struct((-F.col("similarity")).alias("down"), "license")).alias("best"))
-            .select("file", "best.license", (-F.col("best.down")).alias("similarity")))
+    notices = (scored.groupBy("file", "license").agg(F.max("similarity").alias("similarity"))
+               .withColumn("rank", F.when(F.col("license").isin(*GENERIC_LICENSES), GENERIC).otherwise(NOTICE)))
+    stated = files.withColumn("license", F.regexp_replace(F.regexp_extract("text", SPDX, 1), r"[ \t]+", " "))
+    stated = stated.filter("license != ''").select("file", "license", F.lit(1.0).alias("similarity"), F.lit(STATED).alias("rank"))
+    every = notices.unionByName(stated).unionByName(whole_licences(files, weights, frequencies))
+    return every.groupBy("file").agg(_best()).select("file", "best.license", (-F.col("best.down")).alias("similarity"), (-F.col("best.lower")).alias("rank"))
+
+
+def _best() -> Column:
+    return F.min(F.struct((-F.col("rank")).alias("lower"), (-F.col("similarity")).alias("down"), "license")).alias("best")
 
 
 def folder(path: Column) -> Column:
@@ -202,37 +290,33 @@ def folder(path: Column) -> Column:
 
 
 def scan(files: DataFrame, *, path: str = "path", text: str = "text", keep: list[str] | None = None,
-         threshold: float = THRESHOLD, templates: dict[str, list[str]] | None = None, every_word: bool = False) -> DataFrame:
+         threshold: float = THRESHOLD, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """``*keep, path, license, similarity, origin, declared_in`` of each row.
 
-    The weights of the template words come from all texts; with ``every_word`` those of all other
-    words do too, else these weigh as if they were in no text. A file's own notice is its best line,
-    window over several lines or whole text (``origin`` header); a licence file (LICENSE, COPYING, NOTICE) also declares
-    for its directory: the best similarity wins, then the first licence by name. A file without
-    own notice takes that of its nearest directory upwards (``origin`` inherited, ``declared_in``
+    All words weigh by the number of texts they are in. A file's own licence is that of
+    :func:`declared` (``origin`` header); a licence file (LICENSE, COPYING, NOTICE) also declares
+    for its directory: the best evidence wins, then the first licence by name. A file without
+    own licence takes that of its nearest directory upwards (``origin`` inherited, ``declared_in``
     that directory, its similarity); else ``origin`` is none and the rest null.
 
     A null text has no notice; a null path is the empty one, in the root directory. Rows that
-    repeat path and text are judged once and all returned. Extra columns may have any name.
+    repeat path and text are judged once and all returned. Extra columns may have any name; those
+    of ``keep`` that are named like a column of the result come as ``kept_`` and their name.
     """
     keep = keep or []
     named = files.select(F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("__none")).alias("kept"),
                          F.coalesce(path, F.lit("")).alias("path"), F.col(text).alias("text"))
-    vocabulary = sorted({w for own in (templates or TEMPLATES).values() for t in own for w in words(t)})
-    frequencies = all_frequencies(named) if every_word else None
-    if every_word:
-        counts = {r["token"]: r["n"] for r in frequencies.filter(F.col("token").isin("", *vocabulary)).collect()}
-        counts = (counts.pop("", 0), counts)
-    else:
-        counts = document_frequencies(named, vocabulary)
-    weights = Weights(*counts, templates or TEMPLATES)
+    templates, whole = templates or TEMPLATES, full_texts()
+    vocabulary = sorted({w for own in (*templates.values(), whole.values()) for t in own for w in words(t)})
+    frequencies = all_frequencies(named)
+    counts = {r["token"]: r["n"] for r in frequencies.filter(F.col("token").isin("", *vocabulary)).collect()}
+    weights = Weights(counts.pop("", 0), counts, templates, whole)
     key = F.struct("path", F.unhex(F.md5(F.col("text").cast("binary"))).alias("hash"))
-    found = materialize(declared(named.select(key.alias("file"), "text"), weights, threshold, frequencies), "notices")
+    found = materialize(declared(named.select(key.alias("file"), "text"), weights, frequencies, threshold), "notices")
     rows = named.withColumn("file", key).drop("text")
     name = F.regexp_extract("file.path", r"[^/]*$", 0)
     homes = (found.filter(name.rlike(LICENSE_FILE))
-             .groupBy(folder(F.col("file.path")).alias("home"))
-             .agg(F.min(F.struct((-F.col("similarity")).alias("down"), "license")).alias("best"))
+             .groupBy(folder(F.col("file.path")).alias("home")).agg(_best())
              .select("home", F.col("best.license").alias("home_license"), (-F.col("best.down")).alias("home_similarity")))
     homes = materialize(homes, "homes")
     folders = rows.select(folder(F.col("path")).alias("folder")).distinct()
@@ -242,11 +326,11 @@ def scan(files: DataFrame, *, path: str = "path", text: str = "text", keep: list
     nearest = (join_small(above, homes, ["home"]).groupBy("folder")
                .agg(F.max_by(F.struct("home", "home_license", "home_similarity"), "depth").alias("near")))
     nearest = materialize(nearest, "nearest")
-    own = join_small(rows, found, ["file"], "left").withColumn("folder", folder(F.col("path")))
+    own = join_small(rows, found.drop("rank"), ["file"], "left").withColumn("folder", folder(F.col("path")))
     out = join_small(own, nearest, ["folder"], "left")
     origin = (F.when(F.col("license").isNotNull(), "header").when(F.col("near").isNotNull(), "inherited").otherwise("none"))
+    named_so = lambda c: f"kept_{c}" if c in ("path", "license", "similarity", "origin", "declared_in") else c
     return out.select(
-        *[F.col(f"kept.`{c}`").alias(c) for c in keep], "path", F.coalesce("license", "near.home_license").alias("license"),
+        *[F.col(f"kept.`{c}`").alias(named_so(c)) for c in keep], "path", F.coalesce("license", "near.home_license").alias("license"),
         F.coalesce("similarity", "near.home_similarity").alias("similarity"), origin.alias("origin"),
         F.when(F.col("license").isNull(), F.col("near.home")).alias("declared_in"))
-

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wordloom.llm.licenses import TEMPLATES, THRESHOLD, LICENSE_FILE
+from wordloom.llm.licenses import TEMPLATES, VARIANTS
 from wordloom.llm.queries import RULES
 
 MIX = r"""
@@ -120,6 +120,8 @@ FROM sim WHERE similarity >= 0.8 - 1e-12 GROUP BY doc_id, text, item_id
 
 _TEMPLATE_ROWS = ", ".join("('{}', '{}/{}', '{}')".format(n, n, i, t.replace("'", "''")) for n, own in TEMPLATES.items() for i, t in enumerate(own))
 _TOKENS = "list_filter(string_split_regex(lower({t}), '[^0-9a-z]+'), lambda x: x <> '')"
+_VARIANTS = ", ".join(f"'{w}'" for w in VARIANTS)
+# Notices on single lines and in whole texts, and stated identifiers; no table here holds wrapped notices or whole licences.
 LICENSES = rf"""
 WITH tpl(license, template, text) AS (VALUES {_TEMPLATE_ROWS}), tt AS (
   SELECT license, template, w, count(*) AS tf FROM (SELECT license, template, unnest({_TOKENS.format(t='text')}) AS w FROM tpl) GROUP BY ALL
@@ -130,29 +132,37 @@ WITH tpl(license, template, text) AS (VALUES {_TEMPLATE_ROWS}), tt AS (
 ), n AS (
   SELECT count(text) AS n FROM docs
 ), df AS (
-  SELECT w, count(*) AS df FROM (SELECT unnest(list_distinct({_TOKENS.format(t='text')})) AS w FROM docs) WHERE w IN (SELECT w FROM tt) GROUP BY w
+  SELECT w, count(*) AS df FROM (SELECT unnest(list_distinct({_TOKENS.format(t='text')})) AS w FROM docs) GROUP BY w
 ), idf AS (
-  SELECT DISTINCT w, ln((1 + n)::DOUBLE / (1 + coalesce(df, 0))) + 1 AS idf FROM tt LEFT JOIN df USING (w), n
+  SELECT w, ln((1 + n)::DOUBLE / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT w FROM tt UNION SELECT w FROM df) LEFT JOIN df USING (w), n
 ), tw AS (
-  SELECT license, template, w, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY template)) AS weight FROM tt JOIN idf USING (w)
+  SELECT license, template, w, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY template)) AS weight,
+         regexp_full_match(w, '[0-9]+') OR w IN ({_VARIANTS}) AS sign FROM tt JOIN idf USING (w)
+), signs AS (
+  SELECT template, count(*) FILTER (sign) AS signs, coalesce(list(w) FILTER (w IN ({_VARIANTS})), []) AS variants FROM tw GROUP BY template
 ), units AS (
   SELECT doc_id, unnest(list_concat([text], string_split_regex(text, '[\r\n]+'))) AS unit,
          unnest(range(0, 1 + len(string_split_regex(text, '[\r\n]+')))) AS u FROM docs WHERE text IS NOT NULL
 ), tok AS (
   SELECT doc_id, u, w, count(*) AS tf FROM (SELECT doc_id, u, unnest({_TOKENS.format(t='unit')}) AS w FROM units) GROUP BY ALL
 ), x AS (
-  SELECT doc_id, u, w, tf * coalesce(idf, (SELECT ln((1 + n)::DOUBLE) + 1 FROM n)) AS x FROM tok LEFT JOIN idf USING (w)
+  SELECT doc_id, u, w, tf * idf AS x FROM tok JOIN idf USING (w)
 ), norm AS (
-  SELECT doc_id, u, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL
+  SELECT doc_id, u, sqrt(sum(x * x)) AS norm, coalesce(list(w) FILTER (w IN ({_VARIANTS})), []) AS own FROM x GROUP BY ALL
 ), best AS (
-  SELECT doc_id, license, max(sim) AS sim FROM (
-    SELECT doc_id, u, license, template, round(sum(x * weight) / any_value(norm), 6) AS sim
-    FROM x JOIN tw USING (w) JOIN norm USING (doc_id, u) GROUP BY doc_id, u, license, template) WHERE sim >= {THRESHOLD} GROUP BY ALL
+  SELECT doc_id, license, CASE license WHEN 'Proprietary' THEN 0 ELSE 1 END AS rank, max(sim) AS sim FROM (
+    SELECT doc_id, u, license, template, round(sum(x * weight) / any_value(norm), 6) AS sim, count(*) FILTER (sign) AS met, any_value(own) AS own
+    FROM x JOIN tw USING (w) JOIN norm USING (doc_id, u) GROUP BY doc_id, u, license, template) JOIN signs USING (template)
+  WHERE sim >= 0.7 AND met = signs AND len(list_filter(own, lambda x: NOT list_contains(variants, x))) = 0 GROUP BY ALL
+  UNION ALL SELECT doc_id, s, 3, 1.0 FROM (SELECT doc_id, regexp_replace(regexp_extract(text,
+    'SPDX-License-Identifier:[ \t]*([0-9A-Za-z.+()-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[0-9A-Za-z.+()-]+)*)', 1), '[ \t]+', ' ', 'g') AS s FROM docs) WHERE s <> ''
 ), own AS (
-  SELECT doc_id, arg_min(license, struct_pack(a := -sim, b := license)) AS license, max(sim) AS sim FROM best GROUP BY doc_id
+  SELECT doc_id, any_value(b.license) AS license, any_value(b.sim) AS sim, any_value(b.rank) AS rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank DESC, sim DESC, license) AS place FROM best) b WHERE place = 1 GROUP BY doc_id
 ), home AS (
-  SELECT folder AS home, arg_min(license, struct_pack(a := -sim, b := license)) AS license, max(sim) AS sim
-  FROM own JOIN docs USING (doc_id) WHERE regexp_matches(name, '{LICENSE_FILE}') GROUP BY folder
+  SELECT folder AS home, arg_min(license, struct_pack(c := -rank, a := -sim, b := license)) AS license,
+         arg_min(sim, struct_pack(c := -rank, a := -sim, b := license)) AS sim
+  FROM own JOIN docs USING (doc_id) WHERE regexp_matches(name, '(?i)^(licen[cs]e|copying|notice)([._-].*)?$') GROUP BY folder
 ), near AS (
   SELECT folder, max(home) AS home FROM (SELECT DISTINCT folder FROM docs) JOIN home ON folder = home OR starts_with(folder, home || '/') GROUP BY folder
 )
