@@ -58,7 +58,7 @@ def test_words_not_shapes():
     assert good.min() > 0.8 and spam.max() < 0.3 and noise.max() < 0.4
     cosine = lambda a, b: float((model.embed([a]) @ model.embed([b]).T)[0, 0]) / quality.GRID ** 2
     prose = texts_of(rng, "prose", 2)
-    assert cosine(*prose) > 0.2 + max(cosine(prose[0], texts_of(rng, kind, 1)[0]) for kind in ("spam", "noise"))
+    assert cosine(*prose) > 0.1 + max(cosine(prose[0], texts_of(rng, kind, 1)[0]) for kind in ("spam", "noise"))
 
 
 def test_scores_against_brute_force():
