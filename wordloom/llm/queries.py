@@ -63,7 +63,6 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    modest_batches(spark)
     return mpegts.features(mpegts.store(table(spark, sf_dir, "documents")))
 
 
