@@ -1,4 +1,3 @@
-import gzip
 import hashlib
 import random
 
@@ -30,7 +29,7 @@ def columns(r):
 
 
 def test_round_trip(spark, monkeypatch):
-    monkeypatch.setattr(warc, "RECORDS_PER_ARCHIVE", 3)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3 * warc.CLASS_BYTES)
     got = warc.archive(spark.createDataFrame(ROWS, PAGES).repartition(3)).collect()
     assert sorted(map(columns, got), key=str) == expected(ROWS)
     order = [(r["url_key"], r["captured_at"], r["page_id"] is None, r["page_id"] or 0) for r in got]
@@ -41,11 +40,11 @@ def test_archives_hold_whole_records(spark, tmp_path):
     path = str(tmp_path / "warc")
     warc.write_archives(warc.plan_records(spark.createDataFrame(ROWS, PAGES).coalesce(1)), path)
     found = {}
-    for f in (tmp_path / "warc").glob("*.gz"):
-        data = gzip.decompress(f.read_bytes())
+    for f in (tmp_path / "warc").glob("part-*"):
+        data = f.read_bytes()
         for at, length, headers, block in warc.parse_records(data):
             assert data[at:at + 8] == b"WARC/1.1" and data[at + length:at + length + 4] == b"\r\n\r\n"
-            found[headers["warc-record-id"]] = headers, block.split(b"\r\n\r\n", 1)[1]
+            found[headers["warc-record-id"]] = headers, bytes(block).split(b"\r\n\r\n", 1)[1]
     assert found["<urn:page:8>"][1] == b"z" * 3_000_000 and found["<urn:page:5>"][1] == b""
     assert found["<urn:page:5>"][0]["warc-refers-to"] == "<urn:page:3>" and found["<urn:page:7>"][0]["warc-target-uri"] == "http://e.com/%0D%0AX: y"
     assert "warc-target-uri" not in found["<urn:page:4>"][0]
@@ -71,7 +70,7 @@ def test_loser_tree(seed):
 
 def test_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(warc, "CAPTURES_PER_RANGE", 20)
-    monkeypatch.setattr(warc, "RECORDS_PER_ARCHIVE", 17)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 17 * warc.CLASS_BYTES)
     rows = [(i, f"http://{'abc'[i % 3]}.com/{i % 7}", f"page {i % 50} " * 20) for i in range(300)]
     got = warc.archive(spark.createDataFrame(rows, PAGES).repartition(5)).collect()
     assert sorted(map(columns, got), key=str) == expected(rows)
@@ -79,6 +78,34 @@ def test_many_ranges(spark, monkeypatch):
     assert keys == sorted(keys) and len({r["archive"] for r in got}) > 5
 
 
+def test_offsets_find_the_records(spark, tmp_path):
+    got = warc.archive(spark.createDataFrame(ROWS, PAGES), str(tmp_path / "warc")).collect()
+    html = {r[0]: (r[2] or "").encode() for r in ROWS}
+    for r in got:
+        with open(tmp_path / "warc" / r["archive"], "rb") as f:
+            f.seek(r["offset"])
+            raw = f.read(r["length"])
+        assert raw.startswith(b"WARC/1.1\r\n") and f"<urn:page:{'' if r['page_id'] is None else r['page_id']}>".encode() in raw
+        if r["record_type"] == "response" and r["page_id"] is not None:
+            assert raw.endswith(b"\r\n\r\n" + html[r["page_id"]])
+
+
+def test_large_pages_stand_in_archives_of_bounded_size(spark, tmp_path):
+    pages = spark.range(40, numPartitions=2).selectExpr("id AS page_id", "concat('http://h.com/', id) AS url", "concat(repeat(cast(id % 10 AS string), 20000000), id) AS html")
+    small = spark.range(40, 200).selectExpr("id AS page_id", "concat('http://h.com/', id) AS url", "concat('page ', id, repeat('x', 200)) AS html")
+    got = warc.archive(pages.union(small), str(tmp_path / "warc"))
+    assert got.agg({"payload_bytes": "sum", "page_id": "count"}).first().asDict()["count(page_id)"] == 200
+    sizes = [f.stat().st_size for f in (tmp_path / "warc").glob("part-*")]
+    assert max(sizes) <= warc.ARCHIVE_BYTES * 1.1 and sum(sizes) > 40 * 20_000_000
+    assert {r["record_type"] for r in got.select("record_type").distinct().collect()} == {"response"}
+
+
+def test_hot_digests(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT_DIGEST", 5)
+    rows = [(i, f"http://a.com/{i}", "same " * 40 if i % 3 else f"pair {i // 6} " * 30) for i in range(60)] + [(None, "http://x/", "same " * 40), (99, "u://", "")]
+    assert sorted(map(columns, warc.archive(spark.createDataFrame(rows, PAGES)).collect()), key=str) == expected(rows)
+
+
 def test_url_keys():
     assert [warc.url_key(u) for u in (None, "", "x", "http://www.B.com", "http://b.com:80/A?Q#f", "http://b.com?x")] == [
         "", "", "x", "com,b)/", "com:80,b)/a?q", "com,b)?x"]

@@ -78,7 +78,6 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    modest_batches(spark, 4096)
     merged = warc.archive(table(spark, sf_dir, "pages"))
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
