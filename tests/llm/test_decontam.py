@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordloom.llm import decontam
+from wordloom.storage import materialize
 
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
 
@@ -14,7 +15,7 @@ def tokens(text):
 
 
 def runs(w):
-    return [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+    return [tuple(w[i:i + 5]) for i in range(len(w) - 4)] if len(w) > 4 else [tuple(w)] if w else []
 
 
 def brute(docs, items):
@@ -50,7 +51,7 @@ def corpus(seed):
             at = rnd.randint(0, len(text))
             text[at:at] = planted * rnd.choice([1, 1, 2])
         docs.append((i, rnd.choice([" ", ", ", "\n"]).join(text)))
-    docs += [(100, " ".join(items[0][:-1])), (101, " ".join(items[1]).upper()), (102, "la " * 300), (103, "x y " * 40)]
+    docs += [(104, "A, b: c!"), (105, "a b c d"), (106, "b c"), (100, " ".join(items[0][:-1])), (101, " ".join(items[1]).upper()), (102, "la " * 300), (103, "x y " * 40)]
     return docs, list(enumerate(" ".join(x) for x in items))
 
 
@@ -103,10 +104,40 @@ def test_awkward(spark, awkward, empty):
     assert decontam.drop_contaminated(awkward, items.limit(0)).count() == awkward.count()
 
 
-def test_many_marks_take_the_shuffle_path(spark, monkeypatch):
+def test_repeated_shingles_are_found_beyond_the_radius(spark):
+    """Windows that lack what the item repeats reach the threshold by weight while many bits of the fingerprints differ."""
+    rnd = random.Random(11)
+    docs, items = [], []
+    for i in range(60):
+        words = [f"q{i}x{j}" for j in range(40)]
+        repeated = words[:5] * rnd.choice([2, 3, 4])
+        items.append((i, " ".join(words[5:] + repeated)))
+        docs.append((i, " ".join([f"z{rnd.random()}"] * 3 + words[5:] + repeated[:5 * rnd.choice([1, 2])])))
+    rows = decontam.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    want = brute(docs, items)
+    assert {(r["id"], r["item_id"]): r["similarity"] for r in rows} == want and len(want) > 10
+
+
+def test_items_that_share_passages_bring_few_pairs(spark, monkeypatch):
+    """Ten thousand items of one size with a common introduction: a window meets few of them."""
+    rnd = random.Random(4)
+    head = [f"intro{k}" for k in range(12)]
+    items = [(i, " ".join(head + [f"a{i}b{rnd.randint(0, 9)}c{k}" for k in range(28)])) for i in range(10_000)]
+    docs = [(i, " ".join([f"f{rnd.random()}" for _ in range(30)] + items[i * 37][1].split()[:-2] + ["and", "more", "words"])) for i in range(100)]
+    docs += [(1000 + i, " ".join(head * 4)) for i in range(20)]
+    seen = {}
+    monkeypatch.setattr(decontam, "materialize", lambda df, name: seen.setdefault(name, materialize(df, name)))
+    rows = decontam.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert {r["id"]: r["item_id"] for r in rows} == {i: i * 37 for i in range(100)}
+    assert seen["pairs"].count() < 5 * seen["prints"].count()
+    print("pairs", seen["pairs"].count(), "windows", seen["prints"].count())
+
+
+def test_marks_in_blocks_and_joins_without_broadcast(spark, monkeypatch):
     import wordloom.storage as storage
 
-    monkeypatch.setattr(decontam, "join_small", lambda *a, limit=0: storage.join_small(*a, limit=0))
+    monkeypatch.setattr(decontam, "MARKS", 100)
+    monkeypatch.setattr(decontam, "join_small", lambda *a, **k: storage.join_small(*a, limit=0))
     docs, items = corpus(7)
     rows = decontam.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
     assert {(r["id"], r["item_id"]): r["similarity"] for r in rows} == brute(docs, items)

@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash windows and multi-index Hamming blocks. DataFrame functions only.
 
 Words are maximal runs of 0-9, a-z and characters from U+0080 in the lower-cased text; shingles
-are five words. An item with n shingles is compared with windows of n shingles of each text
+are five words, and a text or item of one to four words is one shingle. An item with n shingles is compared with windows of n shingles of each text
 (the whole text where that is shorter). The weighted similarity counts a shingle as often as
 it occurs: common / (window + item - common).
 """
@@ -9,8 +9,9 @@ it occurs: common / (window + item - common).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.storage import join_small, materialize
@@ -18,9 +19,9 @@ from wordloom.storage import join_small, materialize
 SHINGLE = 5
 THRESHOLD = 0.8
 SEPARATOR = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
-#: Marks (12 bytes each) that are broadcast at most; more are joined by shuffling the places.
+#: Marks (12 bytes each) that are broadcast at a time; more are searched for in blocks of so many.
 MARKS = 1_000_000
-#: Fingerprints of windows at the threshold differ in 9.7 of 64 bits on average, with deviation 2.9.
+#: Fingerprints of windows at the threshold, without repeated shingles, differ in 9.7 of 64 bits on average, with deviation 2.9.
 RADIUS = 23
 #: One block more than the radius: fingerprints within it agree on a whole block at least.
 BLOCKS = RADIUS + 1
@@ -40,13 +41,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shingle_hashes(text: Column) -> Column:
-    """64-bit hashes of the shingles in order; empty where there are under five words."""
+    """64-bit hashes of the shingles in order; one of all words where there are under five, none where there is no word."""
     words = F.array_remove(F.split(F.lower(text), SEPARATOR), "")
 
     def runs(w: Column) -> Column:
         last = F.size(w) - SHINGLE
         return F.when(last >= 0, F.transform(
-            F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)])))
+            F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))).when(
+            F.size(w) > 0, F.array(F.xxhash64(w, F.size(w))))
 
     return F.coalesce(let(F.transform(words, lambda w: F.xxhash64(w)), runs), F.array().cast("array<long>"))
 
@@ -102,57 +104,89 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
        threshold only if enough of its places are marked, so only windows with enough marks
        (of items of its size), beginning at a mark or ending the text, are kept. That loses
        nothing: moving a window's start on to its next mark never lowers its common weight.
-    2. Each kept window gets a SimHash, and so does each item. Both are indexed by 24 blocks of
-       the fingerprint under the window size; fingerprints within 23 bits agree on a block.
-    3. Pairs within the radius are verified by exact weighted-shingle similarity.
+    2. Each kept window meets the items of which it holds one of the rarest shingles: of each item,
+       so many of its rarest as leave a rest that can't reach the threshold. That loses nothing
+       either, and a passage that many items share brings no pairs.
+    3. Pairs whose 64-bit SimHashes agree on one of 24 blocks and lie within 23 bits go on (a pair within
+       the radius agrees on a block). So do all pairs in which a shingle repeats or the window is
+       shorter than the item: there the weights, not the number of shingles, decide, and no radius is safe.
+    4. Exact weighted-shingle similarity decides.
 
     A text is known by key and ``hash`` (128 bits of it); rows that repeat both are one. ``start``
-    is the least start of the windows with the greatest similarity, in words from 0. Null or
-    short texts (under five words) are neither found nor searched for. Items that share an id
-    count as one. Other columns of both tables are ignored.
+    is the least start of the windows with the greatest similarity, in words from 0. Texts and items
+    without words are neither found nor searched for; an item of one to four words is found only in
+    texts that consist of the same words. Items that share an id count as one. Other columns of both
+    tables are ignored.
     """
-    items = materialize(
-        benchmark.select(F.col(item_key).alias("item_id"), shingle_hashes(F.col(item_text)).alias("item"))
-        .filter(F.size("item") > 0).withColumn("n", F.size("item"))
-        .withColumn("print", simhash(F.col("item"))), "items")
+    items = benchmark.select(F.col(item_key).alias("item_id"), shingle_hashes(F.col(item_text)).alias("item"))
+    items = materialize(items.filter(F.size("item") > 0).distinct().select(
+        "*", F.size("item").alias("n"), simhash(F.col("item")).alias("item_print"), repeats("item").alias("item_loose"),
+        F.monotonically_increasing_id().alias("no")), "items")
     marks = materialize(items.select("n", F.explode("item").alias("h")).distinct(), "marks")
     named = docs.select(F.struct(F.col(key).alias("id")).alias("id"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("hash"),
                         F.col(text).alias("text"))
-    places = (named.withColumn("hs", shingle_hashes(F.col("text")))
-              .select("id", "hash", F.size("hs").alias("m"), F.posexplode("hs").alias("pos", "h")))
-    marked = join_small(places, marks, ["h"], limit=MARKS).groupBy("id", "hash", "m", "n").agg(F.array_sort(F.collect_set("pos")).alias("at"))
-    window = F.least("m", "n")
-    need = least_common(window, F.col("n"), threshold)
-    marked = marked.withColumn("need", need).filter(F.size("at") >= F.col("need"))
-    enough = F.filter(F.sequence(F.lit(0), F.size("at") - F.col("need")),
-                      lambda j: F.get("at", j + F.col("need") - 1) - F.get("at", j) < F.col("n"))
-    starts = F.array_distinct(F.transform(enough, lambda j: F.least(F.get("at", j), F.col("m") - window)))
-    windows = (marked.withColumn("starts", starts).filter(F.size("starts") > 0)
-               .groupBy("id", "hash").agg(F.collect_list(F.struct("n", "starts")).alias("sizes")))
-    windows = materialize(windows, "windows")
+    windows = materialize(_windows(named, marks, threshold), "windows")
     sliced = (join_small(named, windows, ["id", "hash"])
               .withColumn("hs", shingle_hashes(F.col("text"))).drop("text")
               .withColumn("size", F.explode("sizes")).withColumn("start", F.explode("size.starts"))
               .select("id", "hash", F.col("size.n").alias("n"), "start",
-                      F.slice("hs", F.col("start") + 1, F.col("size.n")).alias("window")))
-    sliced = materialize(sliced.withColumn("print", simhash(F.col("window"))), "prints")
-    indexed = sliced.select("*", F.posexplode(block_values(F.col("print"))).alias("block", "value"))
-    wanted = materialize(items.select("item_id", "item", "n", F.col("print").alias("item_print"),
-                                      F.posexplode(block_values(F.col("print"))).alias("block", "value")), "index")
+                      F.slice("hs", F.col("start") + 1, F.col("size.n")).alias("window")).distinct())
+    loose = repeats("window") | (F.size("window") < F.col("n"))
+    sliced = materialize(sliced.select("*", simhash(F.col("window")).alias("print"), loose.alias("loose"),
+                                       F.monotonically_increasing_id().alias("w")), "prints")
+    pairs = materialize(candidates(sliced, items, threshold), "pairs")
     differ = F.col("print").bitwiseXOR(F.col("item_print"))
-    first = F.array_position(F.transform(block_values(differ), lambda v: v == 0), F.lit(True)) - 1
-    near = (join_small(indexed, wanted, ["n", "block", "value"])
-            .filter(F.col("block") == first)  # a pair is taken in the first block that agrees
-            .withColumn("distance", F.bit_count(differ)).filter(F.col("distance") <= RADIUS)
+    near = F.exists(block_values(differ), lambda v: v == 0) & (F.bit_count(differ) <= RADIUS)
+    common = F.col("common")
+    good = (join_small(pairs.join(sliced.drop("n"), "w"), items, ["no"])
+            .filter(near | F.col("loose") | F.col("item_loose"))
+            .withColumn("distance", F.bit_count(differ))
             .withColumn("common", common_weight(F.col("window"), F.col("item")))
-            .withColumn("similarity", F.col("common") / (F.size("window") + F.col("n") - F.col("common")))
-            .filter(F.col("common") >= least_common(F.size("window"), F.col("n"), threshold)))
-    return (near.groupBy("id", "hash", "item_id")
+            .withColumn("similarity", common / (F.size("window") + F.col("n") - common))
+            .filter(common >= least_common(F.size("window"), F.col("n"), threshold)))
+    return (good.groupBy("id", "hash", "item_id")
             .agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), (-F.col("distance")).alias("near"))).alias("best"))
             .select(F.col("id.id").alias("id"), "hash", "item_id", "best.similarity", (-F.col("best.back")).alias("start"),
                     (-F.col("best.near")).alias("distance")))
 
 
+def repeats(column: str) -> Column:
+    return F.size(F.array_distinct(column)) < F.size(column)
+
+
+def _windows(named: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """``id, hash, sizes``: the starts of the windows with enough marks, by window size."""
+    places = (named.withColumn("hs", shingle_hashes(F.col("text")))
+              .select("id", "hash", F.size("hs").alias("m"), F.posexplode("hs").alias("pos", "h")))
+    blocks = max(1, -(-marks.count() // MARKS))
+    block = F.pmod(F.xxhash64("h"), F.lit(blocks))
+    # The marks are a query set: in blocks of a bounded size, each broadcast, they meet all places.
+    met = [places.join(F.broadcast(marks.filter(block == b)), "h") for b in range(blocks)]
+    marked = (reduce(DataFrame.unionByName, met).groupBy("id", "hash", "m", "n")
+              .agg(F.array_sort(F.collect_set("pos")).alias("at")))
+    window = F.least("m", "n")
+    need = least_common(window, F.col("n"), threshold)
+    marked = marked.withColumn("need", need).filter(F.size("at") >= F.col("need"))
+    enough = F.filter(F.sequence(F.lit(0), F.size("at") - F.col("need")),
+                      lambda j: F.get("at", j + F.col("need") - 1) - F.get("at", j) < F.col("n"))
+    starts = F.array_distinct(F.transform(enough, lambda j: F.least(F.get("at", j), F.col("m") - window)))
+    return (marked.withColumn("starts", starts).filter(F.size("starts") > 0)
+            .groupBy("id", "hash").agg(F.collect_list(F.struct("n", "starts")).alias("sizes")))
+
+
+def candidates(sliced: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """``w, no``: windows and the items of their size of which each holds one of the rarest shingles."""
+    held = items.select("no", "n", F.explode("item").alias("h")).groupBy("no", "n", "h").agg(F.count(F.lit(1)).alias("c"))
+    common = held.groupBy("n", "h").agg(F.count(F.lit(1)).alias("holders"))
+    rarest = Window.partitionBy("no").orderBy("holders", "h").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("c").over(rarest), F.lit(0))
+    least = F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9))
+    index = materialize(held.join(common, ["n", "h"]).withColumn("before", before)
+                        .filter(F.col("n") - F.col("before") >= least).select("n", "h", "no"), "index")
+    inside = sliced.select("w", "n", F.explode(F.array_distinct("window")).alias("h"))
+    return join_small(inside, index, ["n", "h"]).select("w", "no").distinct()
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text",
                       **options) -> DataFrame:
     """``docs`` without the rows in which :func:`contaminated` finds an item; all columns are kept."""

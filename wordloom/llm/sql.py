@@ -54,6 +54,7 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 
 _WORDS = r"list_filter(string_split_regex(lower({t}), '[^0-9a-z\x{{80}}-\x{{10FFFF}}]+'), lambda x: x <> '')"
 _SHINGLES = "list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))"
+_SOME = f"CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE {_SHINGLES} END"
 
 NEAR = f"""
 WITH RECURSIVE t AS (
@@ -61,7 +62,7 @@ WITH RECURSIVE t AS (
 ), w AS (
   SELECT d, text, {_WORDS.format(t='text')} AS w FROM t
 ), s AS (
-  SELECT d, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE {_SHINGLES} END) AS s FROM w
+  SELECT d, unnest({_SOME}) AS s FROM w WHERE len(w) > 0
 ), c AS (
   SELECT d, s, count(*) AS n FROM s GROUP BY d, s
 ), z AS (
@@ -96,13 +97,13 @@ LEAKS = f"""
 WITH i AS (
   SELECT item_id, {_WORDS.format(t='text')} AS w FROM benchmark
 ), it AS (
-  SELECT item_id, len(w) - 4 AS n, {_SHINGLES} AS s FROM i WHERE len(w) >= 5
+  SELECT item_id, greatest(1, len(w) - 4) AS n, {_SOME} AS s FROM i WHERE len(w) >= 1
 ), ic AS (
   SELECT item_id, n, s, count(*) AS c FROM (SELECT item_id, n, unnest(s) AS s FROM it) GROUP BY ALL
 ), d AS (
   SELECT doc_id, text, {_WORDS.format(t='text')} AS w FROM (SELECT DISTINCT doc_id, text FROM documents)
 ), dp AS (
-  SELECT doc_id, text, len(w) - 4 AS m, unnest({_SHINGLES}) AS s, unnest(range(0, len(w) - 4)) AS pos FROM d WHERE len(w) >= 5
+  SELECT doc_id, text, greatest(1, len(w) - 4) AS m, unnest({_SOME}) AS s, unnest(range(0, greatest(1, len(w) - 4))) AS pos FROM d WHERE len(w) >= 1
 ), hit AS (
   SELECT doc_id, text, m, pos, s, item_id, n, c FROM dp JOIN ic USING (s)
 ), win AS (
