@@ -25,7 +25,6 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of least doc_id of each class of near-duplicates."""
-    modest_batches(spark)
     return minhash.drop_near_duplicates(docs)
 
 

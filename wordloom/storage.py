@@ -140,6 +140,16 @@ def join_dealt(many: DataFrame, one: DataFrame, key: str, hot: DataFrame | None,
     return dealt.join(copies, [key, "__deal"], how).drop("__deal")
 
 
+def join_skewed(many: DataFrame, one: DataFrame, key: str, spread: Column, how: str = "inner") -> DataFrame:
+    """Join on ``key``, of which ``many`` may have any number of rows and ``one`` has one; both are materialised.
+
+    ``one`` is broadcast if it is small; else hot keys are dealt to several tasks by ``spread``.
+    """
+    if is_small(one):
+        return many.join(F.broadcast(one), key, how)
+    return join_dealt(many, one, key, hot_keys(many, key), spread, how)
+
+
 def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Column],
                   value: Column, out: str) -> DataFrame:
     """Exclusive running sum of ``value`` within ``group``, ordered by ``bucket`` then ``order``.
