@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm.shingles import mix, similarity, weighted
-from wordloom.storage import join_small, materialize, running_total
+from wordloom.storage import (arrow_batches, hot_keys, is_small, join_dealt, join_skewed, join_small, materialize, release,
+                              sortable)
 
 COORDINATES, ROWS = 96, 4
 BANDS = COORDINATES // ROWS
@@ -98,13 +100,13 @@ def signatures(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, own
     return sign.reshape(owners, COORDINATES)
 
 
-def text_signatures(texts: list[str | None]) -> np.ndarray:
-    """Signatures of whole texts; a text without a word has zeros."""
+def text_signatures(texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
+    """Signatures of whole texts, zeros where a text has no word; and how many shingles each has."""
     sets = [weighted(t) for t in texts]
-    owner = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
+    owner, totals = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets]), [int(s[1].sum()) for s in sets]
     if not len(owner):
-        return np.zeros((len(sets), COORDINATES), np.uint64)
-    return signatures(np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]).astype(float), owner, len(sets))
+        return np.zeros((len(sets), COORDINATES), np.uint64), totals
+    return signatures(np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]).astype(float), owner, len(sets)), totals
 
 
 def band_keys(sign: np.ndarray) -> np.ndarray:
@@ -115,29 +117,34 @@ def band_keys(sign: np.ndarray) -> np.ndarray:
     return keys
 
 
-#: Signature agreement under which a pair can't plausibly reach the threshold: 4.4 standard deviations below it.
-PLAUSIBLE = 0.62
-#: A bucket is compared in pairs of blocks of about this many texts.
-BLOCK = 512
+#: Pairs of different components are verified from this agreement on. At the threshold fewer than 53 of 96 coordinates
+#: agree with probability under 1e-8, while no band agrees with 3e-6.
+PLAUSIBLE = 0.55
+#: Pairs that agree so far are verified first, and only as many as may connect a bucket.
+LIKELY = 0.75
+#: A bucket is compared in pairs of blocks of about this many texts, as signatures.
+BLOCK = 4096
+#: Cells of a block's table of agreements that are counted at a time.
+TABLE = 1 << 24
 
 
 def _signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``id, hash, bands, sign`` of each row; no bands where a text has no word."""
+    """``id, hash, bands, sign, total`` of each row, ``total`` shingles; no bands where a text has no word."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 own = batch.slice(at, 128)
-                found = text_signatures(own.column("text").to_pylist())
+                found, totals = text_signatures(own.column("text").to_pylist())
                 some = found.any(1)
                 bands, short = band_keys(found).view(np.int64), found.astype(np.uint16).view(np.int16)
                 yield pa.record_batch(
                     [own.column("id"), own.column("hash"),
                      pa.array([b if s else None for b, s in zip(bands, some)], pa.list_(pa.int64())),
-                     pa.array([b if s else None for b, s in zip(short, some)], pa.list_(pa.int16()))],
-                    names=["id", "hash", "bands", "sign"])
+                     pa.array([b if s else None for b, s in zip(short, some)], pa.list_(pa.int16())), pa.array(totals, pa.int64())],
+                    names=["id", "hash", "bands", "sign", "total"])
 
     ready = docs.select(F.col(key).cast("long").alias("id"), text_hash(F.col(text)).alias("hash"), F.col(text).alias("text"))
-    return ready.mapInArrow(sign, "id long, hash binary, bands array<long>, sign array<short>")
+    return ready.mapInArrow(sign, "id long, hash binary, bands array<long>, sign array<short>, total long")
 
 
 def text_hash(text: Column) -> Column:
@@ -150,38 +157,58 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round gives a node the least label among its neighbours, then follows labels of labels,
     so rounds grow with the logarithm of a component's diameter. All aggregates are partial
-    minimums, whatever a node's degree.
+    minimums; a node with many neighbours and a label of many nodes are dealt to several tasks.
     """
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
+    hubs = hot_keys(both, "b")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
                          .select("node", F.least("node", "near").alias("label")), "labels")
     while True:
-        near = (both.join(labels.withColumnRenamed("node", "b"), "b")
-                .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near")))
-        step = (labels.join(near, "node")
-                .select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")))
-        far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        step = materialize(step.join(far, "label", "left")
-                           .select("node", "old", F.coalesce("far", "label").alias("label")), "labels")
-        labels = step.select("node", "label")
-        if step.filter("label != old").isEmpty():
+        of = labels.withColumnRenamed("node", "b")
+        seen = both.join(F.broadcast(of), "b") if is_small(labels) else join_dealt(both, of, "b", hubs, F.col("a"))
+        near = seen.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = materialize(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
+        # Only labels that aren't their own lead further.
+        moved = step.filter("label != node").select(F.col("node").alias("label"), F.col("label").alias("far"))
+        leads = materialize(moved.join(step.select("label").distinct(), "label"), "leads")
+        after = materialize(join_skewed(step, leads, "label", F.col("node"), "left")
+                            .select("node", "old", F.coalesce("far", "label").alias("label")), "labels")
+        done = after.filter("label != old").isEmpty()
+        release(labels, step, leads)
+        labels = after.select("node", "label")
+        labels._shared_path = after._shared_path
+        if done:
+            release(both)
             return labels
 
 
-def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose texts reach the threshold exactly."""
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of a materialised table whose texts reach the threshold exactly.
+
+    The text of each b comes once to every task that has pairs of it, before those of its a's.
+    """
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
         for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             good = []
-            for x, y in zip(batch.column("text_a"), batch.column("text_b")):
-                y = y.as_py()
-                if last[0] != y:  # rows of one hub come together
-                    last = (y, weighted(y))
-                good.append(similarity(weighted(x.as_py()), last[1]) >= threshold)
+            for x, y, text in zip(a, b, batch.column("text")):
+                if x is None:
+                    last = (y, weighted(text.as_py()))
+                    good.append(False)
+                else:
+                    good.append(similarity(weighted(text.as_py()), last[1]) >= threshold if last[0] == y else False)
             yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+    hot = hot_keys(pairs, "b")
+    deals = F.lit(1) if hot is None else F.coalesce("deals", F.lit(1))
+    dealt = pairs.select("a", "b") if hot is None else pairs.select("a", "b").join(F.broadcast(hot), "b", "left")
+    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("a"), deals).cast("int").alias("deal"))
+    members = dealt.join(texts.withColumnRenamed("node", "a"), "a").select("a", "b", "deal", "text")
+    heads = (dealt.select("b", "deal").distinct().join(texts.withColumnRenamed("node", "b"), "b")
+             .select(F.lit(None).cast("long").alias("a"), "b", "deal", "text"))
+    rows = members.unionByName(heads).repartition("b", "deal").sortWithinPartitions("b", "deal", F.col("a").asc_nulls_first())
+    return rows.select("a", "b", "text").mapInArrow(verify, "a long, b long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -204,118 +231,132 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _cross_links(group: pa.Table, threshold: float) -> list[tuple[int, int]]:
-    """Links between differently labelled members of one bucket's pair of blocks: enough to connect them."""
+def _cross_pairs(group: pa.Table, threshold: float, least: float, forest: bool) -> np.ndarray:
+    """Pairs of differently labelled members of one bucket's pair of blocks that agree on enough coordinates.
+
+    With ``forest``, only the best of them that connect the labels; at most as many as there are members.
+    """
     matrix = lambda c: group.column(c).combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
-    node, label, block = (group.column(c).to_numpy() for c in ("node", "label", "block"))
+    node, label, block, total = (group.column(c).to_numpy() for c in ("node", "label", "block", "total"))
     sign, bands, band = matrix("sign"), matrix("bands"), group.column("band")[0].as_py()
-    one, texts, sets, root = group.column("low")[0] == group.column("high")[0], group.column("text"), {}, {}
+    one = group.column("low")[0] == group.column("high")[0]
+    found, agreed, n = [], [], max(1, TABLE // (len(node) * COORDINATES))
+    for at in range(0, len(node), n):
+        own = slice(at, at + n)
+        agree = (sign[own, None, :] == sign[None]).sum(2, dtype=np.int16)
+        good = (agree >= least * COORDINATES) & (label[own, None] != label[None]) & (node[own, None] < node[None])
+        # No pair of sizes further apart can reach the threshold.
+        good &= np.minimum(total[own, None], total[None]) >= threshold * np.maximum(total[own, None], total[None])
+        if not one:
+            good &= block[own, None] != block[None]
+        i, j = np.nonzero(good)
+        first = (bands[i + at] == bands[j]).argmax(1) == band  # each pair is compared in the first band it shares
+        found.append(np.stack([i[first] + at, j[first]], 1))
+        agreed.append(agree[i[first], j[first]])
+    pairs = np.concatenate(found)
+    if not forest:
+        return node[pairs]
+    root: dict = {}
 
     def find(x: int) -> int:
         while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
             x = root[x]
         return x
 
-    def of(i: int):
-        if i not in sets:
-            sets[i] = weighted(texts[int(i)].as_py())
-        return sets[i]
-
-    near = []
-    for at in range(0, len(node), 64):
-        own = slice(at, at + 64)
-        agree = (sign[own, None, :] == sign[None]).mean(2)
-        agree[label[own, None] == label[None]] = 0
-        agree[node[own, None] >= node[None]] = 0
-        if not one:
-            agree[block[own, None] == block[None]] = 0
-        i, j = np.nonzero(agree >= PLAUSIBLE)
-        score, i = agree[i, j], i + at
-        first = (bands[i] == bands[j]).argmax(1) == band  # each pair is compared in the first band it shares
-        near += zip(-score[first], i[first], j[first])
-    out = []
-    for _, i, j in sorted(near):
-        x, y = find(label[i]), find(label[j])
-        if x != y and similarity(of(i), of(j)) >= threshold:
+    kept = []
+    for p in np.argsort(-np.concatenate(agreed), kind="stable"):
+        x, y = find(label[pairs[p, 0]]), find(label[pairs[p, 1]])
+        if x != y:
             root[max(x, y)] = min(x, y)
-            out.append((node[i], node[j]))
-    return out
+            kept.append(p)
+    return node[pairs[kept]]
 
 
-def _within(open_: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) across components inside every pair of blocks of the buckets that are still open."""
+def _across(members: DataFrame, labels: DataFrame, full: DataFrame, threshold: float, least: float, forest: bool) -> DataFrame:
+    """Pairs (a, b) across components, of all buckets that hold several, from signatures alone."""
     keys = ["bucket", "low", "high"]
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, keys):
-            if found := _cross_links(group, threshold):
-                yield pa.record_batch([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            found = _cross_pairs(group, threshold, least, forest)
+            for at in range(0, len(found), 1 << 16):
+                yield pa.record_batch([pa.array(found[at:at + (1 << 16), k], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    rows = open_.select(*keys, "band", "node", "label", "block", "sign", "bands", "text")
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(links, "a long, b long")
+    labelled = materialize(members.filter("n > 2").select("bucket", "band", "node", "n").join(labels, "node", "left")
+                           .withColumn("label", F.coalesce("label", "node")), "labelled")
+    mixed = (labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+             .filter("least < most").select("bucket"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = (labelled.join(mixed, "bucket").withColumn("blocks", blocks)
+            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            .join(full.select("node", "sign", "bands", "total"), "node")
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+            .select(*keys, "band", "node", "label", "block", "total", "sign", "bands"))
+    found = rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(cross, "a long, b long")
+    with arrow_batches(members.sparkSession, 4096):
+        found = materialize(found.distinct(), "pairs")
+    release(labelled)
+    return found
 
 
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Rows ``id, hash`` and classes ``hash, class_id`` of the texts.
+    """Rows ``id, hash`` and classes ``hash, class_id, label, first`` of the texts.
 
     Steps: signatures of all whole texts; one node per different text; nodes that share a band
-    meet in buckets. Each bucket's members are compared with its least node only, and verified
-    links joined to components. Buckets of three or more that still hold several components
-    are compared across components in pairs of blocks, which no bucket's size can overfill; a
-    pair is examined once, in the first band it shares. So every pair of different texts that
-    meets in a band and reaches the threshold ends in one component, and no bucket is
-    expanded into pairs.
+    meet in buckets. Each bucket's members are compared with its least node, every pair exactly,
+    and verified links joined to components. Buckets of three or more that still hold several
+    components are then compared across components by signature, in pairs of blocks that no
+    bucket's size can overfill, each pair in the first band it shares: first the most alike pairs
+    that could connect a bucket, then, of what still isn't connected, all plausible ones. Both
+    are verified exactly. Texts travel only to be verified, once for each pair.
     """
-    signed = materialize(_signed(docs, key, text), "signatures")
+    spark = docs.sparkSession
+    with arrow_batches(spark):
+        signed = materialize(_signed(docs, key, text), "signatures")
     rows = signed.select("id", "hash")
-    different = (rows.filter("hash is not null").groupBy("hash").agg(F.min("id").alias("first"))
-                 .withColumn("bucket", F.substring(F.hex("hash"), 1, 3)).withColumn("all", F.lit(1)))
-    nodes = materialize(running_total(different, ["all"], "bucket", [F.col("hash")], F.lit(1).cast("long"), "node")
-                        .select("node", "hash", "first"), "nodes")
-    full = materialize(
-        signed.join(nodes, "hash").filter(F.col("id").eqNullSafe(F.col("first")) & F.col("bands").isNotNull())
-        .select("node", "hash", "bands", "sign"), "distinct")
-    banded = full.select("node", F.posexplode("bands").alias("band", "bucket"))
-    shared = (banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count(F.lit(1)).alias("n"))
-              .filter("hub < top").drop("top"))
-    members = materialize(banded.join(shared, "bucket"), "members")
-    met = members.select("node").distinct()
-    wanted = materialize(nodes.join(met, "node"), "met")
-    source = docs.select(F.col(key).cast("long").alias("first"), text_hash(F.col(text)).alias("hash"), F.col(text).alias("text"))
-    joined = join_small(source.withColumn("first", F.struct("first")), wanted.withColumn("first", F.struct("first")), ["hash", "first"])
-    texts = materialize(joined.select("node", "text"), "texts")
-    signs = full.select("node", "sign").join(met, "node")
-    pairs = (members.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-             .join(signs.select(F.col("node").alias("a"), F.col("sign").alias("sign_a")), "a")
-             .join(signs.select(F.col("node").alias("b"), F.col("sign").alias("sign_b")), "b"))
-    agree = F.aggregate(F.zip_with("sign_a", "sign_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.filter(agree >= int(np.ceil(PLAUSIBLE * COORDINATES))).select("a", "b")
-    edges = materialize(_verified(
-        pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"), threshold), "edges")
-    labels = components(edges)
-    labelled = materialize(members.filter("n > 2").select("bucket", "band", "node", "n").join(labels, "node", "left")
-                           .withColumn("label", F.coalesce("label", "node")), "labelled")
-    mixed = (labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-             .filter("low < high").select("bucket"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_ = (labelled.join(mixed, "bucket").withColumn("blocks", blocks)
-             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-             .join(full.select("node", "sign", "bands"), "node").join(texts, "node"))
-    more = materialize(_within(open_, threshold), "edges")
-    if not more.isEmpty():
-        labels = components(edges.union(more))
-    placed = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = placed.groupBy("label").agg(F.min("first").alias("class_id"))
-    return rows, placed.join(least, "label").select("hash", "class_id", "label", "first")
+    # Equal texts have equal signatures; the copies of a text are merged before they are shuffled.
+    full = materialize(signed.filter("hash is not null").groupBy("hash")
+                       .agg(F.min("id").alias("first"), *[F.first(c).alias(c) for c in ("bands", "sign", "total")], F.count(F.lit(1)).alias("copies"))
+                       .withColumn("node", F.monotonically_increasing_id()), "distinct")
+    banded = full.filter("bands is not null").select("node", "total", F.posexplode("bands").alias("band", "bucket"))
+    shared = (banded.groupBy("bucket").agg(F.min(F.struct("node", "total")).alias("hub"), F.max("node").alias("top"), F.count(F.lit(1)).alias("n"))
+              .filter("hub.node < top").drop("top"))
+    members = materialize(banded.join(shared, "bucket").select("bucket", "band", "node", "total", "hub", "n"), "members")
+    wanted = materialize(full.select("node", "hash", F.struct("first").alias("first")).join(members.select("node").distinct(), "node"), "met")
+    source = docs.select(F.struct(F.col(key).cast("long").alias("first")).alias("first"), text_hash(F.col(text)).alias("hash"), F.col(text).alias("text"))
+    # Rows that repeat key and text give one node more than one text, all equal.
+    texts = materialize(join_small(source, wanted, ["hash", "first"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
+    able = F.least("total", "hub.total") >= threshold * F.greatest("total", "hub.total")  # no pair of sizes further apart reaches it
+    pairs = materialize(members.filter("node != hub.node").filter(able).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), "pairs")
+    with arrow_batches(spark):
+        edges = materialize(_verified(pairs, texts, threshold), "edges")
+    labels, links = components(edges), [edges]
+    for least, forest in ((LIKELY, True), (PLAUSIBLE, False)):
+        release(pairs)
+        pairs = _across(members, labels, full, threshold, least, forest)
+        with arrow_batches(spark):
+            more = materialize(_verified(pairs, texts, threshold), "edges")
+        if not more.isEmpty():
+            release(labels)
+            links.append(more)
+            labels = components(reduce(DataFrame.unionByName, links))
+    release(pairs, members, wanted, texts, *links)
+    nodes = full.select("node", "hash", "first", "copies")
+    placed = materialize(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
+    least = materialize(placed.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_rows"))
+                        .filter("class_rows > 1"), "classes")
+    found = join_skewed(placed, least, "label", F.col("node")).select("hash", "class_id", "class_rows", "label", "first")
+    found = materialize(found, "found")
+    release(full, labels, placed, least)
+    return rows, found
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                     threshold: float = THRESHOLD) -> DataFrame:
-    """``key, class_id``, one row per row of ``docs``: the least key of its class.
+    """``key, class_id, class_rows``, one row per row of ``docs``: the least key of its class, and how many rows the class has.
 
     Equal texts share a class, and so do texts linked by a chain of weighted five-word-shingle
     similarities of the threshold or more. A text shorter than five words is one shingle; one
@@ -324,26 +365,35 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     integers; texts that share a key still have classes of their own. Other columns are ignored.
     """
     rows, found = classes(docs, key=key, text=text, threshold=threshold)
-    return (rows.join(found.select("hash", "class_id"), "hash", "left")
-            .select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id")))
+    found = found.select("hash", "class_id", "class_rows", F.lit(True).alias("known"))
+    alone = rows.filter("hash is null").select(F.col("id").alias(key), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_rows"))
+    whole = materialize(rows.filter("hash is not null"), "rows")
+    return (join_skewed(whole, found, "hash", F.col("id"), "left")
+            .select(F.col("id").alias(key), F.when(F.col("known"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
+                    F.coalesce("class_rows", F.lit(1)).alias("class_rows"))
+            .unionByName(alone))
 
 
 def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                          threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each class, that of the least key; all columns are kept. Null texts stay."""
+    """``docs`` with one row of each class, that of the least key; all columns are kept. Null texts stay.
+
+    Of rows that repeat both key and text, the first by the other columns stays.
+    """
     rows, found = classes(docs, key=key, text=text, threshold=threshold)
     best = found.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "hash")).alias("best"))
     keep = best.select(F.col("best.hash").alias("hash"), F.struct(F.col("best.first").alias("id")).alias("id"), F.lit(1).alias("kept"))
-    counted = rows.filter("hash is not null").withColumn("id", F.struct("id")).groupBy("id", "hash").agg(F.count(F.lit(1)).alias("n"))
+    # Only rows of classes of several rows can go.
+    copies = join_small(rows.filter("hash is not null"), found.select("hash"), ["hash"], "left_semi")
+    counted = copies.withColumn("id", F.struct("id")).groupBy("id", "hash").agg(F.count(F.lit(1)).alias("n"))
     fate = materialize(counted.join(keep, ["hash", "id"], "left").filter("kept is null or n > 1"), "fate")
     marked = docs.withColumns({"__hash": text_hash(F.col(text)), "__id": F.struct(F.col(key).cast("long").alias("id"))})
     lose = fate.select(F.col("hash").alias("__hash"), F.col("id").alias("__id"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    out = join_small(marked, lose, ["__hash", "__id"], "left_anti").select(*columns)
-    again = fate.filter("kept = 1")
+    out = join_small(marked, materialize(lose, "lost"), ["__hash", "__id"], "left_anti").select(*columns)
+    again = materialize(fate.filter("kept = 1").select(F.col("hash").alias("__hash"), F.col("id").alias("__id")), "again")
     if again.isEmpty():
         return out
-    # Rows that repeat both key and text: the first of each, by the other columns.
-    rank = Window.partitionBy("__hash", "__id").orderBy(*columns)
-    repeated = join_small(marked, again.select(F.col("hash").alias("__hash"), F.col("id").alias("__id")), ["__hash", "__id"])
-    return out.unionByName(repeated.withColumn("__n", F.row_number().over(rank)).filter("__n = 1").select(*columns))
+    rank = Window.partitionBy("__hash", "__id").orderBy(*sortable(docs))
+    repeated = join_small(marked, again, ["__hash", "__id"]).withColumn("__n", F.row_number().over(rank))
+    return out.unionByName(repeated.filter("__n = 1").select(*columns))

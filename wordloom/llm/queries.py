@@ -43,7 +43,6 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    modest_batches(spark)
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 

@@ -77,7 +77,8 @@ WITH RECURSIVE t AS (
 ), m AS (
   SELECT d, min(root) AS class_id FROM r GROUP BY d
 )
-SELECT doc_id, coalesce(class_id, doc_id) AS class_id FROM documents LEFT JOIN t USING (text) LEFT JOIN m ON m.d = t.d
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, CASE WHEN documents.text IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY documents.text IS NULL, class_id) END::BIGINT AS class_rows
+FROM documents LEFT JOIN t USING (text) LEFT JOIN m ON m.d = t.d
 """
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
