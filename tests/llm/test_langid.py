@@ -1,3 +1,4 @@
+import itertools
 import zlib
 
 import numpy as np
@@ -49,6 +50,36 @@ def test_expectation_maximisation_finds_the_maximum():
     assert score == pytest.approx(max(grid), abs=0.05) and share.sum() == pytest.approx(1)
 
 
+def test_the_set_against_all_subsets():
+    """The stepwise search's penalised likelihood against the best of all subsets, for texts of one to four of six close languages."""
+    rng = np.random.default_rng(7)
+    syllables = ["ka", "lo", "mi", "ra", "tu", "ven", "sol", "per", "gin", "dor", "ish", "eth"]
+    words = {f"l{k}": ["".join(rng.choice(syllables, rng.integers(2, 4), p=rng.dirichlet(np.full(12, 0.7)))) for _ in range(40)] for k in range(6)}
+    model = langid.Model.of({k: langid.trigram_counts(" ".join(rng.choice(v, 3000))) for k, v in words.items()})
+    several = 0
+    for _ in range(60):
+        own = rng.choice(6, rng.integers(1, 5), replace=False)
+        text = " ".join(w for k in own for w in rng.choice(words[f"l{k}"], rng.integers(5, 60)))
+        counts = langid.trigram_counts(text)
+        seen = np.flatnonzero(counts)
+        weight, like = counts[seen].astype(float), model.likelihood[:, seen].astype(float)
+        penalty = langid.PENALTY * np.log(weight.sum() + 1)
+
+        def value(members):
+            members = list(members)
+            share = np.full(len(members), 1 / len(members))
+            for _ in range(3000):  # plain rounds, without the bound
+                share = share * (like[members] @ (weight / (share @ like[members]))) / weight.sum()
+            return weight @ np.log(share @ like[members]) - penalty * (len(members) - 1), share
+
+        best = max((value(c)[0], c) for n in range(1, 7) for c in itertools.combinations(range(6), n))
+        chosen, share = langid.best_set(like, weight)
+        got, brute = value(chosen)
+        assert got >= best[0] - 0.01 and share == pytest.approx(brute, abs=0.02)
+        several += len(best[1]) > 1
+    assert several > 10
+
+
 def test_blocks_count_like_one_piece(monkeypatch):
     text = "the quick brown fox, JUMPED over 13 lazy dogs — été " * 40
     whole = langid.trigram_counts(text)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.storage import arrow_batches, materialize
+
 #: Hashed trigrams: 2 to this power.
 BITS = 15
 #: Whole training texts taken of a language, about; a documented bound on the sample that fits the model.
@@ -18,7 +20,8 @@ TEXTS_PER_LANGUAGE = 1500
 MOST_LANGUAGES = 400
 #: A language is added where the log-likelihood gains more than this times the log of the number of trigrams.
 PENALTY = 5.0
-ROUNDS, TOLERANCE = 40, 1e-4
+#: Proportions have converged when no others can have a log-likelihood greater by more than this.
+TOLERANCE = 1e-3
 #: Characters counted at a time.
 BLOCK = 1 << 20
 SPACE = 32
@@ -59,58 +62,73 @@ class Model:
         return cls(names, (p / p.max(0)).astype(np.float32))
 
 
-def expectation_maximisation(like: np.ndarray, counts: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
-    """Proportions that maximise the mixture's log-likelihood, from ``start``; and that log-likelihood."""
+def expectation_maximisation(like: np.ndarray, counts: np.ndarray, start: np.ndarray, wanted: float = -np.inf) -> tuple[np.ndarray, float]:
+    """Proportions that maximise the mixture's log-likelihood, from ``start``; and that log-likelihood.
+
+    With ratios r of each language's likelihood to the mixture's, averaged over the trigrams, no
+    proportions beat the present ones by more than n log max r. Rounds end when that is below the
+    tolerance, or when even so much more wouldn't reach ``wanted``.
+    """
     share, n = start, counts.sum()
-    for _ in range(ROUNDS):
+    while True:
         mixed = share @ like
-        new = share * (like @ (counts / mixed)) / n
-        moved, share = np.abs(new - share).max(), new
-        if moved < TOLERANCE:
-            break
-    return share, float(counts @ np.log(share @ like))
+        ratio = like @ (counts / mixed) / n
+        score, gap = float(counts @ np.log(mixed)), float(n * np.log(ratio.max()))
+        if gap <= TOLERANCE or score + gap <= wanted:
+            return share, score
+        share = share * ratio
 
 
-def infer(model: Model, text: str | None) -> tuple[str, float, dict[str, float]]:
-    """Main language, its share (times its posterior if alone), and all shares.
+def best_set(like: np.ndarray, weight: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """The languages of the set with the best penalised likelihood, as a stepwise search finds it, and their proportions.
 
-    Languages join the set one at a time, best gain first, while the gain beats the penalty.
+    From the best single language on, the language that gains most joins while the gain beats the
+    penalty; then each member whose loss the penalty outweighs goes, least loss first.
     """
+    penalty = PENALTY * np.log(weight.sum() + 1)
+    alone = np.log(like) @ weight
+    chosen, share, score = [int(alone.argmax())], np.ones(1), float(alone.max())
+    while len(chosen) < len(like):
+        # The same bound on what a language can add tells which can beat the penalty at all.
+        slope = like @ (weight / (share @ like[chosen])) / weight.sum()
+        slope[chosen] = 0
+        able = np.flatnonzero(weight.sum() * np.log(np.maximum(slope, 1)) + TOLERANCE > penalty)
+        tried = [(new, *expectation_maximisation(like[[*chosen, new]], weight, np.append(share * 0.8, 0.2), score + penalty)) for new in able]
+        new, more, gained = max(tried, key=lambda x: x[2], default=(None, None, -np.inf))
+        if gained - score <= penalty:
+            break
+        chosen, share, score = [*chosen, int(new)], more, gained
+        while len(chosen) > 2:
+            rests = [[c for c in chosen if c != out] for out in chosen]
+            lesser = [(r, *expectation_maximisation(like[r], weight, np.full(len(r), 1 / len(r)))) for r in rests]
+            fewer, more, lowered = max(lesser, key=lambda x: x[2])
+            if score - lowered >= penalty:
+                break
+            chosen, share, score = fewer, more, lowered
+    return chosen, share
+
+
+def infer(model: Model, text: str | None) -> tuple[str, float, dict[str, float]]:
+    """Main language, its share (times its posterior if alone), and all shares of the set that :func:`best_set` finds."""
     if not model.languages or text is None or not any(map(str.isalpha, text)):
         return "und", 0.0, {}
     counts = trigram_counts(text)
     seen = np.flatnonzero(counts)
-    weight, like = counts[seen].astype(np.float64), model.likelihood[:, seen].astype(np.float64)
     if not len(seen):
         return "und", 0.0, {}
-    alone = np.log(like) @ weight
-    chosen = [int(alone.argmax())]
-    share, score = np.ones(1), float(alone.max())
-    penalty = PENALTY * np.log(weight.sum() + 1)
-    while len(chosen) < len(model.languages):
-        # Only a language whose likelihood ratio to the mixture exceeds 1 on average can raise the likelihood.
-        slope = like @ (weight / (share @ like[chosen])) / weight.sum()
-        slope[chosen] = 0
-        best = None
-        for new in np.argsort(-slope)[:3]:
-            if slope[new] <= 1:
-                break
-            start = np.append(share * 0.8, 0.2)
-            found = expectation_maximisation(like[[*chosen, new]], weight, start)
-            if best is None or found[1] > best[1]:
-                best = (*found, int(new))
-        if best is None or best[1] - score <= penalty:
-            break
-        share, score, chosen = best[0], best[1], [*chosen, best[2]]
-    at = int(share.argmax())
-    sure = 1 / np.exp(np.clip(alone - alone.max(), -700, 0)).sum() if len(chosen) == 1 else 1.0
+    weight, like = counts[seen].astype(np.float64), model.likelihood[:, seen].astype(np.float64)
+    chosen, share = best_set(like, weight)
+    at, sure = int(share.argmax()), 1.0
+    if len(chosen) == 1:
+        alone = np.log(like) @ weight
+        sure = 1 / np.exp(np.clip(alone - alone.max(), -700, 0)).sum()
     return (model.languages[chosen[at]], float(min(1.0, share[at] * sure)),
             {model.languages[c]: float(s) for c, s in zip(chosen, share)})
 
 
 def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id",
           per_language: int = TEXTS_PER_LANGUAGE) -> Model:
-    """Fit a model on about ``per_language`` whole texts of each language, chosen by a hash of the key.
+    """Fit a model on about ``per_language`` whole texts of each language, chosen by a hash of key and text.
 
     Rows without text or language aren't used; if none is left, the model knows no language
     and calls everything ``und``. More than ``MOST_LANGUAGES`` languages are an error.
@@ -122,7 +140,7 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: s
     if not sizes:
         return Model.of({})
     part = F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))]), F.col(lang))
-    spread = F.pmod(F.xxhash64(F.lit("fit"), F.col(key)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    spread = F.pmod(F.xxhash64(F.lit("fit"), F.col(key), F.col(text)), F.lit(1 << 20)) / F.lit(float(1 << 20))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -135,12 +153,16 @@ def train(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: s
             yield pa.record_batch([pa.array([name] * len(seen), pa.string()), pa.array(seen, pa.int64()),
                                    pa.array(total[seen], pa.int64())], names=["lang", "gram", "n"])
 
-    rows = (usable.filter(spread < part).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-            .mapInArrow(count, "lang string, gram long, n long")
-            .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())
-    counts = {name: np.zeros(1 << BITS) for name in sizes}
-    for name, own in rows.groupby("lang"):
-        counts[name][own["gram"].to_numpy()] = own["n"].to_numpy()
+    found = (usable.filter(spread < part).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+             .mapInArrow(count, "lang string, gram long, n long")
+             .groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+             .groupBy("lang").agg(F.collect_list("gram").alias("gram"), F.collect_list("n").alias("n")))
+    with arrow_batches(labelled.sparkSession):
+        rows = found.toArrow()  # one row for each language
+    counts = {}
+    for name, gram, n in zip(rows.column("lang"), rows.column("gram"), rows.column("n")):
+        counts[name.as_py()] = np.zeros(1 << BITS)
+        counts[name.as_py()][gram.values.to_numpy()] = n.values.to_numpy()
     return Model.of({k: v for k, v in counts.items() if v.any()})
 
 
@@ -150,6 +172,7 @@ def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str =
 
     ``und`` with score 0 if a text is null or has no letter. Equal texts get equal values; every
     row gives one row, repeated ones too. Columns of ``docs`` other than key and text are ignored.
+    Without the text the result is written to the shared folder, else it is computed where it is used.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_LANGUAGES
     extra = extra or {}
@@ -164,6 +187,11 @@ def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str =
                  pa.array([list(x[2].items()) for x in found], pa.map_(pa.string(), pa.float64()))],
                 names=[*rest, "lang_pred", "score", "shares"])
 
+    spark = docs.sparkSession
     ready = docs.select(F.col(key).alias(key), *[c.alias(n) for n, c in extra.items()], F.col(text).alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema if keep_text or f.name != "__text")
-    return ready.mapInArrow(predict, f"{kinds}, lang_pred string, score double, shares map<string,double>")
+    found = ready.mapInArrow(predict, f"{kinds}, lang_pred string, score double, shares map<string,double>")
+    if keep_text:
+        return found
+    with arrow_batches(spark):
+        return materialize(found, "languages")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from wordloom.storage import join_small, materialize, running_total
+from wordloom.storage import join_small, materialize, running_total, sortable
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +24,11 @@ def seeded_rank(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
 
 
+def stable_source(source: Column) -> Column:
+    """The source as a text that isn't null and sorts like it, null last."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("~"))
+
+
 def water_fill(sources: DataFrame, size: str, weight: str, total: Column, max_epochs: int) -> DataFrame:
     """Add ``target``: shares of ``total`` by weight, clamped at ``max_epochs`` times the size.
 
@@ -73,7 +78,7 @@ def mix(docs: DataFrame, *, size: Column | None = None, source: str = "source",
             F.col(key).alias(key), F.col(source).cast("string").alias("source"),
             (word_count(F.col("text")) if size is None else size).cast("long").alias("size"),
             seeded_rank(F.col(key), seed).alias("__rank"))
-        .withColumn("__key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("~")))
+        .withColumn("__key", stable_source(F.col("source")))
         .withColumn("__bucket", F.substring("__rank", 1, BUCKET_DIGITS)), "mix-sizes")
     per_source = counted.groupBy("__key").agg(F.sum("size").alias("source_size"))
     turn = F.row_number().over(Window.orderBy("__key")) - 1
@@ -97,32 +102,36 @@ def mix(docs: DataFrame, *, size: Column | None = None, source: str = "source",
     )
 
 
-def repeat_rows(docs: DataFrame, taken: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` as often as ``taken`` (by :func:`mix`) says, with the columns of ``docs``.
+def repeat_rows(docs: DataFrame, taken: DataFrame, key: str = "doc_id", seed: int = 17) -> DataFrame:
+    """Rows of ``docs`` as often as ``taken`` (by :func:`mix` with that seed) says, with the columns of ``docs``.
 
-    Rows that share key, source and size are alike to the mix, which takes the first few of them
-    once more than the rest; only where a source's last row falls among such rows, so at most
-    once in each source, are they told apart by a running number over their other columns.
+    In each source the rows taken once more are the first ones in order of hash and size, so the last
+    of them tells all others: texts needn't be joined with one row for each document. Rows that share
+    the last one's key and size are alike to the mix; only where not all of them are taken
+    once more are they told apart, by a running number over a hash of the text and their other columns.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    match = ["__k", "__s", "__size"]
-
-    def matched(df: DataFrame, size: Column) -> DataFrame:
-        name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~"))
-        return df.withColumns({"__k": name(key), "__s": name("source"), "__size": size})
-
-    fates = (matched(taken, F.col("size")).groupBy(*match)
-             .agg(F.min("copies").alias("__low"), F.max("copies").alias("__high"), F.sum("copies").alias("__sum"), F.count(F.lit(1)).alias("__n")))
-    fates = materialize(fates.filter("__high > 0").withColumn("__more", F.col("__sum") - F.col("__low") * F.col("__n")).drop("__sum", "__n"), "mix-fates")
-    marked = matched(docs, word_count(F.col("text")))
-    # One row for each different document: never broadcast, so that all sizes run alike.
-    out = (marked.join(fates.filter("__low = __high").hint("merge"), match)
-           .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__high")))).select(*columns))
-    torn = fates.filter("__low < __high")
-    if torn.isEmpty():
+    order = F.struct(seeded_rank(F.col(key), seed).alias("rank"), F.col("size"))
+    placed = taken.select(stable_source(F.col("source")).alias("__s"), order.alias("at"), "copies")
+    ends = (placed.groupBy("__s", "copies").agg(F.max("at").alias("last")).groupBy("__s")
+            .agg(F.min("copies").alias("__low"), F.max("copies").alias("__high"), F.max_by("last", "copies").alias("__last")))
+    ends = materialize(ends, "mix-ends")
+    tied = (join_small(placed, ends, ["__s"]).filter("at = __last")
+            .groupBy("__s").agg(F.count_if(F.col("copies") == F.col("__high")).alias("__more"), F.count(F.lit(1)).alias("__alike")))
+    ends = materialize(ends.join(tied, "__s"), "mix-ends")
+    marked = docs.select(F.struct(*columns).alias("__row"), stable_source(F.col("source").cast("string")).alias("__s"),
+                         F.struct(seeded_rank(F.col(key), seed).alias("rank"), word_count(F.col("text")).alias("size")).alias("__at"))
+    marked = join_small(marked, ends, ["__s"])
+    torn = (F.col("__at") == F.col("__last")) & (F.col("__more") < F.col("__alike"))
+    times = F.when(F.col("__at") <= F.col("__last"), F.col("__high")).otherwise(F.col("__low"))
+    back = [F.col(f"__row.`{c}`").alias(c) for c in docs.columns]
+    out = (marked.filter(~torn).withColumn("__times", times).filter("__times > 0")
+           .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*back))
+    if ends.filter("__more < __alike").isEmpty():
         return out
-    place = F.row_number().over(Window.partitionBy(*match).orderBy(F.xxhash64("text"), *columns))
-    some = (join_small(marked, torn, match).withColumn("__place", place)
-            .withColumn("__times", F.when(F.col("__place") <= F.col("__more"), F.col("__high")).otherwise(F.col("__low")))
+    some = marked.filter(torn).select(*back, "__s", "__low", "__high", "__more")
+    some = some.withColumn("__hash", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).withColumn("__bucket", F.substring("__hash", 1, BUCKET_DIGITS))
+    some = running_total(materialize(some, "mix-torn"), ["__s"], "__bucket", [F.col("__hash"), *sortable(docs)], F.lit(1).cast("long"), "__place")
+    some = (some.withColumn("__times", F.when(F.col("__place") < F.col("__more"), F.col("__high")).otherwise(F.col("__low")))
             .filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*columns))
     return out.unionByName(some)

@@ -16,12 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def modest_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows and 16 MB at most: texts can be long, and memory stays bounded by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
 def held_out(key: str = "doc_id"):
     """Rows that nothing may be learned from: crc32 of the key as text leaves 2 divided by 4."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -32,7 +26,6 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    modest_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.filter(~held_out()))
     return langid.identify(docs, model, extra={"held_out": held_out()}).drop("shares")
