@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm import decontam, langid, minhash, mixing, sharding
-from wordloom.llm.queries import held_out, modest_batches, table
+from wordloom.llm.queries import held_out, table
 from wordloom.storage import materialize
 
 #: Least share of its main language that a document needs to stay.
@@ -15,11 +15,11 @@ LEAST_SHARE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language: null texts, texts without letters, mixtures without a main language."""
-    modest_batches(spark)
     model = langid.train(docs.filter(~held_out()))
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     judged = langid.identify(docs, model, extra={"__kept": kept}, keep_text=True)
-    return (judged.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    main = F.array_max(F.map_values("shares"))  # the mixture's alone: a short text of one language isn't one of many
+    return (judged.filter((F.col("lang_pred") != "und") & (main >= LEAST_SHARE))
             .select(*[F.col("__text" if c == "text" else f"__kept.`{c}`").alias(c) for c in docs.columns]))
 
 
