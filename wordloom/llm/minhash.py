@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -122,8 +122,8 @@ def band_keys(sign: np.ndarray) -> np.ndarray:
 PLAUSIBLE = 0.55
 #: Pairs that agree so far are verified first, and only as many as may connect a bucket.
 LIKELY = 0.75
-#: A bucket is compared in pairs of blocks of about this many texts, as signatures.
-BLOCK = 4096
+#: A bucket is compared in pairs of blocks of about so many texts and so many shingles at most, or one text.
+BLOCK, BLOCK_SHINGLES = 1024, 350_000
 #: Cells of a block's table of agreements that are counted at a time.
 TABLE = 1 << 24
 
@@ -231,73 +231,124 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def _cross_pairs(group: pa.Table, threshold: float, least: float, forest: bool) -> np.ndarray:
-    """Pairs of differently labelled members of one bucket's pair of blocks that agree on enough coordinates.
-
-    With ``forest``, only the best of them that connect the labels; at most as many as there are members.
-    """
-    matrix = lambda c: group.column(c).combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
-    node, label, block, total = (group.column(c).to_numpy() for c in ("node", "label", "block", "total"))
-    sign, bands, band = matrix("sign"), matrix("bands"), group.column("band")[0].as_py()
-    one = group.column("low")[0] == group.column("high")[0]
-    found, agreed, n = [], [], max(1, TABLE // (len(node) * COORDINATES))
-    for at in range(0, len(node), n):
-        own = slice(at, at + n)
-        agree = (sign[own, None, :] == sign[None]).sum(2, dtype=np.int16)
-        good = (agree >= least * COORDINATES) & (label[own, None] != label[None]) & (node[own, None] < node[None])
-        # No pair of sizes further apart can reach the threshold.
-        good &= np.minimum(total[own, None], total[None]) >= threshold * np.maximum(total[own, None], total[None])
-        if not one:
-            good &= block[own, None] != block[None]
-        i, j = np.nonzero(good)
-        first = (bands[i + at] == bands[j]).argmax(1) == band  # each pair is compared in the first band it shares
-        found.append(np.stack([i[first] + at, j[first]], 1))
-        agreed.append(agree[i[first], j[first]])
-    pairs = np.concatenate(found)
-    if not forest:
-        return node[pairs]
-    root: dict = {}
-
-    def find(x: int) -> int:
-        while root.get(x, x) != x:
-            root[x] = root.get(root[x], root[x])
-            x = root[x]
-        return x
-
-    kept = []
-    for p in np.argsort(-np.concatenate(agreed), kind="stable"):
-        x, y = find(label[pairs[p, 0]]), find(label[pairs[p, 1]])
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append(p)
-    return node[pairs[kept]]
-
-
-def _across(members: DataFrame, labels: DataFrame, full: DataFrame, threshold: float, least: float, forest: bool) -> DataFrame:
-    """Pairs (a, b) across components, of all buckets that hold several, from signatures alone."""
-    keys = ["bucket", "low", "high"]
-
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, keys):
-            found = _cross_pairs(group, threshold, least, forest)
-            for at in range(0, len(found), 1 << 16):
-                yield pa.record_batch([pa.array(found[at:at + (1 << 16), k], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    labelled = materialize(members.filter("n > 2").select("bucket", "band", "node", "n").join(labels, "node", "left")
-                           .withColumn("label", F.coalesce("label", "node")), "labelled")
+class Block:
+    """Members of one bucket's pair of blocks, as arrays; a table of them holds at most about two blocks."""
+
+    def __init__(self, group: pa.Table, threshold: float) -> None:
+        matrix = lambda c: group.column(c).combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+        self.node, self.label, self.block, self.total = (group.column(c).to_numpy() for c in ("node", "label", "block", "total"))
+        self.sign, self.bands, self.band = matrix("sign"), matrix("bands"), group.column("band")[0].as_py()
+        self.one, self.threshold = group.column("low")[0] == group.column("high")[0], threshold
+
+    def pairs(self, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places of differently labelled members that agree on enough coordinates, most alike first, and their agreement.
+
+        Each pair is compared in the first band it shares; no pair of sizes further apart than the threshold can reach it.
+        """
+        node, label, total = self.node, self.label, self.total
+        found, agreed, n = [], [], max(1, TABLE // (len(node) * COORDINATES))
+        for at in range(0, len(node), n):
+            own = slice(at, at + n)
+            agree = (self.sign[own, None, :] == self.sign[None]).sum(2, dtype=np.int16)
+            good = (agree >= least * COORDINATES) & (label[own, None] != label[None]) & (node[own, None] < node[None])
+            good &= np.minimum(total[own, None], total[None]) >= self.threshold * np.maximum(total[own, None], total[None])
+            if not self.one:
+                good &= self.block[own, None] != self.block[None]
+            i, j = np.nonzero(good)
+            first = (self.bands[i + at] == self.bands[j]).argmax(1) == self.band
+            found.append(np.stack([i[first] + at, j[first]], 1))
+            agreed.append(agree[i[first], j[first]])
+        pairs, agreed = np.concatenate(found), np.concatenate(agreed)
+        order = np.argsort(-agreed, kind="stable")
+        return pairs[order], agreed[order]
+
+    def connect(self, least: float, test: Callable[[int, int], bool]) -> np.ndarray:
+        """Pairs of nodes that pass the test and join labels that no pair before has joined: fewer than there are members."""
+        root: dict = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        kept = []
+        for i, j in self.pairs(least)[0].tolist():
+            x, y = find(self.label[i]), find(self.label[j])
+            if x != y and test(i, j):
+                root[max(x, y)] = min(x, y)
+                kept.append((self.node[i], self.node[j]))
+        return np.array(kept, np.int64).reshape(-1, 2)
+
+
+KEYS = ["bucket", "low", "high"]
+
+
+def _by_block(rows: DataFrame, columns: list[str], answer: Callable[[pa.Table], np.ndarray], names: list[str]) -> DataFrame:
+    """``answer`` of each pair of blocks: rows of longs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, KEYS):
+            found = answer(group)
+            yield pa.record_batch([pa.array(found[:, k], pa.int64()) for k in range(len(names))], names=names)
+
+    rows = rows.select(*KEYS, "band", "node", "label", "block", "total", "sign", "bands", *columns)
+    return rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "node").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _blocks(members: DataFrame, labels: DataFrame, full: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, once for each pair of blocks they are in, with their signatures."""
+    labelled = (members.filter("n > 2").select("bucket", "band", "node", "n", "shingles").join(labels, "node", "left")
+                .withColumn("label", F.coalesce("label", "node")))
     mixed = (labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"))
              .filter("least < most").select("bucket"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = (labelled.join(mixed, "bucket").withColumn("blocks", blocks)
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    return (labelled.join(mixed, "bucket").withColumn("blocks", blocks)
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-            .join(full.select("node", "sign", "bands", "total"), "node")
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-            .select(*keys, "band", "node", "label", "block", "total", "sign", "bands"))
-    found = rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(cross, "a long, b long")
-    with arrow_batches(members.sparkSession, 4096):
-        found = materialize(found.distinct(), "pairs")
-    release(labelled)
+            .join(full.select("node", "sign", "bands", "total"), "node"))
+
+
+def _bridges(members: DataFrame, labels: DataFrame, full: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that connect more: of each pair of blocks, the likeliest pairs that would connect its labels."""
+    def likely(group: pa.Table) -> np.ndarray:
+        return Block(group, threshold).connect(LIKELY, lambda i, j: True)
+
+    with arrow_batches(texts.sparkSession, 4096):
+        pairs = materialize(_by_block(_blocks(members, labels, full), [], likely, ["a", "b"]).distinct(), "pairs")
+    with arrow_batches(texts.sparkSession):
+        found = materialize(_verified(pairs, texts, threshold), "edges")
+    release(pairs)
+    return found
+
+
+def _crossings(members: DataFrame, labels: DataFrame, full: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that connect more, after every plausible pair across components is verified unless others connect it.
+
+    Signatures tell which members have such a pair; only their texts are brought together.
+    """
+    def concerned(group: pa.Table) -> np.ndarray:
+        block = Block(group, threshold)
+        rows = block.node[np.unique(block.pairs(PLAUSIBLE)[0])]
+        return np.stack([*(np.full(len(rows), group.column(c)[0].as_py()) for c in KEYS), rows], 1)
+
+    def verified(group: pa.Table) -> np.ndarray:
+        block, texts, sets = Block(group, threshold), group.column("text"), {}
+
+        def of(i: int):
+            if i not in sets:
+                sets[i] = weighted(texts[i].as_py())
+            return sets[i]
+
+        return block.connect(PLAUSIBLE, lambda i, j: similarity(of(i), of(j)) >= threshold)
+
+    rows = materialize(_blocks(members, labels, full), "blocks")
+    with arrow_batches(texts.sparkSession, 4096):
+        some = materialize(_by_block(rows, [], concerned, [*KEYS, "node"]), "concerned")
+    wanted = rows.join(some.select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in some.columns]), [*KEYS, "node"], "left_semi")
+    with arrow_batches(texts.sparkSession):
+        found = materialize(_by_block(wanted.join(texts, "node"), ["text"], verified, ["a", "b"]), "edges")
+    release(rows, some)
     return found
 
 
@@ -309,9 +360,10 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     meet in buckets. Each bucket's members are compared with its least node, every pair exactly,
     and verified links joined to components. Buckets of three or more that still hold several
     components are then compared across components by signature, in pairs of blocks that no
-    bucket's size can overfill, each pair in the first band it shares: first the most alike pairs
+    bucket can overfill, each pair in the first band it shares: first the most alike pairs
     that could connect a bucket, then, of what still isn't connected, all plausible ones. Both
-    are verified exactly. Texts travel only to be verified, once for each pair.
+    are verified exactly. No bucket is expanded into pairs: what leaves a pair of blocks is
+    at most one row for each of its members.
     """
     spark = docs.sparkSession
     with arrow_batches(spark):
@@ -322,9 +374,9 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                        .agg(F.min("id").alias("first"), *[F.first(c).alias(c) for c in ("bands", "sign", "total")], F.count(F.lit(1)).alias("copies"))
                        .withColumn("node", F.monotonically_increasing_id()), "distinct")
     banded = full.filter("bands is not null").select("node", "total", F.posexplode("bands").alias("band", "bucket"))
-    shared = (banded.groupBy("bucket").agg(F.min(F.struct("node", "total")).alias("hub"), F.max("node").alias("top"), F.count(F.lit(1)).alias("n"))
+    shared = (banded.groupBy("bucket").agg(F.min(F.struct("node", "total")).alias("hub"), F.max("node").alias("top"), F.count(F.lit(1)).alias("n"), F.sum("total").alias("shingles"))
               .filter("hub.node < top").drop("top"))
-    members = materialize(banded.join(shared, "bucket").select("bucket", "band", "node", "total", "hub", "n"), "members")
+    members = materialize(banded.join(shared, "bucket").select("bucket", "band", "node", "total", "hub", "n", "shingles"), "members")
     wanted = materialize(full.select("node", "hash", F.struct("first").alias("first")).join(members.select("node").distinct(), "node"), "met")
     source = docs.select(F.struct(F.col(key).cast("long").alias("first")).alias("first"), text_hash(F.col(text)).alias("hash"), F.col(text).alias("text"))
     # Rows that repeat key and text give one node more than one text, all equal.
@@ -334,11 +386,8 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     with arrow_batches(spark):
         edges = materialize(_verified(pairs, texts, threshold), "edges")
     labels, links = components(edges), [edges]
-    for least, forest in ((LIKELY, True), (PLAUSIBLE, False)):
-        release(pairs)
-        pairs = _across(members, labels, full, threshold, least, forest)
-        with arrow_batches(spark):
-            more = materialize(_verified(pairs, texts, threshold), "edges")
+    for step in (_bridges, _crossings):
+        more = step(members, labels, full, texts, threshold)
         if not more.isEmpty():
             release(labels)
             links.append(more)
