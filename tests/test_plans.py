@@ -1,10 +1,10 @@
 import numpy as np
 import pytest
+import sound
 from pyspark.sql import functions as F
 
-from wordloom.functions import signal
 from wordloom.params import Params
-from wordloom.plans import cuts, edits, render, stages
+from wordloom.plans import cuts, dub, edits, render, stages
 from wordloom.sources import wav
 
 RATE, CHUNK = 24_000, 8_192
@@ -63,7 +63,8 @@ def test_seam_is_what_the_whole_signal_gives(spark):
     bounds = cuts.boundaries(make(spark, TIGHT), Params())
     low, high, centre = bounds.filter("regime = 'seam'").select("low", "high", "centre").first()
     row = cuts.quiet_seams(bounds, chunks(spark, x), RATE, CHUNK).first()
-    assert (row["cut"], row["level"]) == pytest.approx(signal.quietest(x, RATE, low, high, centre), abs=1e-9)
+    at, level = sound.quiet_spot(x[int(low * RATE):int(high * RATE)], RATE, centre - low)
+    assert (row["cut"], row["level"]) == (pytest.approx(at + low, abs=1e-9), level)
 
 
 def test_abutting_words_are_a_hard_splice(spark):
@@ -89,7 +90,8 @@ def test_bridge_and_dead_air(spark):
     groups = [[(1.0, 1.5)], [(12.0, 12.5)]]
     made = cut(spark, groups)
     x = tone(groups, [(2.0, 11.5, 440.0)])
-    loud, quiet = (signal.carries_content(s, RATE, 1.65, 11.9) for s in (x, tone(groups)))
+    span = spark.createDataFrame([(1, 0, 1.65, 11.9)], "job_id long, span int, low double, high double")
+    loud, quiet = (dub.Audio(chunks(spark, s), RATE, CHUNK).content(span).first()["loud"] for s in (x, tone(groups)))
     assert loud and not quiet
     for keep, n in ((loud, 3), (quiet, 2)):
         rows = edits.clips(made, Params(), keep_bridge=F.lit(keep), keep_outro=F.lit(False))
@@ -124,29 +126,78 @@ def test_sample_places_round_half_to_even(spark):
     assert [(r["n_samples"], r["first_sample"]) for r in edits.sample_places(rows, 1).orderBy("clip_index").collect()] == [(2, 0), (4, 2)]
 
 
+def rendered(spark, rows, x, voices, **how):
+    sounding = render.clip_samples(rows, chunks(spark, x), voices, RATE, CHUNK, **how)
+    out = render.signals(sounding, rows, RATE, CHUNK)
+    got = out.orderBy("chunk_no").collect()
+    assert [r["chunk_no"] for r in got] == list(range(len(got))) and all(len(r["samples"]) == CHUNK for r in got[:-1])
+    return out, np.concatenate([np.asarray(r["samples"], np.float32) for r in got])
+
+
+def voice_tones(spark, n, seconds=1.0, level=0.2):
+    t = np.arange(int(RATE * seconds)) / RATE
+    return spark.createDataFrame([(f"tts/{i:04d}.wav", (level * np.sin(2 * np.pi * 880 * t)).tolist(), RATE) for i in range(n)], "path string, voice array<float>, rate int")
+
+
+def pitch(part):
+    return np.abs(np.fft.rfft(part)).argmax() * RATE / len(part)
+
+
 def test_render(spark, tmp_path):
     groups = [[(1.0, 1.4), (1.5, 2.0)], [(4.0, 4.5)]]
     x = tone(groups)
     rows = edits.clips(cut(spark, groups, x=x), Params(), keep_outro=F.lit(False), keep_bridge=F.lit(False))
-    t = np.arange(RATE) / RATE
-    voices = spark.createDataFrame([(f"tts/{i:04d}.wav", (0.2 * np.sin(2 * np.pi * 880 * t)).tolist()) for i in range(2)], "path string, voice array<float>")
-    out = render.signals(render.clip_samples(rows, chunks(spark, x), voices, RATE, CHUNK))
-    y = np.asarray(out.first()["samples"], np.float32)
+    out, y = rendered(spark, rows, x, voice_tones(spark, 2))
     places = {r["clip_index"]: r for r in edits.sample_places(rows, RATE).collect()}
     assert len(y) == sum(r["n_samples"] for r in places.values())
     for i, r in places.items():
         part = y[r["first_sample"]:r["first_sample"] + r["n_samples"]]
-        spectrum = np.abs(np.fft.rfft(part))
-        hz = spectrum.argmax() * RATE / len(part)
         if r["kind"] == "silence":
             assert not part.any()
         else:
-            assert abs(hz - (880 if r["kind"] == "tts" else 180)) < 10
-    data = wav.encode_rows(out, RATE).first()["content"]
+            assert abs(pitch(part) - (880 if r["kind"] == "tts" else 180)) < 10
+        if r["kind"] == "source":
+            a = int(r["src_start"] * RATE)
+            assert part == pytest.approx(sound.ramped(x[a:a + len(part)], RATE, r["fade_in"], r["fade_out"]), abs=1e-6)
+        if r["kind"] == "tts":
+            assert sound.loudness(part, RATE) == pytest.approx(sound.loudness(x, RATE), rel=0.02)
+    data = b"".join(bytes(r["content"]) for r in wav.encode_rows(out, RATE).orderBy("chunk_no").collect())
     (tmp_path / "a.wav").write_bytes(data)
     back = wav.read_chunks(spark, str(tmp_path), CHUNK, RATE)
     assert back.agg(F.sum(F.size("samples"))).first()[0] == len(y)
     assert wav.durations(back).first()["seconds"] == pytest.approx(len(y) / RATE)
+    assert wav.decode(data)[1] == pytest.approx(np.clip(y, -1, 1), abs=1e-4)
+
+
+@pytest.mark.parametrize("speed", [0.5, 2.0])
+def test_voices_are_stretched_to_the_plan(spark, speed):
+    """The plan divides a voice's length by the speed; the whole voice is to be heard in it, at its own pitch."""
+    groups = [[(1.0, 1.5)], [(4.0, 4.5)]]
+    x, p = tone(groups), Params(tts_speed=speed)
+    rows = edits.clips(cut(spark, groups, p, x=x), p, keep_outro=F.lit(False), keep_bridge=F.lit(False))
+    _, y = rendered(spark, rows, x, voice_tones(spark, 2), speed=speed, match_loudness=False)
+    for r in edits.sample_places(rows.filter("kind = 'tts'").unionByName(rows.filter("kind <> 'tts'")), RATE).filter("kind = 'tts'").collect():
+        part = y[r["first_sample"]:r["first_sample"] + r["n_samples"]]
+        assert len(part) == int(RATE / speed) and abs(pitch(part) - 880) < 15
+        last = part[-len(part) // 5:-RATE // 20]
+        assert np.abs(last).max() > 0.1  # heard up to its end, neither cut nor padded
+
+
+def test_voices_of_another_rate_are_refused(spark):
+    groups = [[(1.0, 1.5)]]
+    rows = edits.clips(cut(spark, groups), Params())
+    with pytest.raises(Exception, match="sample rate 8000"):
+        rendered(spark, rows, tone(groups), voice_tones(spark, 1).withColumn("rate", F.lit(8000)))
+
+
+def test_a_pluggable_stretch(spark):
+    groups = [[(1.0, 1.5)]]
+    p = Params(tts_speed=2.0)
+    rows = edits.clips(cut(spark, groups, p), p)
+    _, y = rendered(spark, rows, tone(groups), voice_tones(spark, 1), speed=2.0, match_loudness=False, stretch=lambda x, rate, speed: np.full(int(len(x) / speed), 0.25, np.float32))
+    r = edits.sample_places(rows, RATE).filter("kind = 'tts'").first()
+    part = y[r["first_sample"]:r["first_sample"] + r["n_samples"]]
+    assert part[len(part) // 2] == 0.25
 
 
 def test_wav_rate_and_channels():

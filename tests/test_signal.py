@@ -1,59 +1,107 @@
 import numpy as np
 import pytest
+import sound
 from pyspark.sql import functions as F
 
 from wordloom.functions import signal
+from wordloom.plans import cuts, render
+from wordloom.plans.dub import Audio
 
 RNG = np.random.default_rng(2)
+RATE = 1000
 
 
-def column(spark, xs, expression):
-    rows = spark.createDataFrame([(i, np.asarray(x, np.float32).tolist()) for i, x in enumerate(xs)], "i int, x array<float>")
+def column(spark, xs, expression, **more):
+    rows = spark.createDataFrame([(i, np.asarray(x, np.float32).tolist(), *[float(v[i]) for v in more.values()]) for i, x in enumerate(xs)],
+                                 ", ".join(["i int", "x array<float>", *[f"{c} double" for c in more]]))
     return [r[0] for r in rows.orderBy("i").select(expression).collect()]
 
 
-def test_frames_agree_with_the_envelope(spark):
-    xs = [RNG.normal(size=n) for n in (0, 5, 8, 11, 12, 64)]
-    got = column(spark, xs, signal.frames(F.col("x"), 8, 4))
-    for x, levels in zip(xs, got):
-        assert levels == pytest.approx(signal.envelope(x, 1000, 8.0, 4.0)[0].tolist(), abs=1e-6)
-
-
-def test_fades_agree(spark):
-    xs = [RNG.normal(size=n) for n in (0, 1, 3, 50)]
-    got = column(spark, xs, signal.fade(F.col("x"), F.lit(10), F.lit(1)))
-    for x, y in zip(xs, got):
-        assert y == pytest.approx(signal.faded(x, 1000, 0.01, 0.001).tolist(), abs=1e-6)
-
-
-def test_fit_and_peak(spark):
-    xs = [[1.0, -2.0, 0.5], []]
-    assert column(spark, xs, signal.fit(F.col("x"), F.lit(2))) == [[1.0, -2.0], [0.0, 0.0]]
-    assert column(spark, xs, signal.peak(F.col("x"))) == [2.0, 0.0]
-    assert signal.fitted(np.ones(2, np.float32), 3).tolist() == [1, 1, 0]
-
-
-def test_integers():
-    assert signal.as_float32(np.array([32767, -32767], np.int16)).tolist() == [1.0, -1.0]
-
-
-def test_quietest():
-    x = np.ones(1000, np.float32)
-    x[500:520] = 0.0
-    at, level = signal.quietest(x, 1000, 0.0, 1.0)
-    assert 0.5 <= at <= 0.52 and level == 0.0
-    assert signal.quietest(np.zeros(1000, np.float32), 1000, 0.2, 0.8, 0.5)[0] == pytest.approx(0.5, abs=0.005)
-    assert signal.quietest(x, 1000, 0.8, 0.2) == (0.2, float("inf"))
-    assert signal.quietest(x, 1000, 2.0, 3.0)[1] == float("inf")
-
-
-def test_levels_and_gain():
+XS = [(RNG.normal(size=n) * RNG.choice([0.001, 0.1, 1.0])).astype(np.float32) for n in (0, 1, 5, 9, 10, 11, 64, 300, 700)]
+
+
+def test_frames(spark):
+    for ms in (signal.FINE, signal.COARSE):
+        got = column(spark, XS, signal.frames(F.col("x"), *[signal.frame_size(RATE, m) for m in ms]))
+        for x, levels in zip(XS, got):
+            assert levels == [v for _, v in sound.centred_levels(x, RATE, *ms)]
+
+
+def test_quietest(spark):
+    some = XS[1:] + [np.zeros(1000, np.float32), np.r_[np.ones(500), np.zeros(20), np.ones(480)].astype(np.float32)]
+    centres = [len(x) / RATE * share for x, share in zip(some, [0.1, 0.5, 0.9, 0.5, 0.3, 0.2, 0.7, 0.5, 0.5, 0.1])]
+    got = column(spark, some, signal.quietest(F.col("x"), RATE, F.col("c")), c=centres)
+    for x, c, q in zip(some, centres, got):
+        at, level = sound.quiet_spot(x, RATE, c)
+        assert (q["at"], q["level"]) == (pytest.approx(at, abs=1e-12), level)
+    first = column(spark, some, signal.quietest(F.col("x"), RATE))
+    for x, q in zip(some, first):
+        frames = sound.centred_levels(x, RATE, 10, 5)
+        assert q["at"] == pytest.approx(min(frames, key=lambda f: f[1])[0])
+    assert column(spark, [[]], signal.quietest(F.col("x"), RATE, F.lit(1.0)))[0].asDict() == {"at": 0.0, "level": float("inf")}
+
+
+def test_loudness_and_percentiles(spark):
+    silent = [np.full(200, 0.001, np.float32)]
+    got = column(spark, XS + silent, signal.loudness_of(F.col("x"), RATE))
+    assert got == pytest.approx([sound.loudness(x, RATE) for x in XS + silent], rel=1e-12)
+    values = [[3.0], [1.0, 2.0], [5.0, 1.0, 4.0, 2.0], []]
+    got = column(spark, values, signal.percentile(F.col("x"), 0.9))
+    assert got[:3] == pytest.approx([np.percentile(v, 90) for v in values[:3]]) and got[3] is None
+
+
+def test_gain_and_peak(spark):
+    xs, targets = XS[1:], [0.1, 0.0, 0.5, 100.0, 0.02, 0.1, 2.0, 0.3]
+    got = column(spark, xs, signal.matched(F.col("x"), signal.loudness_of(F.col("x"), RATE), F.col("t")), t=targets)
+    for x, t, y in zip(xs, targets, got):
+        assert y == pytest.approx(sound.brought_to(x, RATE, t), rel=1e-6)
+    assert column(spark, [[1.0, -2.0, 0.5], []], signal.peak(F.col("x"))) == [2.0, 0.0]
+
+
+def test_fades_and_fit(spark):
+    for a, b in ((10, 1), (1, 30), (40, 40)):
+        got = column(spark, XS, signal.fade(F.col("x"), F.lit(a), F.lit(b)))
+        for x, y in zip(XS, got):
+            assert y == pytest.approx(sound.ramped(x, RATE, a / RATE, b / RATE), abs=1e-6)
+    assert column(spark, [[1.0, -2.0, 0.5], []], signal.fit(F.col("x"), F.lit(2))) == [[1.0, -2.0], [0.0, 0.0]]
+
+
+def chunked(spark, signals, chunk):
+    return spark.createDataFrame([(job, n, x[n * chunk:(n + 1) * chunk].tolist()) for job, x in signals.items() for n in range(-(-len(x) // chunk))],
+                                 "job_id long, chunk_no int, samples array<float>")
+
+
+@pytest.mark.parametrize("chunk", [50, 64, 333])
+def test_levels_of_spans_over_chunks(spark, chunk):
+    rng = np.random.default_rng(chunk)
+    signals = {1: rng.normal(size=1000).astype(np.float32), 2: (rng.normal(size=40) * 0.001).astype(np.float32), 3: rng.normal(size=chunk * 3).astype(np.float32)}
+    audio, spans = chunked(spark, signals, chunk), []
+    for job, x in signals.items():
+        for k in range(12):
+            low = rng.uniform(-0.1, len(x) / RATE)
+            spans.append((job, k, float(low), float(low + rng.choice([0.0, 0.003, 0.05, 0.2, 2.0]))))
+    df = spark.createDataFrame(spans, "job_id long, span int, low double, high double")
+    got = {}
+    for r in cuts.span_levels(df, audio, RATE, chunk, 50, 25).collect():
+        got.setdefault((r["job_id"], r["span"]), []).append(r["level"])
+    loud = {(r["job_id"], r["span"]): r["loud"] for r in Audio(audio, RATE, chunk).content(df).collect()}
+    assert set(loud) == {(j, k) for j, k, *_ in spans}
+    for job, k, low, high in spans:
+        part = signals[job][int(max(0.0, low) * RATE):max(0, int(min(len(signals[job]) / RATE, high) * RATE))]
+        want = [v for _, v in sound.centred_levels(part, RATE, 50, 25)] if len(part) else []
+        assert sorted(got.get((job, k), [])) == sorted(want)
+        assert loud[job, k] == sound.has_content(part, RATE)
+    whole = {r["job_id"]: r["loudness"] for r in render.source_loudness(audio, RATE, chunk).collect()}
+    assert whole == pytest.approx({j: sound.loudness(x, RATE) for j, x in signals.items()})
+
+
+def test_stretch_keeps_the_pitch():
     t = np.arange(24_000) / 24_000
-    x = (0.1 * np.sin(2 * np.pi * 200 * t)).astype(np.float32)
-    assert signal.speech_level(x, 24_000) == pytest.approx(0.0707, abs=1e-3)
-    assert signal.speech_level(np.zeros(0, np.float32), 24_000) == 0.0
-    assert signal.speech_level(signal.matched(x, 24_000, 0.14), 24_000) == pytest.approx(0.14, abs=1e-3)
-    assert np.abs(signal.matched(x, 24_000, 100.0)).max() == pytest.approx(10 ** 0.6 * 0.1, abs=1e-3)  # 12 dB at most
-    assert np.abs(signal.matched(x * 9, 24_000, 5.0)).max() == pytest.approx(0.99, abs=1e-6)
-    assert signal.matched(x, 24_000, 0.0) is x
-    assert not signal.carries_content(np.zeros(10, np.float32), 10, 5.0, 6.0)
+    x = (0.5 * np.sin(2 * np.pi * 440 * t)).astype(np.float32)
+    for speed in (0.25, 0.5, 0.8, 1.25, 2.0, 3.0):
+        y = render.overlap_add(x, 24_000, speed)
+        assert abs(len(y) - len(x) / speed) <= 3
+        middle = y[len(y) // 4:-len(y) // 4]
+        hz = np.abs(np.fft.rfft(middle * np.hanning(len(middle)))).argmax() * 24_000 / len(middle)
+        assert abs(hz - 440) < 15 and 0.25 < np.abs(middle).max() < 0.75
+    assert render.overlap_add(x, 24_000, 1.0005) is not None and len(render.overlap_add(np.zeros(0, np.float32), 24_000, 2.0)) == 0

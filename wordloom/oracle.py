@@ -106,6 +106,27 @@ _FRAMES = """f AS (
   SELECT vec_id, i AS frame, sqrt(list_sum(list_transform(embedding[i * 4 + 1:i * 4 + 8], lambda x: x::DOUBLE * x::DOUBLE)) / 8)::FLOAT AS level
   FROM embeddings, range(0, 15) r(i)
 )"""
+# Frames of 2 samples and hops of 1 at 200 Hz; the quietest, nearest to a centre in seconds from the first sample.
+_FINE = """ff AS (
+  SELECT {keys}, k, CASE WHEN {length} < 2 THEN {length} / 400.0::DOUBLE ELSE (k + 1.0::DOUBLE) / 200 END AS sec, {centre} AS c,
+    sqrt(list_sum(list_transform({samples}[k + 1:k + 2], lambda v: v::DOUBLE * v::DOUBLE)) / len({samples}[k + 1:k + 2]))::FLOAT AS level
+  FROM {source}, range(0, 1000) r(k) WHERE len({samples}) > 0 AND (k + 2 <= {length} OR k = 0)
+), fl AS (
+  SELECT *, min(level) OVER (PARTITION BY {keys}) AS least FROM ff
+), q AS (
+  SELECT {keys}, arg_min(sec, struct_pack(a := abs(sec - c), b := k)) AS sec, arg_min(level, struct_pack(a := abs(sec - c), b := k)) AS level FROM fl
+  WHERE level <= (least::DOUBLE + greatest(0.2::DOUBLE * least::DOUBLE, 0.00001::DOUBLE))::FLOAT GROUP BY {keys}
+)"""
+# Sound of 16 embeddings a job, and spans of it clamped to it.
+_SPANS = """au AS (
+  SELECT vec_id // 16 AS job_id, flatten(list(e ORDER BY vec_id)) AS s FROM (SELECT vec_id, embedding AS e FROM embeddings) GROUP BY vec_id // 16
+), sp AS (
+  SELECT job_id, s, k::INT AS span, k * {step}::DOUBLE - 0.05::DOUBLE AS l0, k * {step}::DOUBLE - 0.05::DOUBLE + (k % 4 + 1) * {length}::DOUBLE AS h0 FROM au, range(0, {n}) r(k)
+), cl AS (
+  SELECT *, greatest(0.0::DOUBLE, l0) AS low, least(len(s) / 200.0::DOUBLE, h0) AS high FROM sp
+), cut AS (
+  SELECT *, CASE WHEN trunc(high * 200) > trunc(low * 200) THEN s[(trunc(low * 200) + 1)::BIGINT:trunc(high * 200)::BIGINT] ELSE [] END AS x FROM cl
+)"""
 _LINES = r"l AS (SELECT doc_id AS job_id, unnest(string_split(text, chr(10))) AS text FROM documents)"
 
 ORACLE = {
@@ -162,7 +183,34 @@ ORACLE = {
         SELECT job_id, clip_index, printf('[%02d:%05.2f]', floor(a / 60)::INT, round((a - floor(a / 60) * 60)::VARCHAR::DECIMAL(30, 18), 2)::DOUBLE) || replace(label, chr(10), ' ') AS line FROM x""",
     "signal_levels": f"WITH {_FRAMES} SELECT vec_id, frame::INT AS frame, round(level::DOUBLE, 5) AS level FROM f",
     "signal_peaks": "SELECT vec_id, list_max(list_transform(embedding, lambda x: abs(x))) AS peak, 80::INT AS fitted FROM embeddings",
-    "signal_percentiles": f"WITH {_FRAMES} SELECT vec_id, round(quantile_cont(level::DOUBLE, 0.75), 5) AS level FROM f WHERE level > 0.005::FLOAT GROUP BY vec_id",
+    "signal_percentiles": """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding, lambda x: (x::DOUBLE * 0.001::DOUBLE)::FLOAT) ELSE embedding END AS embedding FROM embeddings),
+        f AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding[i * 4 + 1:i * 4 + 8], lambda x: x::DOUBLE * x::DOUBLE)) / 8)::FLOAT AS level FROM e, range(0, 15) r(i))
+        SELECT vec_id, round(coalesce(quantile_cont(level::DOUBLE, 0.75) FILTER (level > 0.005::FLOAT), quantile_cont(level::DOUBLE, 0.75)), 5) AS level FROM f GROUP BY vec_id""",
+    "signal_quietest": f"""WITH {_FINE.format(samples='embedding', source='embeddings', keys='vec_id', length='64', centre='64 / 400.0::DOUBLE')}
+        SELECT vec_id, round(sec, 6) AS "at", round(level::DOUBLE, 5) AS level FROM q""",
+    "signal_matched": """WITH f AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding[i * 5 + 1:i * 5 + 10], lambda x: x::DOUBLE * x::DOUBLE)) / 10)::FLOAT AS level FROM embeddings, range(0, 11) r(i)),
+        o AS (SELECT vec_id, coalesce(quantile_cont(level::DOUBLE, 0.75) FILTER (level > 0.005::FLOAT), quantile_cont(level::DOUBLE, 0.75)) AS own FROM f GROUP BY vec_id),
+        g AS (SELECT vec_id, list_transform(embedding, lambda x: (x::DOUBLE * greatest(1 / 10 ** 0.6::DOUBLE, least(10 ** 0.6::DOUBLE, 0.1::DOUBLE / own)))::FLOAT) AS x FROM embeddings JOIN o USING (vec_id)),
+        h AS (SELECT vec_id, list_max(list_transform(x, lambda v: abs(v)))::DOUBLE AS top, x FROM g),
+        k AS (SELECT vec_id, CASE WHEN top > 0.99::DOUBLE THEN list_transform(x, lambda v: (v::DOUBLE * (0.99::DOUBLE / top))::FLOAT) ELSE x END AS x FROM h)
+        SELECT vec_id, list_transform(range(0, 64), lambda i: round((x[i + 1]::DOUBLE * (CASE WHEN i < 4 THEN i / 3.0::DOUBLE ELSE 1 END)
+          * (CASE WHEN 63 - i < 3 THEN (63 - i) / 2.0::DOUBLE ELSE 1 END))::FLOAT::DOUBLE, 4)) AS samples FROM k""",
+    "seam_cuts": f"""WITH {_SPANS.format(n=10, step=0.55, length=0.1)}, {_FINE.format(samples='x', source='cut', keys='job_id, span', length='len(x)', centre='(l0 + h0) / 2 - low')}
+        SELECT job_id, span AS seg_index, round(CASE WHEN level IS NULL THEN CASE WHEN high <= low THEN greatest(0, least(low, high)) ELSE low END ELSE sec + low END, 6) AS cut,
+        coalesce(round(level::DOUBLE, 5), 'inf'::DOUBLE) AS level FROM cut LEFT JOIN q USING (job_id, span)""",
+    "heard_bridges": f"""WITH {_SPANS.format(n=8, step=0.5, length=0.45).replace("embedding AS e", "CASE WHEN (vec_id // 16) % 2 = 0 THEN list_transform(embedding, lambda x: (x::DOUBLE * 0.02::DOUBLE)::FLOAT) ELSE embedding END AS e")},
+        f AS (SELECT job_id, span, sqrt(list_sum(list_transform(x[k * 5 + 1:k * 5 + 10], lambda v: v::DOUBLE * v::DOUBLE)) / len(x[k * 5 + 1:k * 5 + 10]))::FLOAT AS level
+          FROM cut, range(0, 300) r(k) WHERE len(x) > 0 AND (k * 5 + 10 <= len(x) OR k = 0))
+        SELECT job_id, span, coalesce(quantile_cont(level::DOUBLE, 0.9) > 0.005::DOUBLE, false) AS loud FROM cut LEFT JOIN f USING (job_id, span) GROUP BY job_id, span""",
+    "rendered_levels": """WITH s AS (SELECT vec_id // 16 AS job_id, (vec_id % 16) * 64 + i AS place, embedding[i + 1] AS x FROM embeddings, range(0, 64) r(i)),
+        t AS (SELECT job_id, max(place) + 1 AS total FROM s GROUP BY job_id),
+        o AS (SELECT job_id, total, i AS p FROM t, range(0, 741) r(i)),
+        v AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 3),
+        c AS (SELECT o.job_id, p, CASE WHEN p < 301 THEN coalesce(x, 0) * (CASE WHEN p < 2 THEN p / 1.0::DOUBLE ELSE 1 END) * (CASE WHEN 300 - p < 5 THEN (300 - p) / 4.0::DOUBLE ELSE 1 END)
+            WHEN p >= 351 AND p < 431 THEN coalesce(e[p - 350], 0) * (CASE WHEN p - 351 < 4 THEN (p - 351) / 3.0::DOUBLE ELSE 1 END) * (CASE WHEN 430 - p < 4 THEN (430 - p) / 3.0::DOUBLE ELSE 1 END)
+            WHEN p >= 501 THEN coalesce(x, 0) * (CASE WHEN p - 501 < 2 THEN (p - 501) / 1.0::DOUBLE ELSE 1 END) ELSE 0 END::FLOAT AS y
+          FROM o, v LEFT JOIN s ON s.job_id = o.job_id AND s.place = CASE WHEN p < 301 THEN p + 20 WHEN p >= 501 THEN p - 501 + 400 END)
+        SELECT job_id, (p // 64)::INT AS chunk_no, count(*)::INT AS n, round(sqrt(sum(y::DOUBLE * y::DOUBLE ORDER BY p) / count(*))::FLOAT::DOUBLE, 4) AS level FROM c GROUP BY job_id, p // 64""",
     "event_runs": """WITH g AS (SELECT user_id, ts, coalesce((ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 6 HOUR)::INT, 0) AS new FROM events),
         r AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g)
         SELECT user_id, min(ts) AS run_start, max(ts) AS run_end, count(*) AS n FROM r GROUP BY user_id, run""",

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.functions.signal import quietest
+from wordloom.functions import signal
 from wordloom.operators.words import by_job
 from wordloom.params import Params
 
@@ -38,47 +36,68 @@ def boundaries(segments: DataFrame, p: Params) -> DataFrame:
     return out.withColumn("regime", regime)
 
 
-def spans_of_audio(spans: DataFrame, audio: DataFrame, rate: int, chunk: int) -> DataFrame:
-    """Spans (``job_id, span, low, high``) with ``first`` (a sample number) and the ``samples`` from there.
+def totals(audio: DataFrame) -> DataFrame:
+    """``job_id, total``: how many samples each job has."""
+    return audio.groupBy("job_id").agg(F.sum(F.size("samples")).alias("total"))
 
-    ``audio`` has ``job_id, chunk_no, samples`` with ``chunk`` samples each, but the last. A span
-    names the chunks it touches, so the range join is an equi-join on the chunk's number.
+
+def sample_spans(spans: DataFrame, audio: DataFrame, rate: int) -> DataFrame:
+    """Spans with ``low`` and ``high`` inside the sound, and their first sample ``a`` and the one after the last, ``b``."""
+    known = spans.join(totals(audio), "job_id")
+    known = known.withColumns({"low": F.greatest(F.lit(0.0), "low"), "high": F.least(F.col("total") / rate, F.col("high"))})
+    return known.withColumns({"a": (F.col("low") * rate).cast("long"), "b": (F.col("high") * rate).cast("long")})
+
+
+def pieces(spans: DataFrame, audio: DataFrame, chunk: int) -> DataFrame:
+    """A row for each chunk that a span's samples ``a`` up to ``b`` touch, with the chunk's ``samples``.
+
+    A span names the chunks it touches, so the range join is an equi-join on the chunk's number.
+    """
+    touched = spans.filter("b > a").withColumn("chunk_no", F.explode(F.sequence(
+        F.floor(F.col("a") / chunk).cast("int"), F.floor((F.col("b") - 1) / chunk).cast("int"))))
+    return touched.join(audio, ["job_id", "chunk_no"])
+
+
+def span_levels(spans: DataFrame, audio: DataFrame, rate: int, chunk: int, frame: int, hop: int) -> DataFrame:
+    """``job_id, span, level``: a row for each frame of each span (``job_id, span, low, high``), frames counted from its first sample.
+
+    Each chunk gives the frames that begin in it, seeing its successor's head; so spans of any length
+    are never brought together. A span shorter than a frame is one frame. ``chunk`` holds a frame at least.
     """
-    a = F.floor(F.greatest(F.lit(0.0), "low") * rate / chunk).cast("int")
-    b = F.greatest(a, F.floor(F.greatest(F.lit(0.0), "high") * rate / chunk).cast("int"))
-    touched = spans.select("job_id", "span", a.alias("first_chunk"), F.explode(F.sequence(a, b)).alias("chunk_no"))
-    return (touched.join(audio, ["job_id", "chunk_no"])
-            .groupBy("job_id", "span", "first_chunk")
-            .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "samples"))), lambda x: x["samples"])).alias("samples"))
-            .select("job_id", "span", (F.col("first_chunk") * chunk).alias("first"), "samples"))
+    if chunk < frame:
+        raise ValueError("a chunk must hold a frame")
+    after = F.lead("samples").over(by_job("chunk_no"))
+    longer = audio.withColumn("samples", F.concat("samples", F.coalesce(F.slice(after, 1, frame), F.array().cast("array<float>"))))
+    found = pieces(sample_spans(spans, audio, rate), longer, chunk)
+    begin, size = F.col("chunk_no").cast("long") * chunk, F.col("b") - F.col("a")
+    first = F.greatest(F.lit(0), F.ceil((begin - F.col("a")) / hop)).cast("long")
+    last = F.when(size < frame, F.lit(0)).otherwise(F.floor((F.col("b") - frame - F.col("a")) / hop)).cast("long")
+    last = F.least(last, F.floor((begin + chunk - 1 - F.col("a")) / hop).cast("long"))
+    numbers = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))
+    at = lambda k: (F.col("a") + k * hop - begin + 1).cast("int")
+    levels = F.transform(numbers, lambda k: signal.level(F.slice("samples", at(k), F.least(size, F.lit(frame)).cast("int"))))
+    return found.select("job_id", "span", F.explode(levels).alias("level"))
 
 
 def quiet_seams(bounds: DataFrame, audio: DataFrame, rate: int, chunk: int) -> DataFrame:
-    """``job_id, seg_index, cut, level`` of each seam, searched in the sound around it."""
-    wanted = bounds.filter("regime = 'seam'").select("job_id", F.col("seg_index").alias("span"), "low", "high", "centre")
-    heard = wanted.join(spans_of_audio(wanted, audio, rate, chunk), ["job_id", "span"])
-    lengths = audio.groupBy("job_id").agg(F.sum(F.size("samples")).alias("total"))
-
-    def search(batches):
-        for frame in batches:
-            rows = []
-            for job, span, low, high, centre, first, samples, total in frame.itertuples(index=False):
-                # Frames start at the sample of ``low``, so a slice gives what the whole signal would.
-                low, high = max(0.0, low), min(total / rate, high)
-                a, b = int(low * rate), int(high * rate)
-                if high <= low or b <= a:
-                    rows.append((job, span, max(0.0, min(low, high)), float("inf")))
-                    continue
-                part = np.asarray(samples, np.float32)[a - first:b - first]
-                at, level = quietest(part, rate, 0.0, len(part) / rate, centre - low)
-                rows.append((job, span, at + low, level))
-            yield pd.DataFrame(rows, columns=["job_id", "seg_index", "cut", "level"])
-
-    return (heard.join(lengths, "job_id").select("job_id", "span", "low", "high", "centre", "first", "samples", "total")
-            .mapInPandas(search, "job_id long, seg_index int, cut double, level double"))
-
-
-def cuts(segments: DataFrame, p: Params, durations: DataFrame | None = None, seams: DataFrame | None = None, silence: float = 0.005) -> DataFrame:
+    """``job_id, seg_index, cut, level`` of each seam, searched in the sound around it.
+
+    Seams are short: they span two words' edges and a gap that is too small to trim.
+    """
+    wanted = bounds.filter("regime = 'seam'").select("job_id", "seg_index", "low", "high", "centre")
+    wanted = sample_spans(wanted, audio, rate)
+    begin = F.col("chunk_no").cast("long") * chunk
+    piece = F.slice("samples", F.greatest(F.lit(1), F.col("a") - begin + 1).cast("int"), F.least(F.lit(chunk), F.col("b") - F.greatest("a", begin)).cast("int"))
+    heard = (pieces(wanted, audio, chunk).groupBy("job_id", "seg_index")
+             .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", piece.alias("x")))), lambda c: c["x"])).alias("samples")))
+    found = wanted.join(heard, ["job_id", "seg_index"], "left").withColumn("q", F.when(
+        F.col("samples").isNotNull(), signal.quietest(F.col("samples"), rate, F.col("centre") - F.col("low"))))
+    nowhere = F.when(F.col("high") <= F.col("low"), F.greatest(F.lit(0.0), F.least("low", "high"))).otherwise(F.col("low"))
+    return found.select("job_id", "seg_index", F.coalesce(F.col("q.at") + F.col("low"), nowhere).alias("cut"),
+                        F.coalesce("q.level", F.lit(float("inf"))).alias("level"))
+
+
+def cuts(segments: DataFrame, p: Params, durations: DataFrame | None = None, seams: DataFrame | None = None, silence: float = signal.SILENCE) -> DataFrame:
     """Segments with ``src_in, src_out, hard_in, hard_out``.
 
     ``durations`` has ``job_id, media_end``; without it the segments carry ``media_end``. ``seams`` comes from :func:`quiet_seams`; without
@@ -97,7 +116,7 @@ def cuts(segments: DataFrame, p: Params, durations: DataFrame | None = None, sea
             .when(F.col("regime") == "trim", F.col("end") + p.tail_pad).when(F.col("regime") == "edge", edge).otherwise(F.col("cut")))
     right = (F.when(F.col("regime") == "trim", F.col("next_start") - p.head_pad).when(F.col("regime") == "edge", edge)
              .when(F.col("regime") == "seam", F.col("cut")))
-    hard = (F.col("regime") == "edge") | (F.col("regime") == "seam") & (F.col("level") > silence)
+    hard = (F.col("regime") == "edge") | (F.col("regime") == "seam") & (F.col("level") > F.lit(silence).cast("float").cast("double"))
     w = by_job("seg_index")
     out = bounds.withColumns({"src_out": left, "next_in": right, "hard_out": hard})
     out = out.withColumns({

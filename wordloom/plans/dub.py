@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.functions.signal import carries_content
+from wordloom.functions import signal
 from wordloom.functions.text import RARE_PUNCTUATION
 from wordloom.operators import batches, boundaries, cache, segments, words
 from wordloom.params import Params
@@ -30,20 +30,15 @@ class Audio:
         return self.chunks.groupBy("job_id").agg((F.sum(F.size("samples")) / self.rate).alias("media_end"))
 
     def content(self, spans: DataFrame) -> DataFrame:
-        """``job_id, span, loud`` of spans (``job_id, span, low, high``): whether something is to be heard in them."""
-        rate = self.rate
-
-        def run(frames):
-            import numpy as np
-            import pandas as pd
-
-            for frame in frames:
-                loud = [carries_content(np.asarray(x, np.float32)[int(max(0.0, low) * rate) - int(first):int(high * rate) - int(first)], rate, 0.0, high - low + 1.0)
-                        for low, high, first, x in frame[["low", "high", "first", "samples"]].itertuples(index=False)]
-                yield pd.DataFrame({"job_id": frame["job_id"], "span": frame["span"], "loud": loud})
-
-        heard = cuts.spans_of_audio(spans, self.chunks, self.rate, self.chunk).join(spans, ["job_id", "span"])
-        return heard.select("job_id", "span", "low", "high", "first", "samples").mapInPandas(run, "job_id long, span int, loud boolean")
+        """``job_id, span, loud`` of spans (``job_id, span, low, high``): whether a tenth of a span's frames or more is to be heard.
+
+        A span without samples isn't loud.
+        """
+        size, hop = (signal.frame_size(self.rate, ms) for ms in signal.COARSE)
+        levels = cuts.span_levels(spans, self.chunks, self.rate, self.chunk, size, hop)
+        loud = F.percentile(F.col("level").cast("double"), F.lit(signal.CONTENT_SHARE)) > signal.SILENCE
+        return (spans.select("job_id", "span").join(levels.groupBy("job_id", "span").agg(loud.alias("loud")), ["job_id", "span"], "left")
+                .withColumn("loud", F.coalesce("loud", F.lit(False))))
 
 
 def run_segments(chunks: DataFrame, p: Params, lang: str = "en", separator: str = " ") -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import signal, text
 from wordloom.operators import batches, boundaries, cache, queue, segments, words
 from wordloom.params import KNOBS, Params
-from wordloom.plans import cuts, edits, stages
+from wordloom.plans import cuts, dub, edits, render, stages
 from wordloom.streaming import sessions
 
 P = Params()
@@ -282,20 +282,75 @@ def signal_peaks(spark, sf_dir):
 
 
 def signal_percentiles(spark, sf_dir):
-    """Loudness of each signal: the upper quartile of its levels above silence."""
-    rows = _signals(spark, sf_dir).select("vec_id", F.explode(signal.frames(F.col("samples"), 8, 4)).alias("level"))
-    loud = rows.filter(F.col("level") > F.lit(0.005).cast("float"))
-    return loud.groupBy("vec_id").agg(F.round(F.percentile(F.col("level").cast("double"), F.lit(0.75)), 5).alias("level"))
+    """Loudness of each signal: the upper quartile of its levels above silence, or of all where all are silent."""
+    quieted = F.when(F.col("vec_id") % 7 == 0, F.transform("samples", lambda x: (x * 0.001).cast("float"))).otherwise(F.col("samples"))
+    rows = _signals(spark, sf_dir).withColumn("samples", quieted)
+    return rows.select("vec_id", F.round(signal.loudness(signal.frames(F.col("samples"), 8, 4)), 5).alias("level"))
 
 
 def signal_quietest(spark, sf_dir):
-    found = signal.array_udf(lambda x: list(signal.quietest(x, 1000, 0.0, len(x) / 1000, len(x) / 2000)), "array<double>")
-    return _signals(spark, sf_dir).withColumn("q", found("samples")).select("vec_id", F.get("q", F.lit(0)).alias("at"), F.get("q", F.lit(1)).alias("level"))
+    """The quietest frame of each signal, nearest to its middle."""
+    x = F.col("samples")
+    rows = _signals(spark, sf_dir).withColumn("q", signal.quietest(x, RATE, F.size(x) / (2.0 * RATE)))
+    return rows.select("vec_id", F.round("q.at", 6).alias("at"), F.round("q.level", 5).alias("level"))
 
 
 def signal_matched(spark, sf_dir):
-    scaled = signal.array_udf(lambda x: signal.faded(signal.matched(x, 1000, 0.1), 1000, 0.01, 0.01).tolist(), "array<float>")
-    return _signals(spark, sf_dir).select("vec_id", scaled("samples").alias("samples"))
+    """Signals brought to one loudness and faded."""
+    x = F.col("samples")
+    even = _signals(spark, sf_dir).withColumn("samples", signal.matched(x, signal.loudness_of(x, RATE), F.lit(0.1)))
+    return even.select("vec_id", F.transform(signal.fade(x, F.lit(4), F.lit(3)), lambda v: F.round(v.cast("double"), 4)).alias("samples"))
+
+
+#: Embeddings as sound: 64 samples a chunk, 16 chunks a job, so many samples a second.
+RATE, CHUNK, CHUNKS_OF_JOB = 200, 64, 16
+
+
+def _sound(spark, sf_dir) -> DataFrame:
+    n = F.col("vec_id")
+    return table(spark, sf_dir, "embeddings").select(F.floor(n / CHUNKS_OF_JOB).alias("job_id"), (n % CHUNKS_OF_JOB).cast("int").alias("chunk_no"),
+                                                     F.col("embedding").alias("samples"))
+
+
+def _sound_spans(audio: DataFrame, n: int, step: float, length: float) -> DataFrame:
+    """``n`` spans of each job, a ``step`` apart, each longer than the one before."""
+    k = F.col("span")
+    return (audio.select("job_id").distinct().withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+            .select("job_id", "span", (k * step - 0.05).alias("low"), (k * step - 0.05 + (k % 4 + 1) * length).alias("high")))
+
+
+def seam_cuts(spark, sf_dir):
+    """Quiet places near the middles of spans of the sound, across its chunks."""
+    audio = _sound(spark, sf_dir)
+    bounds = _sound_spans(audio, 10, 0.55, 0.1).select("job_id", F.col("span").alias("seg_index"), "low", "high", ((F.col("low") + F.col("high")) / 2).alias("centre"),
+                                                       F.lit("seam").alias("regime"))
+    found = cuts.quiet_seams(bounds, audio, RATE, CHUNK)
+    return found.select("job_id", "seg_index", F.round("cut", 6).alias("cut"), F.round("level", 5).alias("level"))
+
+
+def heard_bridges(spark, sf_dir):
+    """Whether spans of the sound, every second job's turned down, carry content."""
+    audio = _sound(spark, sf_dir).withColumn("samples", F.when(F.col("job_id") % 2 == 0, F.transform("samples", lambda x: (x * 0.02).cast("float"))).otherwise(F.col("samples")))
+    return dub.Audio(audio, RATE, CHUNK).content(_sound_spans(audio, 8, 0.5, 0.45))
+
+
+def _sound_clips(audio: DataFrame) -> DataFrame:
+    """Per job: source sound, silence, a voice, silence, source sound."""
+    made = [("source", 0.0, 1.503, 0.1, 1.603, None, 0.01, 0.025), ("silence", 1.503, 0.25, None, None, None, 0.0, 0.0), ("tts", 1.753, 0.4, None, None, "v", 0.02, 0.02),
+            ("silence", 2.153, 0.35, None, None, None, 0.0, 0.0), ("source", 2.503, 1.2, 2.0, 3.2, None, 0.01, 0.0)]
+    rows = F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for c, t, v in zip(
+        ("clip_index", "kind", "out_start", "duration", "src_start", "src_end", "path", "fade_in", "fade_out"),
+        ("int", "string", "double", "double", "double", "double", "string", "double", "double"), (i, *m))]) for i, m in enumerate(made)])
+    return audio.select("job_id").distinct().select("job_id", F.inline(rows))
+
+
+def rendered_levels(spark, sf_dir):
+    """Samples of each rendered chunk of sound, with one embedding as every job's voice."""
+    audio = _sound(spark, sf_dir)
+    voices = table(spark, sf_dir, "embeddings").filter("vec_id = 3").select(F.lit("v").alias("path"), F.col("embedding").alias("voice"))
+    clips = _sound_clips(audio)
+    out = render.signals(render.clip_samples(clips, audio, voices, RATE, CHUNK, match_loudness=False), clips, RATE, CHUNK)
+    return out.select("job_id", "chunk_no", F.size("samples").alias("n"), F.round(signal.level(F.col("samples")).cast("double"), 4).alias("level"))
 
 
 def event_runs(spark, sf_dir):
@@ -313,4 +368,4 @@ QUERIES = {f.__name__: f for f in (
     translation_prompts, checked_replies, clip_keys, cache_misses, cache_unused, queue_stats, queue_public, queue_recent,
     queue_next, queue_stale, queue_expired, queue_cancellations, invalidated_stages, segment_cuts, edit_list, plan_stats,
     plan_violations, freeze_times, sample_places, lyric_lines, signal_levels, signal_peaks, signal_percentiles,
-    signal_quietest, signal_matched, event_runs, event_keys)}
+    signal_quietest, signal_matched, seam_cuts, heard_bridges, rendered_levels, event_runs, event_keys)}

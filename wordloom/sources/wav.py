@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import io
+import struct
 import wave
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from wordloom.functions.signal import as_float32
+#: The greatest 16-bit sample stands for 1.
+FULL_SCALE = 32767
+HEADER = 44
 
 
 def decode(data: bytes, rate: int | None = None) -> tuple[int, np.ndarray]:
@@ -20,7 +24,7 @@ def decode(data: bytes, rate: int | None = None) -> tuple[int, np.ndarray]:
             raise ValueError("only 16-bit samples are read")
         if rate is not None and f.getframerate() != rate:
             raise ValueError(f"sample rate {f.getframerate()} instead of {rate}")
-        x = as_float32(np.frombuffer(f.readframes(f.getnframes()), "<i2"))
+        x = np.frombuffer(f.readframes(f.getnframes()), "<i2").astype(np.float32) / np.float32(FULL_SCALE)
         return f.getframerate(), x.reshape(-1, f.getnchannels()).mean(1, dtype=np.float32)
 
 
@@ -30,7 +34,7 @@ def encode(samples: np.ndarray, rate: int) -> bytes:
         f.setnchannels(1)
         f.setsampwidth(2)
         f.setframerate(rate)
-        f.writeframes((np.clip(samples, -1.0, 1.0) * 32767).round().astype("<i2").tobytes())
+        f.writeframes((np.clip(samples, -1.0, 1.0) * FULL_SCALE).round().astype("<i2").tobytes())
     return out.getvalue()
 
 
@@ -49,15 +53,30 @@ def read_chunks(spark: SparkSession, path: str, chunk: int, rate: int | None = N
 
 def durations(chunks: DataFrame) -> DataFrame:
     """``path, seconds`` of files read in chunks."""
-    from pyspark.sql import functions as F
-
     return chunks.groupBy("path", "rate").agg((F.sum(F.size("samples")) / F.col("rate")).alias("seconds")).drop("rate")
 
 
 def encode_rows(signals: DataFrame, rate: int) -> DataFrame:
-    """``job_id, content`` from ``job_id, samples``: a WAV file per row."""
+    """``job_id, chunk_no, content`` from ``job_id, chunk_no, samples``: a job's contents, one after another, are its WAV file.
+
+    The first has the header, which states the whole length; no row holds more than a chunk.
+    """
+    length = F.sum(F.size("samples")).over(Window.partitionBy("job_id"))
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"job_id": frame["job_id"], "content": [encode(np.asarray(x, np.float32), rate) for x in frame["samples"]]})
+            rows = []
+            for n, total, samples in zip(frame["chunk_no"], frame["total"], frame["samples"]):
+                data = encode(np.asarray(samples, np.float32), rate)
+                rows.append(header(int(total), rate) + data[HEADER:] if n == 0 else data[HEADER:])
+            yield pd.DataFrame({"job_id": frame["job_id"], "chunk_no": frame["chunk_no"], "content": rows})
+
+    return (signals.select("job_id", "chunk_no", "samples", length.alias("total"))
+            .mapInPandas(run, "job_id long, chunk_no int, content binary"))
+
 
-    return signals.select("job_id", "samples").mapInPandas(run, "job_id long, content binary")
+def header(samples: int, rate: int) -> bytes:
+    """The head of a mono 16-bit WAV file of so many samples."""
+    size = 2 * samples
+    return (b"RIFF" + struct.pack("<I", 36 + size) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, 2 * rate, 2, 16)
+            + b"data" + struct.pack("<I", size))
