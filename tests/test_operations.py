@@ -12,7 +12,8 @@ def turns(spark, texts, kinds=None):
     return spark.createDataFrame([(1, i, t, (kinds or {}).get(i, "speech")) for i, t in enumerate(texts)], "job_id long, seg_index int, text string, kind string")
 
 
-def english(prompt):
+def english(system, prompt, temperature):
+    assert "in English" in system and '{"translations"' in system and temperature == 0.2
     lines = prompt.split(":\n")[-1].split("\n")
     return "```json\n" + json.dumps({"translations": [{"id": i, "text": "EN:" + x.split(". ", 1)[1]} for i, x in enumerate(lines)]}) + "\n```"
 
@@ -38,24 +39,24 @@ def test_skipped_segments_stay_out(spark):
 
 
 def test_failed_batch_is_asked_singly(spark):
-    def flaky(prompt):
+    def flaky(system, prompt, temperature):
         if "these 1 sentences" not in prompt:
             raise OSError("down")
-        return english(prompt)
+        return english(system, prompt, temperature)
 
     assert translated(spark, ["a", "b", "c"], flaky, size=3) == (["EN:a", "EN:b", "EN:c"], 1)
 
 
 def test_short_reply_is_asked_singly(spark):
-    def short(prompt):
-        found = json.loads(english(prompt)[8:-4])["translations"]
+    def short(*asked):
+        found = json.loads(english(*asked)[8:-4])["translations"]
         return json.dumps({"translations": found[:-1] if len(found) > 1 else found})
 
     assert translated(spark, ["a", "b"], short, size=2) == (["EN:a", "EN:b"], 1)
 
 
 def test_always_failing_keeps_source(spark):
-    def broken(prompt):
+    def broken(system, prompt, temperature):
         raise OSError("down")
 
     assert translated(spark, ["a", "b"], broken, size=2) == (["a", "b"], 3)

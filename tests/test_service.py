@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from wordloom.params import CHUNKS, Params
-from wordloom.plans import dub, service
+from wordloom.plans import dub, preview, service
 
 
 class Clock:
@@ -34,11 +34,11 @@ def test_life_of_jobs(spark, tmp_path):
     assert table.request_cancel("b") and {r["status"]: r["n"] for r in table.stats().collect()} == {"queued": 1, "cancelled": 1}
     assert table.claim_next() == "a" and table.claim_next() is None
     clock.now += 500
-    assert table.reap_stale() == ["a"] and table.reap_stale() == []
+    assert [r["id"] for r in table.reap_stale().collect()] == ["a"] and table.reap_stale().isEmpty()
     table.set_title("a", "T")
     assert [r["title"] for r in table.recent(1).collect()] == [None] and table.get("a").first()["title"] == "T"
     clock.now += 10 * 86_400
-    assert table.purge_older_than(7.0) == ["b"] and table.get("b").isEmpty()
+    assert [r["id"] for r in table.purge_older_than(7.0).collect()] == ["b"] and table.get("b").isEmpty()
     table.compact(str(tmp_path / "small"))
     assert service.JobTable(spark, str(tmp_path / "small")).jobs().count() == 1
 
@@ -56,18 +56,19 @@ def test_rerender(spark, tmp_path):
     assert service.download_name("out.mp3") and not service.download_name("../out.mp3") and service.is_cheap("pre_gap") and not service.is_cheap("voice")
 
 
-def english(prompt):
+def english(system, prompt, temperature):
+    if "boundaries" in system:
+        return '{"boundaries": []}'
     lines = prompt.split(":\n")[-1].split("\n")
     return json.dumps({"translations": [{"id": i, "text": "EN:" + x.split(". ", 1)[1]} for i, x in enumerate(lines)]})
 
 
-def test_whole_pipeline(spark):
-    rate, chunk = 4000, 1024
-    rows, at = [], 1.0
-    for i, t in enumerate("Hola mundo amigo. Como estas hoy? |Adios a todos.".split()):
-        at, t = (at + 3.0, t[1:]) if t.startswith("|") else (at, t)
+def talk(spark, rate=4000, chunk=1024):
+    """Two equal jobs of three sentences, and their sound."""
+    pauses, rows, at = {"amigo.": 0.4, "hoy?": 3.4}, [], 1.0
+    for i, t in enumerate("Hola mundo amigo. Como estas hoy? Adios a todos.".split()):
         rows.append((i, t, at, at + 0.5))
-        at += 0.9 if t.endswith((".", "?")) else 0.55
+        at += 0.5 + pauses.get(t, 0.05)
     n = int((at + 1.0) * rate)
     time = np.arange(n) / rate
     x = np.zeros(n, np.float32)
@@ -75,7 +76,11 @@ def test_whole_pipeline(spark):
         x[(time >= a) & (time < b)] = 0.4
     chunks = spark.createDataFrame([(j, *r) for j in (1, 2) for r in rows], CHUNKS)
     sound = [(j, k, x[k * chunk:(k + 1) * chunk].tolist()) for j in (1, 2) for k in range(-(-n // chunk))]
-    audio = dub.Audio(spark.createDataFrame(sound, "job_id long, chunk_no int, samples array<float>"), rate, chunk)
+    return chunks, dub.Audio(spark.createDataFrame(sound, "job_id long, chunk_no int, samples array<float>"), rate, chunk)
+
+
+def test_whole_pipeline(spark):
+    chunks, audio = talk(spark)
     out = dub.dub(chunks, audio, Params(), english, lambda text, voice, lang: len(text) / 10)
     assert out["problems"].isEmpty() and out["warnings"].isEmpty()
     got = out["clips"].filter("job_id = 1").orderBy("clip_index").collect()
@@ -86,6 +91,109 @@ def test_whole_pipeline(spark):
     assert out["cache"].count() == 3  # one clip for both jobs' equal texts
 
 
+def test_preview(spark):
+    chunks, audio = talk(spark)
+    out = dub.dub(chunks.filter("job_id = 1"), audio, Params(), english, lambda text, voice, lang: 0.5)
+    spoken = out["segments"].drop("src_in", "src_out", "hard_in", "hard_out", "media_end")
+    t = np.arange(audio.rate // 2) / audio.rate
+    voices = out["cache"].select("path").distinct().crossJoin(spark.createDataFrame([((0.2 * np.sin(2 * np.pi * 700 * t)).tolist(),)], "voice array<float>"))
+    length = lambda **how: sum(len(r["samples"]) for r in preview.excerpt(spoken, audio, voices, Params(), **how).collect()) / audio.rate
+    plain, wide = length(index=0), length(index=0, pre_gap=1.25, post_gap=None)
+    assert wide == pytest.approx(plain + 2.0, abs=0.01)  # two segments stand around the first
+    assert length(index=0, tts_speed=2.0) == pytest.approx(plain - 0.5, abs=0.01)
+    assert length(index=99) == length(index=2)  # clamped
+    with pytest.raises(ValueError, match="voice"):
+        length(voice="x")
+    with pytest.raises(ValueError, match="no speech"):
+        preview.excerpt(spoken.filter("kind = 'skip'"), audio, voices, Params())
+    assert [r["seg_index"] for r in preview.shown(spoken, 2).collect()] == [0, 1]
+
+
+def test_source_cache(spark):
+    _, audio = talk(spark)
+    loads, cache = [], preview.SourceCache()
+    load = lambda job: loads.append(job) or audio
+    first = cache.get(1, load)
+    assert cache.get(1, load) is first and loads == [1] and first.chunks.is_cached
+    cache.invalidate(2)
+    assert cache.get(1, load) is first
+    cache.get(2, load)
+    cache.invalidate()
+    cache.get(2, load)
+    assert loads == [1, 2, 2]
+    cache.invalidate()
+
+
+def unsure(spark, n=70, gap=0.45):
+    """A talk without marks whose pauses all lie in the gray zone."""
+    rows = [(1, i, f"w{i}", i * (0.4 + gap), i * (0.4 + gap) + 0.4) for i in range(n)]
+    return spark.createDataFrame(rows, CHUNKS)
+
+
+def ends(spark, arbiter, p=Params(pause_weight=0.5, min_words=1, min_duration=0.0, max_words=1000, max_duration=1e9), **how):
+    segs, warnings = dub.run_segments(unsure(spark), p, "en", arbiter=arbiter, **how)
+    return sorted(r["word_end"] for r in segs.collect()), warnings
+
+
+def test_arbitration(spark, tmp_path):
+    said = tmp_path / "said"
+    said.mkdir()
+
+    def arbiter(system, prompt, temperature):
+        asked = json.loads(prompt.split("indices? ")[1].split("\n")[0])
+        (said / f"{asked[0]}.json").write_text(json.dumps([temperature, len(asked), prompt]))
+        if asked[0] == 0:
+            return json.dumps({"boundaries": [3, 7, 50, 99]})  # 50 is asked elsewhere, 99 doesn't exist
+        if asked[0] == 25:
+            raise OSError("down")
+        return "{}"
+
+    found, _ = ends(spark, arbiter)
+    assert found == [4, 8, *range(26, 51), 70]  # the second batch failed: all of it is confirmed; the third confirms nothing
+    asked = [json.loads(f.read_text()) for f in sorted(said.iterdir(), key=lambda f: int(f.stem))]
+    assert [(t, n) for t, n, _ in asked] == [(0.0, 25), (0.0, 25), (0.0, 19)]
+    assert asked[0][2].startswith("Transcript tokens (language: English):\n[0]w0 [1]w1 ") and "[45]w45" not in asked[0][2] and "[44]w44" in asked[0][2]
+
+
+def test_no_arbitration(spark):
+    def arbiter(system, prompt, temperature):
+        raise AssertionError("asked")
+
+    off = Params(pause_weight=0.5, llm_arbitration=False, min_words=1, min_duration=0.0, max_words=1000, max_duration=1e9)
+    assert ends(spark, arbiter, off)[0] == ends(spark, None)[0]
+    words = Params(segmentation_mode="words", pause_weight=0.5)
+    assert dub.run_segments(unsure(spark), words, "en", arbiter=arbiter)[0].count() > 1
+
+
+def test_detector(spark):
+    def detector(text):
+        return [1.0 if text[:i + 1].endswith(("w9", "w19")) else 0.0 for i in range(len(text))]
+
+    found, warnings = ends(spark, None, Params(min_words=1, min_duration=0.0, max_words=1000, max_duration=1e9, sat_threshold=0.9), detector=detector)
+    assert found == [10, 20, 70] and warnings.isEmpty()
+
+    def broken(text):
+        raise OSError("no model")
+
+    plain = ends(spark, None)[0]
+    found, warnings = ends(spark, None, detector=broken)
+    assert found == plain and [r["message"] for r in warnings.collect()] == ["No boundary model: no model"]
+
+
+def test_health_and_refusals(spark, tmp_path):
+    table = service.JobTable(spark, str(tmp_path / "jobs"), Clock())
+    assert table.health() == {"ok": True, "jobs": {}}
+    table.create("a", "u")
+    table.claim_next()
+    assert table.health()["jobs"] == {"running": 1}
+    with pytest.raises(RuntimeError):
+        table.rerender("a", Params(), pre_gap=1.0)
+    assert service.from_json(table.get("a").first()["params"]).pre_gap == 1.0
+    with pytest.raises(LookupError):
+        table.rerender("nobody", Params(), pre_gap=1.0)
+    assert service.attachment_name("My <talk>: 1") == "My talk 1.mp3" and service.attachment_name(None) == service.attachment_name("??") == "bilingual.mp3"
+
+
 def test_rare_punctuation_warns(spark):
     chunks = spark.createDataFrame([(1, 0, "你", 0.0, 0.2)], CHUNKS)
     assert dub.run_segments(chunks, Params(), "zh", "")[1].count() == 1 and dub.run_segments(chunks, Params(), "en")[1].count() == 0

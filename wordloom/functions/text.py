@@ -14,12 +14,13 @@ STRONG_PUNCTUATION = ["en", "es", "pt", "fr", "de", "ru", "it", "nl", "pl", "ca"
 RARE_PUNCTUATION = ["zh", "ja", "th", "ko", "lo", "my", "km"]
 NO_SPACES = ["zh", "ja", "th", "lo", "my", "km"]
 # Abbreviations whose period doesn't end a sentence.
-ABBREVIATIONS = (
-    "mr mrs ms dr prof sr sra srta st vs etc approx no vol fig al ca cf eg ie jr inc ltd co "
-    "abbr art cap pág núm bzw ggf usw bspw z.b u.a "
-    "г гг в вв т.д т.е т.п т.к др пр ул д кв стр с рис табл см напр акад проф им руб коп "
-    "тыс млн млрд обл р оз изд ред сокр букв"
-).split()
+ABBREVIATIONS = [
+    "mr", "mrs", "ms", "dr", "prof", "sr", "sra", "srta", "st", "vs", "etc", "approx", "no", "vol", "fig", "al",
+    "ca", "cf", "eg", "ie", "jr", "inc", "ltd", "co", "abbr", "art", "cap", "pág", "núm", "bzw", "ggf", "usw",
+    "bspw", "z.b", "u.a", "г", "гг", "в", "вв", "т.д", "т.е", "т.п", "т.к", "др", "пр", "ул", "д", "кв", "стр", "с",
+    "рис", "табл", "см", "напр", "акад", "проф", "им", "руб", "коп", "тыс", "млн", "млрд", "обл", "р", "оз", "изд",
+    "ред", "сокр", "букв",
+]
 # Names of languages.
 LANGUAGES = {
     "en": "English", "es": "Spanish", "pt": "Portuguese", "fr": "French", "de": "German", "ru": "Russian",
@@ -81,8 +82,12 @@ def language_name(code: Column) -> Column:
     return F.coalesce(F.try_element_at(table, code), code)
 
 
+# Fixed value: whose models short names mean.
+MODEL_PREFIX = "openai/whisper-"
+
+
 def model_id(name: Column) -> Column:
-    return F.when(name.contains("/"), name).otherwise(F.concat(F.lit("openai/whisper-"), name))
+    return F.when(name.contains("/"), name).otherwise(F.concat(F.lit(MODEL_PREFIX), name))
 
 
 def invented(c: Column) -> Column:

@@ -8,12 +8,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.functions.text import language_name, reply_object, strip
+from wordloom.functions.text import LANGUAGES, language_name, reply_object, strip
 from wordloom.operators.words import by_job
 
-#: A pluggable model: user prompt to reply; it may raise.
-Completer = Callable[[str], str]
+#: A pluggable model: system prompt, user prompt and temperature to reply; it may raise.
+Completer = Callable[[str, str, float], str]
 BATCH, CONTEXT = 10, 2
+#: What a translator is told before every batch. Fixed value: the shape of its reply.
+TRANSLATOR = (
+    "Render each numbered sentence of a talk in {target}, the way it would be spoken there, for people who learn the language.\n"
+    "Stay close to the length of the original, as the result is read aloud in a pause. Fragments stay fragments; add no remarks.\n"
+    'Answer with one JSON object and nothing else, with one entry for every sentence under its own number: {{"translations": [{{"id": <int>, "text": "<translation>"}}]}}')
+# Fixed value: how freely a translator words its sentences.
+TRANSLATOR_TEMPERATURE = 0.2
+# The parts of a user prompt, and the warnings.
+CONTEXT_HEAD = "Preceding context (do not translate):\n"
+RETRIED, KEPT = " failed; retried one at a time.", "Translation failed; kept source text."
 
 
 def with_batches(items: DataFrame, size: int = BATCH, context: int = CONTEXT, order: str = "seg_index") -> DataFrame:
@@ -29,7 +39,7 @@ def with_batches(items: DataFrame, size: int = BATCH, context: int = CONTEXT, or
 def prompt(texts: Column, context: Column, target: Column) -> Column:
     """The user prompt for an array of texts."""
     head = F.when(F.size(context) > 0, F.concat(
-        F.lit("Preceding context (do not translate):\n"), F.array_join(F.transform(context, lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("\n\n"))).otherwise("")
+        F.lit(CONTEXT_HEAD), F.array_join(F.transform(context, lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("\n\n"))).otherwise("")
     lines = F.transform(texts, lambda x, i: F.concat(i.cast("string"), F.lit(". "), x))
     return F.concat(head, F.lit("Translate these "), F.size(texts), F.lit(" sentences into "), language_name(target), F.lit(":\n"), F.array_join(lines, "\n"))
 
@@ -41,11 +51,11 @@ def prompts(batched: DataFrame, target: str) -> DataFrame:
             .select("job_id", "batch", F.size("texts").alias("n"), prompt(F.col("texts"), F.col("context"), F.lit(target)).alias("prompt")))
 
 
-def complete(requests: DataFrame, completer: Completer) -> DataFrame:
+def complete(requests: DataFrame, completer: Completer, system: str, temperature: float) -> DataFrame:
     """Requests with ``reply``, null where the model failed."""
     def one(text: str) -> str | None:
         try:
-            return completer(text)
+            return completer(system, text, temperature)
         except Exception:  # a failed batch is a row without reply, which is retried
             return None
 
@@ -82,13 +92,14 @@ def translate(segments: DataFrame, completer: Completer, target: str, size: int
     Batches that fail or come back incomplete are asked again one by one without context, only
     they; a sentence that fails again keeps its source text and is flagged.
     """
+    told = (TRANSLATOR.format(target=LANGUAGES.get(target, target)), TRANSLATOR_TEMPERATURE)
     batched = with_batches(segments.filter((F.col("kind") == "speech") & (strip(F.col("text")) != "")), size, context)
-    good = checked(complete(prompts(batched, target), completer))
+    good = checked(complete(prompts(batched, target), completer, *told))
     first = batched.join(good, ["job_id", "batch", "place"], "left")
     failed = first.filter("translation is null")
     single = failed.select("job_id", "seg_index", "batch", F.lit(1).alias("n"),
                            prompt(F.array("text"), F.array().cast("array<string>"), F.lit(target)).alias("prompt"))
-    again = complete(single, completer).select(
+    again = complete(single, completer, *told).select(
         "job_id", "seg_index", "batch", strip(F.try_element_at(entries(F.col("reply")), F.lit(1))["text"]).alias("retried"))
     both = (first.select("job_id", "seg_index", "translation").join(again, ["job_id", "seg_index"], "left")
             .select("job_id", "seg_index", F.nullif(F.coalesce("translation", "retried"), F.lit("")).alias("said"), F.lit(True).alias("asked")))
@@ -96,7 +107,7 @@ def translate(segments: DataFrame, completer: Completer, target: str, size: int
            .withColumn("translation", F.when(F.col("asked"), F.coalesce("said", "text")))
            .withColumn("translation_failed", F.coalesce("asked", F.lit(False)) & F.col("said").isNull()).drop("said", "asked"))
     retried = again.select("job_id", "batch").distinct().select(
-        "job_id", F.lit("translate").alias("stage"), F.concat(F.lit("Batch "), "batch", F.lit(" failed; retried one at a time.")).alias("message"), F.lit(None).cast("int").alias("seg_index"))
+        "job_id", F.lit("translate").alias("stage"), F.concat(F.lit("Batch "), "batch", F.lit(RETRIED)).alias("message"), F.lit(None).cast("int").alias("seg_index"))
     kept = out.filter("translation_failed").select(
-        "job_id", F.lit("translate").alias("stage"), F.lit("Translation failed; kept source text.").alias("message"), "seg_index")
+        "job_id", F.lit("translate").alias("stage"), F.lit(KEPT).alias("message"), "seg_index")
     return out, retried.unionByName(kept)

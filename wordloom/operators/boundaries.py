@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.functions.text import ends_sentence, punctuation_weight
+from wordloom.functions.text import ends_sentence, language_name, punctuation_weight, reply_object
+from wordloom.operators.batches import Completer, complete
 from wordloom.operators.words import by_job
 from wordloom.params import Params
+from wordloom.storage import materialize
+
+#: A pluggable boundary model: a job's joined text to a probability for each of its characters; it may raise.
+Detector = Callable[[str], list[float]]
+#: What an arbiter is told before every batch. Fixed value: the shape of its reply.
+ARBITER = (
+    "You are shown the numbered words of a transcript whose punctuation can't be trusted, and the numbers of some of them.\n"
+    "Tell after which of those a sentence really ends: where a thought is complete, not where a speaker pauses. Change no word and judge no other place.\n"
+    'Answer with one JSON object and nothing else: {"boundaries": [<numbers after which a sentence ends>]}')
+# Fixed value: an arbiter classifies, so nothing is left to chance.
+ARBITER_TEMPERATURE = 0.0
 
 
 def score_boundaries(words: DataFrame, p: Params, *, lang: Column | None = None, probability: str | None = None) -> DataFrame:
     """Words with ``score, sat_prob, pause_after, has_terminal_punct, source`` of the boundary after each.
 
-    ``probability`` names a column of textual boundary probabilities, null past a detector's
-    output. Without it punctuation and pause alone count. A negative pause lowers the score.
+    ``probability`` names a column of textual boundary probabilities, null where a detector
+    failed. Without one punctuation and pause alone count. A negative pause lowers the score.
     A job's last word scores 1. The order of operations is fixed, so doubles agree everywhere.
     """
     # Each of these stands in a projection of its own, so that it is evaluated once.
@@ -26,10 +41,10 @@ def score_boundaries(words: DataFrame, p: Params, *, lang: Column | None = None,
     text = F.coalesce(F.col(probability), F.lit(0.0)) if probability else F.lit(0.0)
     weight = punctuation_weight(lang if lang is not None else F.lit("en"))
     fused = 1.0 - (1.0 - text) * (1.0 - F.when(mark, weight).otherwise(0.0)) * (1.0 - F.lit(p.pause_weight) * share)
-    source = F.when(last, "eof").when(mark & F.lit(probability is None), "punctuation").otherwise("fused")
+    source = F.when(last, "eof").when(mark & (F.col(probability).isNull() if probability else F.lit(True)), "punctuation").otherwise("fused")
     return rows.withColumns({
         "score": F.when(last, 1.0).otherwise(F.least(F.lit(1.0), fused)),
-        "sat_prob": text if probability else F.lit(None).cast("double"),
+        "sat_prob": F.col(probability) if probability else F.lit(None).cast("double"),
         "pause_after": F.when(last, 0.0).otherwise(pause), "source": source}).drop("__after")
 
 
@@ -45,6 +60,27 @@ def probabilities_at_words(words: DataFrame, char_probs: DataFrame, separator: s
             .withColumn("probability", F.try_element_at("probs", at)).drop("last", "probs"))
 
 
+def detected(words: DataFrame, detector: Detector, separator: str = " ") -> tuple[DataFrame, DataFrame]:
+    """Words with ``probability``, and warnings of the jobs where the detector failed: there it is null."""
+    texts = words.groupBy("job_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("word_index", "text"))), lambda w: w["text"]), separator).alias("text"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for job, text in frame[["job_id", "text"]].itertuples(index=False):
+                try:
+                    rows.append((job, [float(x) for x in detector(text)], None))
+                except Exception as e:  # the job's boundaries then rest on marks and pauses
+                    rows.append((job, None, str(e) or type(e).__name__))
+            yield pd.DataFrame(rows, columns=["job_id", "probs", "error"])
+
+    found = materialize(texts.mapInPandas(run, "job_id long, probs array<double>, error string"), "detected")
+    warnings = found.filter("error is not null").select("job_id", F.lit("segment").alias("stage"), F.concat(F.lit("No boundary model: "), "error").alias("message"),
+                                                        F.lit(None).cast("int").alias("seg_index"))
+    return probabilities_at_words(words, found.select("job_id", "probs"), separator), warnings
+
+
 def ambiguous(candidates: DataFrame, p: Params) -> DataFrame:
     """Boundaries in the gray zone, that of a job's end aside."""
     return candidates.filter((F.col("score") >= p.gray_low) & (F.col("score") < p.gray_high) & (F.col("source") != "eof"))
@@ -69,6 +105,36 @@ def arbiter_prompts(batches: DataFrame, words: DataFrame, separator: str = " ")
         F.array_sort(F.collect_list(F.struct("word_index", token.alias("token")))), lambda x: x["token"]), separator).alias("tokens"))
 
 
+def arbiter_requests(prompts: DataFrame, lang: Column) -> DataFrame:
+    """Batches of :func:`arbiter_prompts` with ``prompt``, the user's part of what an arbiter is asked."""
+    asked = F.concat(F.lit("["), F.array_join(F.transform("asked", lambda x: x.cast("string")), ", "), F.lit("]"))
+    # The parts of the user prompt.
+    return prompts.withColumn("prompt", F.concat(
+        F.lit("Transcript tokens (language: "), language_name(lang), F.lit("):\n"), F.col("tokens"),
+        F.lit("\n\nDoes a sentence end at each of these token indices? "), asked, F.lit("\nReturn the subset where a sentence genuinely ends.")))
+
+
+def read_boundaries(reply: Column) -> Column:
+    """The places that an arbiter's reply names: none if it has no list of them, null if it can't be read."""
+    def places(answer: Column) -> Column:
+        named = F.try_variant_get(answer, "$.boundaries", "variant")
+        return F.when(answer.isNotNull() & named.isNull(), F.array().cast("array<int>")).otherwise(F.try_variant_get(answer, "$.boundaries", "array<int>"))
+
+    return places(reply_object(reply))
+
+
+def arbitrate(candidates: DataFrame, completer: Completer | None, p: Params, lang: Column | None = None, separator: str = " ") -> DataFrame:
+    """Candidates after an arbiter has judged the ambiguous ones, in batches; as they are without one or where the knob is off.
+
+    A batch that fails is confirmed whole. The replies are written to the shared folder, so nothing is asked twice.
+    """
+    if completer is None or not p.llm_arbitration:
+        return candidates
+    batches = arbiter_requests(arbiter_prompts(arbiter_batches(candidates, p), candidates, separator), lang if lang is not None else F.lit("en"))
+    replies = materialize(complete(batches.select("job_id", "batch", "asked", "prompt"), completer, ARBITER, ARBITER_TEMPERATURE), "arbitrated")
+    return apply_arbitration(candidates, confirmed_places(replies.withColumn("boundaries", read_boundaries(F.col("reply")))), p)
+
+
 def confirmed_places(replies: DataFrame) -> DataFrame:
     """``job_id, word_index`` that the arbiter confirmed. ``replies`` has ``asked`` and ``boundaries``.
 

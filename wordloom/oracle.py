@@ -140,6 +140,11 @@ ORACLE = {
     "arbitrated_scores": f"""WITH {WORDS}, a AS (SELECT *, score >= 0.35::DOUBLE AND score < 0.65::DOUBLE AND source <> 'eof' AS gray FROM c)
         SELECT job_id, word_index, CASE WHEN NOT gray THEN score WHEN word_index % 2 = 0 THEN greatest(score, 0.6::DOUBLE) ELSE least(score, 0.4::DOUBLE) END AS score,
         CASE WHEN gray THEN 'llm' ELSE source END AS source FROM a""",
+    "arbitration": f"""WITH {WORDS}, a AS (SELECT *, score >= 0.35::DOUBLE AND score < 0.65::DOUBLE AND source <> 'eof' AS gray FROM c),
+        b AS (SELECT *, CASE WHEN gray THEN (sum(gray::INT) OVER (PARTITION BY job_id ORDER BY word_index) - 1) // 25 END AS batch FROM a),
+        n AS (SELECT *, count(*) OVER (PARTITION BY job_id, batch) AS asked, min(word_index) OVER (PARTITION BY job_id, batch) AS first FROM b)
+        SELECT job_id, word_index, CASE WHEN NOT gray THEN score WHEN asked > 20 OR asked > 1 AND (word_index % 2 = 0 OR word_index = first + 1)
+          THEN greatest(score, 0.6::DOUBLE) ELSE least(score, 0.4::DOUBLE) END AS score, CASE WHEN gray THEN 'llm' ELSE source END AS source FROM n""",
     "speech_runs": f"""WITH {WORDS}, r AS (SELECT *, sum(coalesce(("start" - lag_end > 0.8::DOUBLE)::INT, 0)) OVER (PARTITION BY job_id ORDER BY word_index)::INT AS run
         FROM (SELECT *, lag(greatest("end", "start")) OVER (PARTITION BY job_id ORDER BY word_index) AS lag_end FROM w))
         SELECT job_id, run, string_agg(text, ' ' ORDER BY word_index) AS text, count(*) AS n_words FROM r GROUP BY job_id, run""",

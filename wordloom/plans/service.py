@@ -9,12 +9,13 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.operators import queue
 from wordloom.params import JOB_EVENTS, Params, STAGE_OF
 from wordloom.plans.stages import invalidated_from
+from wordloom.storage import materialize
 
 #: Files that a job offers for download.
 FILES = ("out.mp3", "out.lrc", "timeline.json", "plan.json")
@@ -24,7 +25,7 @@ class JobTable:
     """Jobs under ``path``. ``clock`` gives seconds since 1970."""
 
     def __init__(self, spark: SparkSession, path: str, clock: Callable[[], float] = time.time) -> None:
-        self.spark, self.path, self.clock = spark, path, clock
+        self.spark, self.path, self.clock, self._last = spark, path, clock, 0
 
     def log(self) -> DataFrame:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -36,9 +37,10 @@ class JobTable:
         return queue.current(self.log())
 
     def _append(self, jobs: DataFrame, kind: str, **values) -> None:
-        last = self.log().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-        own = {k: v if isinstance(v, F.Column) else F.lit(v) for k, v in values.items()}
-        queue.event(jobs, kind, self.clock(), F.lit(last + 1), **own).write.mode("append").parquet(self.path)
+        now = self.clock()
+        self._last = max(self._last + 1, int(now * 1_000_000))  # the writer's clock in microseconds, made to rise
+        own = {k: v if isinstance(v, Column) else F.lit(v) for k, v in values.items()}
+        queue.event(jobs, kind, now, F.lit(self._last), **own).write.mode("append").parquet(self.path)
 
     def _named(self, *ids: str) -> DataFrame:
         return self.spark.createDataFrame([(i,) for i in ids], "id string")
@@ -98,24 +100,35 @@ class JobTable:
         self._append(self._named(job_id), "requeued")
         return True
 
-    def reap_stale(self, after: float = queue.STALE_SECONDS) -> list[str]:
-        """Queue running jobs without a recent heartbeat again."""
+    def reap_stale(self, after: float = queue.STALE_SECONDS) -> DataFrame:
+        """Queue running jobs without a recent heartbeat again: their ``id``."""
         return self._each(queue.stale(self.jobs(), self.clock(), after), "requeued")
 
-    def purge_older_than(self, days: float) -> list[str]:
+    def purge_older_than(self, days: float) -> DataFrame:
+        """Drop jobs that ended and were created so long ago: their ``id``."""
         return self._each(queue.expired(self.jobs(), self.clock(), days), "purged")
 
-    def _each(self, jobs: DataFrame, kind: str) -> list[str]:
-        ids = [r[0] for r in jobs.select("id").orderBy("id").collect()]  # the jobs of one maintenance run
-        if ids:
-            self._append(self._named(*ids), kind)
-        return ids
+    def _each(self, jobs: DataFrame, kind: str) -> DataFrame:
+        """Append one event for each of the jobs, which never leave the cluster."""
+        chosen = materialize(jobs.select("id"), "chosen")
+        if not chosen.isEmpty():
+            self._append(chosen, kind)
+        return chosen
 
     def rerender(self, job_id: str, old: Params, **changes) -> tuple[Params, str | None]:
-        """Change knobs of a job. Knobs of a stage queue it again, from that stage; the others only need a new plan."""
+        """Change knobs of a job. Knobs of a stage queue it again, from that stage; the others only need a new plan.
+
+        An unknown job is a LookupError. One that hasn't ended keeps the changed knobs, but needs no new plan
+        yet: a RuntimeError.
+        """
+        status = self._status(job_id)
+        if status is None:
+            raise LookupError(f"no job {job_id}")
         new = old.overlay(**changes)
         stale = invalidated_from(old, new)
         self.update_params(job_id, to_json(new))
+        if stale is None and status not in queue.TERMINAL:
+            raise RuntimeError("the job is still running")
         if stale is not None:
             self._append(self._named(job_id), "requeued")
         return new, stale
@@ -126,6 +139,10 @@ class JobTable:
     def stats(self) -> DataFrame:
         return queue.stats(self.jobs())
 
+    def health(self) -> dict:
+        """Whether the table can be read, and how many jobs have each status."""
+        return {"ok": True, "jobs": {r["status"]: r["n"] for r in self.stats().collect()}}
+
     def compact(self, path: str) -> None:
         """Write the log without the events of purged jobs to another folder."""
         gone = self.log().filter("kind = 'purged'").select("id").distinct()
@@ -153,6 +170,12 @@ def download_name(name: str) -> bool:
     return name in FILES
 
 
+def attachment_name(title: str | None) -> str:
+    """File name under which a job's sound is offered: letters, digits, blanks, ``-`` and ``_`` of its title."""
+    kept = "".join(c for c in title or "" if c.isalnum() or c in " -_").strip()
+    return f"{kept or 'bilingual'}.mp3"
+
+
 def is_cheap(knob: str) -> bool:
     """Whether a change of the knob leaves all stages valid."""
     return knob not in STAGE_OF
