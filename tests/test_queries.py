@@ -35,7 +35,7 @@ def test_queries_without_sql_run(spark, name):
 
 def test_segments_tile_the_words(spark):
     words = dict(queries.job_words(spark, SF).groupBy("job_id").count().collect())
-    for name in ("sentences", "constrained_segments", "word_chunks"):
+    for name in ("sentences", "constrained_segments", "merged_segments", "divided_segments", "word_chunks"):
         ranges = {}
         for r in queries.QUERIES[name](spark, SF).orderBy("job_id", "seg_index").collect():
             assert r["word_start"] == ranges.get(r["job_id"], 0) and r["word_end"] > r["word_start"]
@@ -50,8 +50,15 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_works_without_the_optional_subpackage(tmp_path):
-    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "corpus_pipeline.py"))
-    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
-    found = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True, check=True)
-    assert found.stdout.split()[-2:] == [str(len(queries.QUERIES)), str(len(oracle.ORACLE))]
+def test_works_without_the_optional_folders(tmp_path):
+    """With the optional folders deleted, and only they, the rest imports, registers its queries and passes a core test."""
+    repo = tmp_path / "repo"
+    shutil.copytree(ROOT, repo, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
+    env = {**os.environ, "PYTHONPATH": ""}
+    for gone in ([], [repo / "corpus_pipeline.py"]):  # with and without the pipeline, which needs the folder
+        for file in gone:
+            file.unlink()
+        code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+        found = subprocess.run([sys.executable, "-c", code], cwd=repo, env=env, capture_output=True, text=True, check=True)
+        assert found.stdout.split()[-2:] == [str(len(queries.QUERIES)), str(len(oracle.ORACLE))]
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests/test_text.py"], cwd=repo, env=env, check=True, capture_output=True)

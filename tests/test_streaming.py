@@ -35,6 +35,52 @@ def test_repeats(spark, tmp_path):
     assert sorted((r["job_id"], r["run"]) for r in got) == [(1, 0), (1, 1), (1, 3), (1, 4), (2, 0)]
 
 
+def test_merged_ranges(spark, tmp_path):
+    """Ranges that come in several batches are merged like those of a whole job."""
+    import random
+
+    import numpy as np
+
+    from wordloom.operators.folds import Words
+    from wordloom.params import Params
+
+    rnd, rows, want, p = random.Random(4), [], [], Params()
+    for job in range(12):
+        n = rnd.randint(1, 25)
+        gaps = np.array([rnd.choice([0.05, 0.5, 2.0]) for _ in range(n)])
+        lengths = np.array([rnd.choice([0.2, 0.7, 1.5]) for _ in range(n)])
+        start = np.cumsum(gaps + lengths) - lengths
+        words = Words(start, start + lengths, np.array([rnd.choice([0.3, 0.6, 0.8]) for _ in range(n)]), p)
+        cuts = sorted({n, *(rnd.randint(1, n) for _ in range(8))})
+        for a, b in zip([0, *cuts[:-1]], cuts):
+            rows.append((job, a, b, float(start[a]), float(words.end[b - 1]), b < n and bool(words.joins(b)), b == n))
+        merged = words.merge(cuts)
+        want += [(job, a, b) for a, b in zip([0, *merged[:-1]], merged)]
+    schema = "job_id long, word_start int, word_end int, start double, end double, weak boolean, last boolean"
+    for i in range(4):  # a job's ranges arrive in order, over four batches
+        part = [r for r in rows if (r[1] * 4) // 25 == i]
+        if part:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = drained(spark, tmp_path, sessions.merged_ranges(live, p))
+    assert sorted((r["job_id"], r["word_start"], r["word_end"]) for r in got) == sorted(want)
+
+
+def test_poll(spark, tmp_path):
+    import time
+
+    seen = []
+    query = sessions.poll(stream(spark, tmp_path, [(1,)], "x int"), lambda batch, _: seen.extend(batch.collect()), str(tmp_path / "state"), "200 milliseconds")
+    try:
+        for _ in range(60):
+            if seen:
+                break
+            time.sleep(0.5)
+        assert len(seen) == 1 and query.isActive
+    finally:
+        query.stop()
+
+
 def test_first_of_key(spark, tmp_path):
     rows = [("a", START), ("a", START), ("b", START)]
     got = drained(spark, tmp_path, sessions.first_of_key(stream(spark, tmp_path, rows, "key string, ts timestamp"), "key", "ts"))

@@ -65,15 +65,16 @@ def _run_words(words: DataFrame) -> DataFrame:
 
 
 def run_texts(words: DataFrame) -> DataFrame:
-    """``job_id, run, text, n_words`` of each run."""
-    return _run_words(words).select("job_id", "run", "text", F.size("words").cast("long").alias("n_words"))
+    """``job_id, run, text, n_words, start, end`` of each run."""
+    return _run_words(words).select("job_id", "run", "text", F.size("words").cast("long").alias("n_words"), F.array_min("words.start").alias("start"),
+                                    F.array_max("words.end").alias("end"))
 
 
-def _rejected(text: Column) -> Column:
-    return invented(text) | degenerate(text)
+def _rejected(text: Column, stuck: bool) -> Column:
+    return invented(text) | degenerate(text) if stuck else invented(text)
 
 
-def _with_kept(runs: DataFrame, *carry: str) -> DataFrame:
+def _with_kept(runs: DataFrame, stuck: bool, *carry: str) -> DataFrame:
     """``job_id`` and the array ``runs`` of (run, text, bad, *carry, kept) in order.
 
     A repeat is compared with the last two runs that were kept, so flags are folded over a
@@ -82,23 +83,23 @@ def _with_kept(runs: DataFrame, *carry: str) -> DataFrame:
     def each(texts: pd.Series, bads: pd.Series) -> pd.Series:
         return pd.Series([accepted(list(t), list(b)) for t, b in zip(texts, bads)], dtype=object)
 
-    marked = runs.withColumn("bad", _rejected(F.col("text")))
+    marked = runs.withColumn("bad", _rejected(F.col("text"), stuck))
     jobs = marked.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("run", "text", "bad", *carry))).alias("runs"))
     kept = F.pandas_udf(each, "array<boolean>")(F.col("runs.text"), F.col("runs.bad"))
     return jobs.withColumn("flags", kept).select("job_id", F.zip_with("runs", "flags", lambda r, k: r.withField("kept", k)).alias("runs"))
 
 
-def judged_runs(runs: DataFrame) -> DataFrame:
-    """``job_id, run, text, kept``: invented, degenerate and just repeated texts are not kept."""
-    return _with_kept(runs).select("job_id", F.inline("runs")).select("job_id", "run", "text", "kept")
+def judged_runs(runs: DataFrame, stuck: bool = True) -> DataFrame:
+    """``job_id, run, text, kept``: invented, degenerate and just repeated texts are not kept; without ``stuck``, degenerate ones may be."""
+    return _with_kept(runs, stuck).select("job_id", F.inline("runs")).select("job_id", "run", "text", "kept")
 
 
-def collect_words(chunks: DataFrame) -> DataFrame:
-    """``job_id, word_index, text, start, end`` of the kept runs, stably ordered by start and end.
+def collect_words(chunks: DataFrame, stuck: bool = True) -> DataFrame:
+    """``job_id, word_index, text, start, end`` of the kept runs (as :func:`judged_runs` keeps them), stably ordered by start and end.
 
-    Rows shuffle once, by job; runs and words travel as arrays inside it.
+    Rows shuffle once, by job; runs and words travel as arrays inside it. A job is one recording, whose words one task holds.
     """
-    kept = _with_kept(_run_words(with_runs(chunks)), "words").select("job_id", F.filter("runs", lambda r: r["kept"]).alias("runs"))
+    kept = _with_kept(_run_words(with_runs(chunks)), stuck, "words").select("job_id", F.filter("runs", lambda r: r["kept"]).alias("runs"))
     rows = kept.select("job_id", F.inline(F.flatten(F.transform("runs", lambda r: r["words"]))))
     return (rows.withColumn("word_index", F.row_number().over(by_job("start", "end", "pos")) - 1)
             .select("job_id", "word_index", "text", "start", "end"))
@@ -107,12 +108,15 @@ def collect_words(chunks: DataFrame) -> DataFrame:
 def from_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Words with made-up times for each text: ``job_id, word_index, text, start, end, start_ms, end_ms``.
 
+    A row without a key is no job. Of rows that share a key, the least text is the job's.
+
     Durations and gaps are integers of milliseconds computed from key, place and length; rare
     gaps are long or negative. Times divide once, so any engine gets the same doubles. Texts
     are dealt by job before they are split: what follows needs its rows by job, and whole texts
     shuffle smaller than their words.
     """
-    split = docs.select(key, "text").repartition(key).select(F.col(key).alias("job_id"), F.posexplode(F.filter(F.split("text", r"[ \t\n]+"), lambda x: x != "")).alias("word_index", "text"))
+    jobs = docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("text").alias("text"))
+    split = jobs.select(F.col(key).alias("job_id"), F.posexplode(F.filter(F.split("text", r"[ \t\n]+"), lambda x: x != "")).alias("word_index", "text"))
     h = (F.col("job_id") * 7919 + F.col("word_index") * 104729) % 1000
     gap = F.when(h < 5, 2500).when(h < 20, 900).when(h < 30, -40).otherwise(20 + h % 200)
     timed = split.withColumns({"dur": 80 + 40 * F.length("text"), "gap": gap})

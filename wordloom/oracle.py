@@ -82,6 +82,100 @@ CLIPS = CUTS + """, pv AS (
     coalesce(sum(duration) OVER (PARTITION BY job_id ORDER BY seg_index, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS out_start
   FROM cl WHERE duration > 0
 )"""
+# Sentence ranges, short ones merged, long ones divided; limits are filled in.
+RANGES = """wp AS (
+  SELECT *, coalesce(after - "end", 0.0::DOUBLE) AS pause, lead("start") OVER (PARTITION BY job_id ORDER BY word_index) AS next_start FROM c
+)"""
+SPLITS = """cp AS (
+  SELECT job_id, word_index + 1 AS cut FROM wp WHERE score >= 0.5::DOUBLE OR after IS NULL OR after - "end" >= 2.0::DOUBLE
+)"""
+# Words by count: each cut goes to the longest pause near the next ideal place.
+COUNTED = """pl AS (
+  SELECT job_id, list(pause ORDER BY word_index) AS p, count(*) AS n FROM wp GROUP BY job_id
+), ck(job_id, pos, n) AS (
+  SELECT job_id, 0::BIGINT, n FROM pl
+  UNION ALL
+  SELECT job_id, CASE WHEN low > high THEN ideal + 1 ELSE low + list_position(p[low + 1:high + 1], list_max(p[low + 1:high + 1])) END, n FROM (
+    SELECT ck.job_id, ck.n, p, pos + 11 AS ideal, greatest(pos, pos + 7) AS low, least(ck.n - 2, pos + 15) AS high FROM ck JOIN pl USING (job_id) WHERE pos + 12 < ck.n)
+), cp AS (
+  SELECT job_id, pos AS cut FROM ck WHERE pos > 0 UNION SELECT job_id, word_index + 1 FROM wp WHERE after IS NULL OR after - "end" >= 2.0::DOUBLE
+)"""
+# One range after another: what a short range has absorbed counts when it is judged next.
+MERGED = """cu AS (
+  SELECT cp.job_id, cut, row_number() OVER (PARTITION BY cp.job_id ORDER BY cut) AS i, count(*) OVER (PARTITION BY cp.job_id) AS m,
+         "end" AS stop, next_start, score < 0.8::DOUBLE AND pause < 2.0::DOUBLE AS weak FROM cp JOIN wp ON wp.job_id = cp.job_id AND word_index = cut - 1
+), mg(job_id, i, a, b, a_start, stop, next_start, weak_before, weak, kept) AS (
+  SELECT cu.job_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, "start", "start", "start", false, false, true FROM cu JOIN wp ON wp.job_id = cu.job_id AND word_index = 0 WHERE i = 1
+  UNION ALL
+  SELECT job_id, i, a, b, a_start, stop, next_start, weak_before, weak, NOT (i < m AND weak AND (b - a < {min_words} OR stop - a_start < {min_duration}::DOUBLE)) FROM (
+    SELECT cu.job_id, cu.i, cu.m, CASE WHEN kept THEN mg.b ELSE a END AS a, cu.cut AS b, CASE WHEN kept THEN mg.next_start ELSE a_start END AS a_start,
+           cu.stop, cu.next_start, CASE WHEN kept THEN mg.weak ELSE weak_before END AS weak_before, cu.weak
+    FROM mg JOIN cu ON cu.job_id = mg.job_id AND cu.i = mg.i + 1)
+), kp AS (
+  SELECT *, lead(b) OVER j AS nb, lead(weak_before AND (b - a < {min_words} OR stop - a_start < {min_duration}::DOUBLE)) OVER j AS next_joins,
+         lead(b, 2) OVER j AS after_next FROM mg WHERE kept AND i > 0 WINDOW j AS (PARTITION BY job_id ORDER BY i)
+), rg AS (
+  SELECT job_id, coalesce(lag(b) OVER (PARTITION BY job_id ORDER BY b), 0)::BIGINT AS a, b FROM kp WHERE NOT (nb IS NOT NULL AND after_next IS NULL AND next_joins)
+)"""
+# Each range with its words as lists; too long ones are cut after the best score, then the longest pause, the first of ties.
+DIVIDED = """rl AS (
+  SELECT rg.job_id, a, list("start" ORDER BY word_index) AS s, list("end" ORDER BY word_index) AS e, list(score ORDER BY word_index) AS k, list(pause ORDER BY word_index) AS p
+  FROM rg JOIN wp ON wp.job_id = rg.job_id AND word_index >= a AND word_index < b GROUP BY rg.job_id, a
+), dv(job_id, a, s, e, k, p, cut) AS (
+  SELECT job_id, a, s, e, k, p, {cut} FROM rl
+  UNION ALL
+  SELECT job_id, a, s, e, k, p, {cut} FROM (
+    SELECT job_id, CASE WHEN side THEN a ELSE a + cut END AS a, CASE WHEN side THEN s[:cut] ELSE s[cut + 1:] END AS s, CASE WHEN side THEN e[:cut] ELSE e[cut + 1:] END AS e,
+           CASE WHEN side THEN k[:cut] ELSE k[cut + 1:] END AS k, CASE WHEN side THEN p[:cut] ELSE p[cut + 1:] END AS p
+    FROM dv, (VALUES (true), (false)) v(side) WHERE cut IS NOT NULL)
+), fr AS (
+  SELECT job_id, a, a + len(s) AS b FROM dv WHERE cut IS NULL
+)"""
+_CUT = """CASE WHEN (e[len(e)] - s[1] > {max_duration}::DOUBLE OR len(s) > {max_words}) AND len(s) >= 2 * {min_words} THEN
+    -list_max(list_transform(range({min_words}, len(s) - {min_words} + 1), lambda i: struct_pack(x := k[i], y := p[i], z := -i))).z END"""
+FOLDED = """nr AS (
+  SELECT *, (row_number() OVER (PARTITION BY job_id ORDER BY a) - 1)::INT AS seg_index FROM {ranges}
+), fs AS (
+  SELECT nr.job_id, seg_index, a::INT AS word_start, b::INT AS word_end, string_agg(text, ' ' ORDER BY word_index) AS text, arg_min("start", word_index) AS "start",
+    arg_max("end", word_index) AS "end", arg_max(score, word_index) AS score, arg_max(source, word_index) AS source
+  FROM nr JOIN c ON c.job_id = nr.job_id AND word_index >= a AND word_index < b GROUP BY nr.job_id, seg_index, a, b
+) SELECT job_id, seg_index, word_start, word_end, text, "start", "end", CASE WHEN word_end - word_start < {min_words} AND "end" - "start" < {min_duration}::DOUBLE THEN 'skip' ELSE 'speech' END AS kind,
+    score, source FROM fs"""
+
+
+def _folded(cuts: str, merge: bool = True, divide: bool = True) -> str:
+    limits = {"min_words": 2 if merge else 1, "min_duration": 1.2 if merge else 0.0}
+    cut = _CUT.format(max_duration=15.0, max_words=40, **limits)
+    steps = [WORDS, RANGES, cuts, MERGED.format(**limits), *([DIVIDED.format(cut=cut)] if divide else [])]
+    return "WITH RECURSIVE " + ", ".join(steps) + ", " + FOLDED.format(ranges="fr" if divide else "rg", **limits)
+
+
+# Runs one after another: a text is compared with the last two that stayed.
+REPEATS = """rw AS (
+  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY run) AS i FROM runs
+), fo(job_id, i, run, text, kept, one, two) AS (
+  SELECT DISTINCT job_id, 0::BIGINT, NULL::INT, NULL::VARCHAR, false, NULL::VARCHAR, NULL::VARCHAR FROM rw
+  UNION ALL
+  SELECT job_id, i, run, text, kept, CASE WHEN kept THEN text ELSE one END, CASE WHEN kept THEN one ELSE two END FROM (
+    SELECT rw.job_id, rw.i, rw.run, rw.text, one, two, rw.text <> '' AND NOT bad AND rw.text IS DISTINCT FROM one AND rw.text IS DISTINCT FROM two AS kept
+    FROM fo JOIN rw ON rw.job_id = fo.job_id AND rw.i = fo.i + 1)
+)"""
+# Words some of whose times are missing. A start is that of the word, or the end before it; ends never precede starts.
+UNTIMED = """uw AS (
+  SELECT job_id, word_index, text, CASE WHEN (job_id * 31 + word_index * 17) % 23 = 0 THEN NULL ELSE "start" END AS s,
+    CASE WHEN (job_id * 13 + word_index * 7) % 11 = 0 THEN NULL ELSE "end" END AS e FROM w
+), st AS (
+  SELECT *, count(s) OVER (PARTITION BY job_id ORDER BY word_index) AS g FROM uw
+), en AS (
+  SELECT *, max(CASE WHEN s IS NULL THEN e ELSE greatest(coalesce(e, s), s) END) OVER (PARTITION BY job_id, g ORDER BY word_index) AS top FROM st
+), fl AS (
+  SELECT job_id, word_index, text, s, CASE WHEN g = 0 THEN greatest(coalesce(top, 0), 0.0::DOUBLE) ELSE top END AS e FROM en
+), ru AS (
+  SELECT *, lag(e) OVER (PARTITION BY job_id ORDER BY word_index) AS before FROM fl
+), rn AS (
+  SELECT job_id, word_index, text, coalesce(s, before, 0.0::DOUBLE) AS "start", e AS "end",
+    sum(coalesce((coalesce(s, before, 0.0::DOUBLE) - before > 0.8::DOUBLE)::INT, 0)) OVER (PARTITION BY job_id ORDER BY word_index)::INT AS run FROM ru
+)"""
 TURNS = """
 t AS (
   SELECT conv_id AS job_id, turn::INT AS seg_index, text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS r FROM conversations
@@ -140,14 +234,24 @@ ORACLE = {
     "arbitrated_scores": f"""WITH {WORDS}, a AS (SELECT *, score >= 0.35::DOUBLE AND score < 0.65::DOUBLE AND source <> 'eof' AS gray FROM c)
         SELECT job_id, word_index, CASE WHEN NOT gray THEN score WHEN word_index % 2 = 0 THEN greatest(score, 0.6::DOUBLE) ELSE least(score, 0.4::DOUBLE) END AS score,
         CASE WHEN gray THEN 'llm' ELSE source END AS source FROM a""",
-    "arbitration": f"""WITH {WORDS}, a AS (SELECT *, score >= 0.35::DOUBLE AND score < 0.65::DOUBLE AND source <> 'eof' AS gray FROM c),
-        b AS (SELECT *, CASE WHEN gray THEN (sum(gray::INT) OVER (PARTITION BY job_id ORDER BY word_index) - 1) // 25 END AS batch FROM a),
-        n AS (SELECT *, count(*) OVER (PARTITION BY job_id, batch) AS asked, min(word_index) OVER (PARTITION BY job_id, batch) AS first FROM b)
+    "arbitration": f"""WITH {WORDS}, ga AS (SELECT *, score >= 0.35::DOUBLE AND score < 0.65::DOUBLE AND source <> 'eof' AS gray FROM c),
+        gb AS (SELECT *, CASE WHEN gray THEN (sum(gray::INT) OVER (PARTITION BY job_id ORDER BY word_index) - 1) // 25 END AS batch FROM ga),
+        gn AS (SELECT *, count(*) OVER (PARTITION BY job_id, batch) AS asked, min(word_index) OVER (PARTITION BY job_id, batch) AS first FROM gb)
         SELECT job_id, word_index, CASE WHEN NOT gray THEN score WHEN asked > 20 OR asked > 1 AND (word_index % 2 = 0 OR word_index = first + 1)
-          THEN greatest(score, 0.6::DOUBLE) ELSE least(score, 0.4::DOUBLE) END AS score, CASE WHEN gray THEN 'llm' ELSE source END AS source FROM n""",
-    "speech_runs": f"""WITH {WORDS}, r AS (SELECT *, sum(coalesce(("start" - lag_end > 0.8::DOUBLE)::INT, 0)) OVER (PARTITION BY job_id ORDER BY word_index)::INT AS run
-        FROM (SELECT *, lag(greatest("end", "start")) OVER (PARTITION BY job_id ORDER BY word_index) AS lag_end FROM w))
-        SELECT job_id, run, string_agg(text, ' ' ORDER BY word_index) AS text, count(*) AS n_words FROM r GROUP BY job_id, run""",
+          THEN greatest(score, 0.6::DOUBLE) ELSE least(score, 0.4::DOUBLE) END AS score, CASE WHEN gray THEN 'llm' ELSE source END AS source FROM gn""",
+    "speech_runs": f"""WITH {WORDS}, {UNTIMED} SELECT job_id, run, string_agg(text, ' ' ORDER BY word_index) AS text, count(*) AS n_words,
+        min("start") AS "start", max("end") AS "end" FROM rn GROUP BY job_id, run""",
+    "constrained_segments": _folded(SPLITS),
+    "merged_segments": _folded(SPLITS, divide=False),
+    "divided_segments": _folded(SPLITS, merge=False),
+    "word_chunks": _folded(COUNTED),
+    "kept_lines": f"""WITH RECURSIVE l AS (SELECT doc_id AS job_id, unnest(string_split(text, chr(10))) AS text, unnest(range(0, len(string_split(text, chr(10)))))::INT AS run FROM documents),
+        runs AS (SELECT job_id, run, regexp_replace(text, '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g') AS text, {_FOUND} AS bad FROM l), {REPEATS}
+        SELECT job_id, run, text, kept FROM fo WHERE i > 0""",
+    "collected_words": f"""WITH RECURSIVE {WORDS}, {UNTIMED}, runs AS (SELECT job_id, run, string_agg(text, ' ' ORDER BY word_index) AS text, false AS bad FROM rn GROUP BY job_id, run),
+        rx AS (SELECT job_id, run, text, {_FOUND} AS bad FROM runs), {REPEATS.replace('FROM runs', 'FROM rx')}
+        SELECT rn.job_id, (row_number() OVER (PARTITION BY rn.job_id ORDER BY "start", "end", word_index) - 1)::INT AS word_index, rn.text, "start", "end"
+        FROM rn JOIN fo ON fo.job_id = rn.job_id AND fo.run = rn.run AND kept""",
     "invented_lines": f"WITH {_LINES} SELECT job_id, count(*) FILTER ({_FOUND}) AS invented, count(*) AS n FROM l GROUP BY job_id",
     "job_summary": f"WITH {SEGMENTS} SELECT job_id, count(*) AS segments, count(*) FILTER (kind = 'speech') AS speech, 0::BIGINT AS warnings FROM seg GROUP BY job_id",
     "preview_excerpt": f"""WITH {SEGMENTS}, r AS (SELECT job_id, seg_index, row_number() OVER (PARTITION BY job_id ORDER BY seg_index) - 1 AS rank,
@@ -179,7 +283,15 @@ ORACLE = {
     "plan_stats": f"""WITH {CLIPS} SELECT job_id, source_duration, output_duration, translated_segments, n - translated_segments AS skipped_segments, hard_splices FROM
         (SELECT job_id, round(max(media_end), 6) AS source_duration, count(*) AS n, count(*) FILTER (hard_out) AS hard_splices FROM cut GROUP BY job_id) JOIN
         (SELECT job_id, round(sum(duration), 6) AS output_duration, count(*) FILTER (kind = 'tts') AS translated_segments FROM clip GROUP BY job_id) USING (job_id)""",
-    "plan_violations": f"WITH {CLIPS} SELECT job_id, clip_index, 'not contiguous' AS problem FROM clip WHERE job_id % 5 = 0 AND clip_index = 1",
+    "plan_violations": f"""WITH {CLIPS}, fa(k, problem) AS (VALUES (0, 'not contiguous'), (1, 'negative duration'), (2, 'no source range'), (3, 'inverted source range'),
+        (4, 'duration differs from source range'), (5, 'no path'), (6, 'not anchored')), ft AS (SELECT job_id, min(clip_index) FILTER (kind = 'tts') AS voice FROM clip GROUP BY job_id)
+        SELECT job_id, clip_index, problem FROM clip JOIN ft USING (job_id) JOIN fa ON k = job_id % 8
+        WHERE clip_index = CASE WHEN k < 2 THEN 1 WHEN k = 5 THEN voice ELSE 0 END""",
+    "excerpt_list": f"""WITH {CLIPS}, r AS (SELECT job_id, seg_index, row_number() OVER (PARTITION BY job_id ORDER BY seg_index) - 1 AS rank,
+        count(*) OVER (PARTITION BY job_id) AS total FROM cut WHERE kind = 'speech'), ex AS (SELECT cl.* FROM cl JOIN r USING (job_id, seg_index)
+          WHERE abs(rank - least(3, total - 1)) <= 1 AND part < 5 AND duration > 0)
+        SELECT job_id, (row_number() OVER j - 1)::INT AS clip_index, kind, round(coalesce(sum(duration) OVER (j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE), 6) AS out_start,
+          round(duration, 6) AS duration, round(src_start, 6) AS src_start, fade_in FROM ex WINDOW j AS (PARTITION BY job_id ORDER BY seg_index, part)""",
     "freeze_times": f"""WITH {CLIPS} SELECT job_id, clip_index, round(CASE WHEN kind <> 'source' THEN coalesce(last_value(CASE WHEN kind = 'source' THEN src_end END IGNORE NULLS)
         OVER (PARTITION BY job_id ORDER BY clip_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) END, 6) AS freeze_at FROM clip""",
     "sample_places": f"""WITH {CLIPS}, x AS (SELECT job_id, clip_index, round_even(round(duration, 6) * 24000, 0)::BIGINT AS n_samples FROM clip)

@@ -48,6 +48,16 @@ def constrained_segments(spark, sf_dir):
     return _flat(segments.segment(candidates(spark, sf_dir), P))
 
 
+def merged_segments(spark, sf_dir):
+    """Short ranges merged, long ones left."""
+    return _flat(segments.segment(candidates(spark, sf_dir), Params(max_words=1 << 30, max_duration=1e12)))
+
+
+def divided_segments(spark, sf_dir):
+    """Long ranges divided, short ones left."""
+    return _flat(segments.segment(candidates(spark, sf_dir), Params(min_words=1, min_duration=0.0)))
+
+
 def word_chunks(spark, sf_dir):
     return _flat(segments.segment(candidates(spark, sf_dir), Params(segmentation_mode="words")))
 
@@ -90,12 +100,18 @@ def _as_chunks(timed: DataFrame) -> DataFrame:
     return timed.withColumnRenamed("word_index", "pos").select("job_id", "pos", "text", "start", "end")
 
 
+def _untimed(spark, sf_dir) -> DataFrame:
+    """Chunks of which some have no start, no end, or neither."""
+    j, i = F.col("job_id"), F.col("pos")
+    return _as_chunks(job_words(spark, sf_dir)).withColumns({"start": F.when((j * 31 + i * 17) % 23 != 0, F.col("start")), "end": F.when((j * 13 + i * 7) % 11 != 0, F.col("end"))})
+
+
 def speech_runs(spark, sf_dir):
-    return words.run_texts(words.with_runs(_as_chunks(job_words(spark, sf_dir))))
+    return words.run_texts(words.with_runs(_untimed(spark, sf_dir)))
 
 
 def collected_words(spark, sf_dir):
-    return words.collect_words(_as_chunks(job_words(spark, sf_dir)))
+    return words.collect_words(_untimed(spark, sf_dir), stuck=False)
 
 
 def _lines(spark, sf_dir) -> DataFrame:
@@ -105,7 +121,7 @@ def _lines(spark, sf_dir) -> DataFrame:
 
 
 def kept_lines(spark, sf_dir):
-    return words.judged_runs(_lines(spark, sf_dir))
+    return words.judged_runs(_lines(spark, sf_dir), stuck=False)
 
 
 def invented_lines(spark, sf_dir):
@@ -263,9 +279,26 @@ def plan_stats(spark, sf_dir):
 
 
 def plan_violations(spark, sf_dir):
-    """The first fault of lists damaged on purpose in every fifth job."""
-    bad = (F.col("job_id") % 5 == 0) & (F.col("clip_index") == 1)
-    return edits.violations(edits.clips(_cut(spark, sf_dir), P).withColumn("out_start", F.col("out_start") + F.when(bad, 0.5).otherwise(0.0)))
+    """The first fault of lists damaged on purpose: another kind of fault for each remainder of the job by 8, none for 7."""
+    rows = edits.clips(_cut(spark, sf_dir), P)
+    first = F.min(F.when(F.col("kind") == "tts", F.col("clip_index"))).over(Window.partitionBy("job_id"))
+    rows = rows.withColumns({"kind_of": F.pmod("job_id", F.lit(8)), "first_voice": first})
+
+    def damaged(column: str, kind: int, at: Column | int, value: Column) -> dict[str, Column]:
+        return {column: F.when((F.col("kind_of") == kind) & (F.col("clip_index") == at), value).otherwise(F.col(column))}
+
+    for change in (damaged("out_start", 0, 1, F.col("out_start") + 0.5), damaged("duration", 1, 1, F.lit(-1.0)), damaged("src_start", 2, 0, F.lit(None)),
+                   damaged("src_end", 3, 0, F.col("src_start") - 1), damaged("src_end", 4, 0, F.col("src_end") + 0.5),
+                   damaged("path", 5, F.col("first_voice"), F.lit(None)), damaged("path", 6, 0, F.lit("x")) | damaged("kind", 6, 0, F.lit("tts"))):
+        rows = rows.withColumns(change)
+    return edits.violations(rows)
+
+
+def excerpt_list(spark, sf_dir):
+    """The edit list of the segments around each job's fourth."""
+    made = _cut(spark, sf_dir)
+    around = segments.excerpt(made, 3).select("job_id", "id")
+    return edits.clips(made, P, selected=around).select("job_id", "clip_index", "kind", _rounded("out_start"), _rounded("duration"), _rounded("src_start"), "fade_in")
 
 
 def freeze_times(spark, sf_dir):
@@ -379,9 +412,9 @@ def event_keys(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    sentences, constrained_segments, word_chunks, boundary_scores, ambiguous_boundaries, arbiter_windows, arbitrated_scores, arbitration,
+    sentences, constrained_segments, merged_segments, divided_segments, word_chunks, boundary_scores, ambiguous_boundaries, arbiter_windows, arbitrated_scores, arbitration,
     speech_runs, collected_words, kept_lines, invented_lines, degenerate_lines, job_summary, preview_excerpt, word_marks,
     translation_prompts, checked_replies, clip_keys, cache_misses, cache_unused, queue_stats, queue_public, queue_recent,
     queue_next, queue_stale, queue_expired, queue_cancellations, invalidated_stages, segment_cuts, edit_list, plan_stats,
-    plan_violations, freeze_times, sample_places, lyric_lines, signal_levels, signal_peaks, signal_percentiles,
+    plan_violations, excerpt_list, freeze_times, sample_places, lyric_lines, signal_levels, signal_peaks, signal_percentiles,
     signal_quietest, signal_matched, seam_cuts, heard_bridges, rendered_levels, event_runs, event_keys)}

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wordloom.operators.folds import REPEAT_WINDOW
+from wordloom.params import Params
 
 
 def runs(events: DataFrame, key: str, at: str, gap: str, watermark: str = "1 hour", seconds: str | None = None) -> DataFrame:
@@ -62,6 +63,41 @@ def kept_runs(stream: DataFrame) -> DataFrame:
         step, "job_id long, run int, text string", "recent array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
+def merged_ranges(stream: DataFrame, p: Params) -> DataFrame:
+    """The merging of short ranges on a stream: ``job_id, word_start, word_end, start, end`` of the ranges as they are settled.
+
+    The stream has ``job_id long, word_start int, word_end int, start double, end double, weak boolean, last boolean``: a job's
+    ranges in order, whether the boundary after each may go (unsettled, with a short pause), and which is its last.
+    State holds the range that still grows and the one before it, which a short last range joins.
+    """
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        open_word, open_time, *held = state.get if state.exists else (None, None, None, None, None, None, None)
+        before = tuple(held) if held[0] is not None else None
+        rows = pd.concat([f for f in frames]).sort_values("word_start")
+        out = []
+        for word_start, word_end, start, end, weak, last in rows[["word_start", "word_end", "start", "end", "weak", "last"]].itertuples(index=False):
+            first, since = (word_start, start) if open_word is None else (open_word, open_time)
+            short = word_end - first < p.min_words or end - since < p.min_duration
+            if short and weak and not last:
+                open_word, open_time = int(first), float(since)
+                continue
+            open_word = open_time = None
+            if before is not None and last and short and before[4]:
+                first, since = before[0], before[2]
+            elif before is not None:
+                out.append((key[0], *before[:4]))
+            before = (int(first), int(word_end), float(since), float(end), bool(weak))
+            if last:
+                out.append((key[0], *before[:4]))
+                before = None
+        state.update((open_word, open_time, *(before or (None,) * 5)))
+        yield pd.DataFrame(out, columns=["job_id", "word_start", "word_end", "start", "end"])
+
+    return stream.groupBy("job_id").applyInPandasWithState(
+        step, "job_id long, word_start int, word_end int, start double, end double",
+        "open_word int, open_time double, word_start int, word_end int, start double, end double, weak boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def stale_jobs(heartbeats: DataFrame, after_ms: int) -> DataFrame:
     """Jobs without a heartbeat for so long, by the clock: ``id string, beats long``."""
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -78,6 +114,12 @@ def stale_jobs(heartbeats: DataFrame, after_ms: int) -> DataFrame:
         step, "id string, beats long", "beats long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def poll(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second", mode: str = "append") -> StreamingQuery:
+    """Give what comes to ``sink`` batch by batch, as often as said, until the query is stopped: a worker."""
+    return (stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint)
+            .trigger(processingTime=every).start())
+
+
 def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Give what is there to ``sink`` batch by batch and stop: a scheduled batch or a test."""
     query = (stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint)
