@@ -21,6 +21,8 @@ LOCAL_FALLBACK = "/tmp/checkpoints/wordloom"
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 64 << 20
 #: Keys of so many rows are dealt to several tasks, and at most so many keys are (a proven bound).
 HOT_ROWS, HOT_KEYS = 256, 20_000
+#: Rows of a range, about, where rows are dealt by range; their number follows the counted rows.
+ROWS_PER_RANGE = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -150,19 +152,20 @@ def join_skewed(many: DataFrame, one: DataFrame, key: str, spread: Column, how:
     return join_dealt(many, one, key, hot_keys(many, key), spread, how)
 
 
-def running_total(df: DataFrame, group: list[str], bucket: str, order: list[Column],
-                  value: Column, out: str) -> DataFrame:
-    """Exclusive running sum of ``value`` within ``group``, ordered by ``bucket`` then ``order``.
+def running_total(df: DataFrame, group: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
+    """Exclusive running sum of ``value`` within ``group``, in order; ``df`` is materialised.
 
-    Two levels, so no task sees a whole group: sums per (group, bucket) are added up
-    over the few buckets, and each row adds the running sum inside its own bucket.
-    ``bucket`` must be non-null and must refine the order (e.g. leading digits of a hash).
+    Rows are dealt to ranges of group and order, which split any group and even rows that are all
+    alike; the sums of the ranges are added up, a few rows for each group, and each row adds the
+    running sum inside its own range. Rows alike in order come in any order.
     """
-    total, base = f"__{out}_bucket", f"__{out}_base"
-    sums = df.groupBy(*group, bucket).agg(F.sum(value).alias(total))
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(*group, bucket, F.coalesce(F.sum(total).over(before), F.lit(0)).alias(base))
-    inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (df.join(bases, [*group, bucket])
-            .withColumn(out, F.col(base) + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-            .drop(base))
+    part, tie, total, base = (f"__{out}_{x}" for x in ("part", "tie", "total", "base"))
+    ranges = max(-(-df.count() // ROWS_PER_RANGE), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = materialize(df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(ranges, *group, *order, tie)
+                        .withColumn(part, F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy(*group, part).agg(F.sum(value).alias(total))
+    before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = materialize(sums.select(*group, part, F.coalesce(F.sum(total).over(before), F.lit(0)).alias(base)), "bases")
+    inside = Window.partitionBy(*group, part).orderBy(*order, tie).rowsBetween(Window.unboundedPreceding, -1)
+    return (join_small(dealt.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0))), bases, [*group, part])
+            .withColumn(out, F.col(base) + F.col(out)).drop(base, part, tie))
