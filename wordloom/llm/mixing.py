@@ -10,8 +10,6 @@ from wordloom.storage import join_small, materialize, running_total, sortable
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Hex digits of the seeded hash that name a bucket: 4,096 buckets a source.
-BUCKET_DIGITS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -78,8 +76,7 @@ def mix(docs: DataFrame, *, size: Column | None = None, source: str = "source",
             F.col(key).alias(key), F.col(source).cast("string").alias("source"),
             (word_count(F.col("text")) if size is None else size).cast("long").alias("size"),
             seeded_rank(F.col(key), seed).alias("__rank"))
-        .withColumn("__key", stable_source(F.col("source")))
-        .withColumn("__bucket", F.substring("__rank", 1, BUCKET_DIGITS)), "mix-sizes")
+        .withColumn("__key", stable_source(F.col("source"))), "mix-sizes")
     per_source = counted.groupBy("__key").agg(F.sum("size").alias("source_size"))
     turn = F.row_number().over(Window.orderBy("__key")) - 1
     ranked = per_source.withColumn("__w", F.element_at(
@@ -91,8 +88,7 @@ def mix(docs: DataFrame, *, size: Column | None = None, source: str = "source",
                                       F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
         .withColumn("__part", F.col("target") - F.col("__whole") * F.col("source_size"))
         .drop("__w"), "mix-targets")
-    running = running_total(counted, ["__key"], "__bucket", [F.col("__rank"), F.col("size")],
-                            F.col("size"), "__before")
+    running = running_total(counted, ["__key"], [F.col("__rank"), F.col("size")], F.col("size"), "__before")
     again = (2 * F.col("__before") + F.col("size") <= 2 * F.col("__part")) & (F.col("__part") > 0)
     return (
         join_small(running, targets, ["__key"])
@@ -130,8 +126,8 @@ def repeat_rows(docs: DataFrame, taken: DataFrame, key: str = "doc_id", seed: in
     if ends.filter("__more < __alike").isEmpty():
         return out
     some = marked.filter(torn).select(*back, "__s", "__low", "__high", "__more")
-    some = some.withColumn("__hash", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).withColumn("__bucket", F.substring("__hash", 1, BUCKET_DIGITS))
-    some = running_total(materialize(some, "mix-torn"), ["__s"], "__bucket", [F.col("__hash"), *sortable(docs)], F.lit(1).cast("long"), "__place")
+    some = materialize(some.withColumn("__hash", F.md5(F.coalesce("text", F.lit("")).cast("binary"))), "mix-torn")
+    some = running_total(some, ["__s"], [F.col("__hash"), *sortable(docs)], F.lit(1).cast("long"), "__place")
     some = (some.withColumn("__times", F.when(F.col("__place") < F.col("__more"), F.col("__high")).otherwise(F.col("__low")))
             .filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*columns))
     return out.unionByName(some)
