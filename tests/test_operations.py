@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,25 @@ def test_sources(spark):
     assert [(r["pos"], r["text"], r["start"], r["end"]) for r in got] == [(0, "a", 0.0, None), (1, "b", None, None)]
     with pytest.raises(Exception, match="no speech"):
         media.recognise(urls, lambda u: []).collect()
+
+
+def test_fetched_files(spark):
+    urls = spark.createDataFrame([(1, "ok"), (2, "gone")], "job_id long, url string")
+
+    def site(url):
+        if url == "gone":
+            raise OSError("404")
+        return {"source.wav": b"w", "source.info.json": b"{}", "source.webm": b"m", "source.mkv": b"k", "cover.jpg": b"c"}
+
+    files = media.fetch(urls, site)
+    assert [tuple(r) for r in media.first_media(files).collect()] == [(1, "source.mkv", bytearray(b"k"))]
+    assert [(r["job_id"], r["error"]) for r in files.filter("error is not null").collect()] == [(2, "404")]
+
+
+def test_codecs(spark):
+    files = spark.createDataFrame([(1, bytearray(range(10))), (2, bytearray(b""))], "job_id long, content binary")
+    chunks = media.decoded(files, lambda data, rate: np.frombuffer(bytes(data), np.uint8) / rate, 4, 4)
+    assert [(r["job_id"], r["chunk_no"], list(r["samples"])) for r in chunks.orderBy("job_id", "chunk_no").collect()] == [
+        (1, 0, [0.0, 0.25, 0.5, 0.75]), (1, 1, [1.0, 1.25, 1.5, 1.75]), (1, 2, [2.0, 2.25]), (2, 0, [])]
+    back = media.encoded(chunks, lambda parts, rate: (np.concatenate(list(parts)) * rate).astype(np.uint8).tobytes(), 4)
+    assert {r["job_id"]: bytes(r["content"]) for r in back.collect()} == {1: bytes(range(10)), 2: b""}

@@ -165,7 +165,7 @@ def test_render(spark, tmp_path):
     (tmp_path / "a.wav").write_bytes(data)
     back = wav.read_chunks(spark, str(tmp_path), CHUNK, RATE)
     assert back.agg(F.sum(F.size("samples"))).first()[0] == len(y)
-    assert wav.durations(back).first()["seconds"] == pytest.approx(len(y) / RATE)
+    assert wav.durations(back).first()["seconds"] == wav.probed(spark, str(tmp_path)).first()["seconds"] == pytest.approx(len(y) / RATE)
     assert wav.decode(data)[1] == pytest.approx(np.clip(y, -1, 1), abs=1e-4)
 
 

@@ -264,6 +264,16 @@ ORACLE = {
         SELECT job_id, batch::INT AS batch, n, CASE WHEN ctx IS NULL THEN '' ELSE 'Preceding context (do not translate):' || chr(10) || ctx || chr(10) || chr(10) END
         || 'Translate these ' || n || ' sentences into English:' || chr(10) || body AS prompt FROM p LEFT JOIN x USING (job_id, batch)""",
     "checked_replies": f"WITH {TURNS} SELECT job_id, (r // 3)::INT AS batch, (r % 3)::INT AS place, trim('EN:' || text, ' ' || chr(9) || chr(10) || chr(13)) AS translation FROM t WHERE job_id % 3 <> 0",
+    "translated_turns": f"""WITH {TURNS}, n AS (SELECT *, count(*) OVER (PARTITION BY job_id, r // 3) AS n FROM t), a AS (
+        SELECT job_id, seg_index, text, n = 3 OR length(text) % 2 = 0 AS told FROM n)
+        SELECT c.conv_id AS job_id, c.turn::INT AS seg_index, CASE WHEN told THEN regexp_replace('EN:' || a.text, '\\s+$', '') ELSE a.text END AS translation,
+        coalesce(NOT told, false) AS translation_failed FROM conversations c LEFT JOIN a ON a.job_id = c.conv_id AND a.seg_index = c.turn""",
+    "voiced_turns": f"""WITH {KEYS}, h AS (SELECT DISTINCT text_sha FROM k WHERE job_id % 2 = 0)
+        SELECT conv_id AS job_id, turn::INT AS seg_index, CASE WHEN h.text_sha IS NOT NULL OR length(text) >= 40 THEN 'tts/' || k.text_sha || '.wav' END AS tts_path,
+        CASE WHEN h.text_sha IS NOT NULL THEN 1.0 WHEN length(text) >= 40 THEN length(text) / 16.0 END::DOUBLE AS tts_duration
+        FROM conversations c LEFT JOIN k ON k.job_id = c.conv_id AND k.seg_index = c.turn LEFT JOIN h USING (text_sha)""",
+    "detected_probabilities": f"""WITH {WORDS}, x AS (SELECT job_id, word_index, sum(length(text) + 1) OVER (PARTITION BY job_id ORDER BY word_index) - 2 AS last FROM w)
+        SELECT job_id, word_index, ((last * 7) % 100)::INT / 100.0::DOUBLE AS probability FROM x""",
     "clip_keys": f"WITH {KEYS} SELECT * FROM k",
     "cache_misses": f"WITH {KEYS} SELECT DISTINCT text_sha, 'af_heart' AS voice, 'en' AS lang FROM k WHERE text_sha NOT IN (SELECT text_sha FROM k WHERE job_id % 2 = 0)",
     "cache_unused": f"""WITH {KEYS} SELECT DISTINCT 'tts/' || text_sha || '.wav' AS path FROM k WHERE job_id % 2 = 0

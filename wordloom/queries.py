@@ -8,6 +8,7 @@ embeddings short signals, parts changes of parameters.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -100,6 +101,12 @@ def _as_chunks(timed: DataFrame) -> DataFrame:
     return timed.withColumnRenamed("word_index", "pos").select("job_id", "pos", "text", "start", "end")
 
 
+def detected_probabilities(spark, sf_dir):
+    """Probabilities that a scripted detector gives to characters, at the words that end there."""
+    found, _ = boundaries.detected(job_words(spark, sf_dir), lambda said: [(i * 7 % 100) / 100 for i in range(len(said))])
+    return found.select("job_id", "word_index", "probability")
+
+
 def _untimed(spark, sf_dir) -> DataFrame:
     """Chunks of which some have no start, no end, or neither."""
     j, i = F.col("job_id"), F.col("pos")
@@ -172,6 +179,33 @@ def checked_replies(spark, sf_dir):
     return batches.checked(_replies(spark, sf_dir))
 
 
+def _scripted_translator(system: str, prompt: str, temperature: float) -> str:
+    """Marks each sentence; fails on batches of two, and on single sentences of odd length."""
+    found = re.split(r"(?m)^(\d+)\. ", "\n" + prompt.rsplit("into English:\n", 1)[1])[1:]
+    texts = {int(n): t.removesuffix("\n") for n, t in zip(found[::2], found[1::2])}
+    if len(texts) == 2 or len(texts) == 1 and len(texts[0]) % 2:
+        raise OSError("no answer")
+    return json.dumps({"translations": [{"id": n, "text": f"EN:{t}"} for n, t in texts.items()]})
+
+
+def translated_turns(spark, sf_dir):
+    """Turns translated in batches, alone where a batch failed, left as they are where that failed too."""
+    out, _ = batches.translate(_turns(spark, sf_dir), _scripted_translator, "en", 3, 2)
+    return out.select("job_id", "seg_index", "translation", "translation_failed")
+
+
+def voiced_turns(spark, sf_dir):
+    """Turns with their clips: those known, and those made by an engine that refuses short texts."""
+    def engine(said: str, voice: str, lang: str) -> float:
+        if len(said) < 40:
+            raise OSError("too short")
+        return len(said) / 16
+
+    turns = _turns(spark, sf_dir).withColumn("translation", F.col("text"))
+    out, _ = cache.voiced(turns, _cached(_keyed(spark, sf_dir)), engine, "en", "af_heart")
+    return out.select("job_id", "seg_index", "tts_path", "tts_duration")
+
+
 def _keyed(spark, sf_dir) -> DataFrame:
     return cache.with_keys(_turns(spark, sf_dir).withColumn("translation", F.col("text")), "en", "af_heart")
 
@@ -412,9 +446,9 @@ def event_keys(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    sentences, constrained_segments, merged_segments, divided_segments, word_chunks, boundary_scores, ambiguous_boundaries, arbiter_windows, arbitrated_scores, arbitration,
+    sentences, constrained_segments, merged_segments, divided_segments, word_chunks, boundary_scores, ambiguous_boundaries, arbiter_windows, arbitrated_scores, arbitration, detected_probabilities,
     speech_runs, collected_words, kept_lines, invented_lines, degenerate_lines, job_summary, preview_excerpt, word_marks,
-    translation_prompts, checked_replies, clip_keys, cache_misses, cache_unused, queue_stats, queue_public, queue_recent,
+    translation_prompts, checked_replies, translated_turns, voiced_turns, clip_keys, cache_misses, cache_unused, queue_stats, queue_public, queue_recent,
     queue_next, queue_stale, queue_expired, queue_cancellations, invalidated_stages, segment_cuts, edit_list, plan_stats,
     plan_violations, excerpt_list, freeze_times, sample_places, lyric_lines, signal_levels, signal_peaks, signal_percentiles,
     signal_quietest, signal_matched, seam_cuts, heard_bridges, rendered_levels, event_runs, event_keys)}
