@@ -193,15 +193,20 @@ def windows(candidate: DataFrame, weights: Weights, threshold: float) -> DataFra
     stand on more than one of its lines. Its cosine is at most the template's dot by the norm of
     single words, as words that repeat only add to the norm and no word weighs under 1.
     """
+    places = F.broadcast(weights.places(candidate.sparkSession, threshold))  # a row for each word of a fixed template
     split = F.split("text", r"[\r\n]+")
     numbered = F.flatten(F.transform(split, lambda x, i: F.transform(tokens(x), lambda w: F.struct(i.alias("line"), w.alias("token")))))
-    own = candidate.filter(F.col("text").rlike(r"[\r\n]")).select("file", numbered.alias("seq"))
-    own = own.select("file", F.size("seq").alias("total"), F.posexplode("seq").alias("pos", "word"))
-    met = (own.select("file", "total", "pos", "word.line", "word.token")
-           .join(F.broadcast(weights.places(candidate.sparkSession, threshold)), "token")  # a row for each word of a fixed template
-           .groupBy("file", "total", "template", "n")
-           .agg(F.max("anchor").alias("anchor"), F.array_sort(F.collect_set(F.struct("pos", "line", "c", "square"))).alias("at"))
-           .filter("anchor"))
+    own = materialize(candidate.filter(F.col("text").rlike(r"[\r\n]")).select("file", numbered.alias("seq")), "words")
+    # A window that reaches the threshold holds an anchor of its template, so only what lies around anchors is looked at.
+    near = (own.select("file", F.posexplode("seq").alias("pos", "word")).select("file", "pos", "word.token")
+            .join(places.filter("anchor"), "token").select("file", "template", "n", F.floor(F.col("pos") / F.col("n")).cast("int").alias("stretch")).distinct())
+    begin = F.greatest(F.lit(0), (F.col("stretch") - 1) * F.col("n"))
+    around = (near.join(own, "file").withColumn("total", F.size("seq")).withColumn("begin", begin)
+              .select("file", "total", "template", "stretch", "begin", F.posexplode(F.slice("seq", F.col("begin") + 1, 3 * F.col("n"))).alias("at", "word")))
+    met = (around.select("file", "total", "template", "stretch", (F.col("begin") + F.col("at")).alias("pos"), "word.line", "word.token")
+           .join(places, ["token", "template"])
+           .groupBy("file", "total", "template", "stretch", "n")
+           .agg(F.array_sort(F.collect_set(F.struct("pos", "line", "c", "square"))).alias("at")))
 
     def reach(i: Column) -> Column:
         first = F.get("at", i)
@@ -225,24 +230,36 @@ def weigh(counted: DataFrame, weights: Weights, frequencies: DataFrame) -> DataF
     return found.withColumn("idf", F.coalesce("idf", F.lit(weights.other)))
 
 
-def whole_licences(files: DataFrame, weights: Weights, frequencies: DataFrame, threshold: float = FULL_THRESHOLD) -> DataFrame:
-    """``file, license, similarity, rank`` of the files whose whole text is a licence's, by dampened counts.
-
-    Only texts with as many rare words of licences as any licence needs are compared: the bound loses none.
-    """
-    rare, least = weights.evidence(threshold)
-    seen = F.filter(F.array_distinct(tokens(F.col("text"))), lambda w: w.isin(rare))
-    able = materialize(files.filter(F.size(seen) >= least).dropDuplicates(["file"]), "legal") if rare else files.limit(0)
+def whole_licences(able: DataFrame, weights: Weights, frequencies: DataFrame, threshold: float = FULL_THRESHOLD) -> DataFrame:
+    """``file, license, similarity, rank`` of the files whose whole text is a licence's, by dampened counts."""
     counted = (able.select("file", F.explode(tokens(F.col("text"))).alias("token"))
                .groupBy("file", "token").agg(F.count(F.lit(1)).alias("tf")))
     weighed = weigh(counted, weights, frequencies).withColumn("x", (1 + F.log("tf")) * F.col("idf"))
     norms = weighed.groupBy("file").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = (weighed.join(F.broadcast(weights.whole(files.sparkSession)), "token")  # a row for each word of a fixed text
+    dots = (weighed.join(F.broadcast(weights.whole(able.sparkSession)), "token")  # a row for each word of a fixed text
             .groupBy("file", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot")))
     return (dots.join(norms, "file").withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6))
             .filter(F.col("similarity") >= threshold).select("file", "license", "similarity", F.lit(WHOLE).alias("rank")))
 
 
+def candidates(files: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """``file, text, near, whole``: files that may have a notice (``near``), be a licence's text (``whole``) or state an identifier.
+
+    A notice holds an anchor of its template, and a licence's text as many rare words of licences as
+    any licence needs: the bounds lose none. Repeated files are one.
+    """
+    anchors = weights.anchors(threshold)
+    rare, least = weights.evidence(FULL_THRESHOLD)
+
+    def judged(words: Column) -> Column:
+        seen = F.filter(F.array_distinct(words), lambda w: w.isin(rare))
+        return F.struct(F.exists(words, lambda w: w.isin(anchors)).alias("near"), (F.size(seen) >= least).alias("whole"))
+
+    found = files.filter("text is not null").withColumn("judged", F.transform(F.array(tokens(F.col("text"))), judged)[0])  # words are split once
+    found = found.select("file", "text", "judged.near", "judged.whole").filter(F.col("near") | F.col("whole") | F.col("text").contains("SPDX-License-Identifier"))
+    return materialize(found.dropDuplicates(["file"]), "candidates")
+
+
 def declared(files: DataFrame, weights: Weights, frequencies: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``file, license, similarity, rank``: the best evidence of each file.
 
@@ -254,7 +271,8 @@ def declared(files: DataFrame, weights: Weights, frequencies: DataFrame, thresho
     """
     spark = files.sparkSession
     anchor = r"(?i)(?<![0-9a-z])(" + "|".join(weights.anchors(threshold)) + r")(?![0-9a-z])"
-    candidate = materialize(files.filter(F.col("text").rlike(anchor)).dropDuplicates(["file"]), "candidates")
+    able = candidates(files, weights, threshold)
+    candidate = able.filter("near").select("file", "text")
     lines = candidate.select("file", F.posexplode(F.concat(F.array("text"), F.split("text", r"[\r\n]+"))).alias("unit", "line"))
     lines = lines.filter(F.col("line").rlike(anchor))
     spans = materialize(windows(candidate, weights, threshold), "spans")
@@ -275,9 +293,9 @@ def declared(files: DataFrame, weights: Weights, frequencies: DataFrame, thresho
               .withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("similarity") >= threshold))
     notices = (scored.groupBy("file", "license").agg(F.max("similarity").alias("similarity"))
                .withColumn("rank", F.when(F.col("license").isin(*GENERIC_LICENSES), GENERIC).otherwise(NOTICE)))
-    stated = files.withColumn("license", F.regexp_replace(F.regexp_extract("text", SPDX, 1), r"[ \t]+", " "))
+    stated = able.withColumn("license", F.regexp_replace(F.regexp_extract("text", SPDX, 1), r"[ \t]+", " "))
     stated = stated.filter("license != ''").select("file", "license", F.lit(1.0).alias("similarity"), F.lit(STATED).alias("rank"))
-    every = notices.unionByName(stated).unionByName(whole_licences(files, weights, frequencies))
+    every = notices.unionByName(stated).unionByName(whole_licences(able.filter("whole"), weights, frequencies))
     return every.groupBy("file").agg(_best()).select("file", "best.license", (-F.col("best.down")).alias("similarity"), (-F.col("best.lower")).alias("rank"))
 
 
