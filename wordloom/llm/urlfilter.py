@@ -58,7 +58,7 @@ def sweep(points: DataFrame, intervals: DataFrame, carry: list[str], payload: li
     events = points.select("k", F.lit(0).alias("step"), none, *carry).unionByName(opened).unionByName(closed)
     # At one key, closings come first, then openings, then points.
     rank = F.when(F.col("step") == -1, 0).when(F.col("step") == 1, 1).otherwise(2)
-    events = events.withColumn("rank", rank).withColumn("tie", F.xxhash64(*carry))
+    events = materialize(events.withColumn("rank", rank).withColumn("tie", F.xxhash64(*carry)), "events")
     ranges = max(1, -(-events.count() // ROWS_PER_RANGE),
                  int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = materialize(events.repartitionByRange(ranges, "k", "rank", "tie")
@@ -75,9 +75,8 @@ def sweep(points: DataFrame, intervals: DataFrame, carry: list[str], payload: li
     # What each depth had open when a partition ended, carried to the later ones.
     last = (deep.filter("step = 1").groupBy("part", "depth")
             .agg(F.max_by("top", F.struct("k", "rank", "tie")).alias("top")))
-    states = _states(last, ranges - 1)
-    return (seen.filter("step = 0")
-            .join(states, ["part", "depth"], "left")
+    states = materialize(_states(last, ranges - 1), "states")  # a row for each partition and depth at most
+    return (join_small(seen.filter("step = 0"), states, ["part", "depth"], "left")
             .select(*carry, F.when(F.col("depth") > 0, F.coalesce("inside", "carried")).alias("top")))
 
 
