@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.storage import running_total
+from wordloom.storage import materialize, running_total
 
-#: Hex digits of the key's hash that name a slot bucket: 4,096 buckets a shard.
-BUCKET_DIGITS = 3
 #: 52 bits of a hash become a number in (0, 1).
 HASH_SPAN = float(1 << 52)
 
@@ -43,8 +41,8 @@ def shard(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     ``law`` is ``key``: the key and the shards decide. ``grown_shard`` is the shard with one
     more shard of the last one's weight. ``slot`` numbers a shard's rows from 0 without gaps,
-    in the order of the key's hash, key, checksum and size; it is built from counts of 4,096
-    hash buckets a shard, so no task holds a shard. A null text has size 1 and checksum 0;
+    in the order of the key's hash, key, checksum and size; it is built from counts of ranges
+    of that order, so no task holds a shard, nor all rows of a repeated key. A null text has size 1 and checksum 0;
     rows with equal keys share a shard, and equal rows take neighbouring slots in any order.
     An empty table gives an empty result. Other columns are neither read nor returned.
     """
@@ -53,12 +51,11 @@ def shard(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         F.col(key).alias(key), stable_key(F.col(key)).alias("__key"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"))
-    placed = (
+    placed = materialize(
         ready.withColumn("__hash", F.md5(F.col("__key").cast("binary")))
-        .withColumn("__bucket", F.substring("__hash", 1, BUCKET_DIGITS))
         .withColumn("shard", rendezvous(F.col("__key"), weights))
-        .withColumn("grown_shard", rendezvous(F.col("__key"), [*weights, weights[-1]])))
+        .withColumn("grown_shard", rendezvous(F.col("__key"), [*weights, weights[-1]])), "placed")
     order = [F.col("__hash"), F.col("__key"), F.col("text_crc32"), F.col("size")]
-    return (running_total(placed, ["shard"], "__bucket", order, F.lit(1).cast("long"), "slot")
+    return (running_total(placed, ["shard"], order, F.lit(1).cast("long"), "slot")
             .select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard",
                     F.col("slot").cast("long").alias("slot"), "grown_shard"))
