@@ -69,6 +69,9 @@ def test_against_all_pairs(spark, monkeypatch, seed, block):
     found = [r["class_id"] for r in rows]
     assert same_partition(found, exact(texts))
     assert all(r["class_id"] == min(i for i, c in enumerate(found) if c == r["class_id"]) for r in rows)
+    assert all(r["class_rows"] == found.count(r["class_id"]) for r in rows)
+    alike = lambda a, b: 1.0 if texts[a] == texts[b] else similarity(weighted(texts[a]), weighted(texts[b]))
+    assert all(r["similarity"] == alike(r["doc_id"], r["class_id"]) for r in rows)
 
 
 def test_large_group_off_its_hub(spark):

@@ -123,7 +123,7 @@ PLAUSIBLE = 0.55
 #: Pairs that agree so far are verified first, and only as many as may connect a bucket.
 LIKELY = 0.75
 #: A bucket is compared in pairs of blocks of about so many texts and so many shingles at most, or one text.
-BLOCK, BLOCK_SHINGLES = 1024, 350_000
+BLOCK, BLOCK_SHINGLES = 512, 350_000
 #: Cells of a block's table of agreements that are counted at a time.
 TABLE = 1 << 24
 
@@ -183,7 +183,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of a materialised table whose texts reach the threshold exactly.
+    """``a, b, similarity`` of the pairs of a materialised table whose texts reach the threshold exactly.
 
     The text of each b comes once to every task that has pairs of it, before those of its a's.
     """
@@ -191,14 +191,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
         last: tuple = (None, None)
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            good = []
-            for x, y, text in zip(a, b, batch.column("text")):
+            found = np.full(len(a), -1.0)
+            for i, (x, y, text) in enumerate(zip(a, b, batch.column("text"))):
                 if x is None:
                     last = (y, weighted(text.as_py()))
-                    good.append(False)
-                else:
-                    good.append(similarity(weighted(text.as_py()), last[1]) >= threshold if last[0] == y else False)
-            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+                elif last[0] == y:
+                    found[i] = similarity(weighted(text.as_py()), last[1])
+            out = pa.record_batch([batch.column("a"), batch.column("b"), pa.array(found)], names=["a", "b", "similarity"])
+            yield out.filter(pa.array((found >= threshold) & (found >= 0)))
 
     hot = hot_keys(pairs, "b")
     deals = F.lit(1) if hot is None else F.coalesce("deals", F.lit(1))
@@ -208,7 +208,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     heads = (dealt.select("b", "deal").distinct().join(texts.withColumnRenamed("node", "b"), "b")
              .select(F.lit(None).cast("long").alias("a"), "b", "deal", "text"))
     rows = members.unionByName(heads).repartition("b", "deal").sortWithinPartitions("b", "deal", F.col("a").asc_nulls_first())
-    return rows.select("a", "b", "text").mapInArrow(verify, "a long, b long")
+    return rows.select("a", "b", "text").mapInArrow(verify, "a long, b long, similarity double")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -317,7 +317,7 @@ def _bridges(members: DataFrame, labels: DataFrame, full: DataFrame, texts: Data
     with arrow_batches(texts.sparkSession, 4096):
         pairs = materialize(_by_block(_blocks(members, labels, full), [], likely, ["a", "b"]).distinct(), "pairs")
     with arrow_batches(texts.sparkSession):
-        found = materialize(_verified(pairs, texts, threshold), "edges")
+        found = materialize(_verified(pairs, texts, threshold).select("a", "b"), "edges")
     release(pairs)
     return found
 
@@ -354,7 +354,9 @@ def _crossings(members: DataFrame, labels: DataFrame, full: DataFrame, texts: Da
 
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Rows ``id, hash`` and classes ``hash, class_id, label, first`` of the texts.
+    """Rows ``id, hash`` and classes of several rows: ``hash, class_id, class_rows, similarity, label, first`` of their texts.
+
+    ``similarity`` is that to the class's representative, the text of its least key.
 
     Steps: signatures of all whole texts; one node per different text; nodes that share a band
     meet in buckets. Each bucket's members are compared with its least node, every pair exactly,
@@ -384,7 +386,7 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     able = F.least("total", "hub.total") >= threshold * F.greatest("total", "hub.total")  # no pair of sizes further apart reaches it
     pairs = materialize(members.filter("node != hub.node").filter(able).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), "pairs")
     with arrow_batches(spark):
-        edges = materialize(_verified(pairs, texts, threshold), "edges")
+        edges = materialize(_verified(pairs, texts, threshold).select("a", "b"), "edges")
     labels, links = components(edges), [edges]
     for step in (_bridges, _crossings):
         more = step(members, labels, full, texts, threshold)
@@ -392,20 +394,25 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
             release(labels)
             links.append(more)
             labels = components(reduce(DataFrame.unionByName, links))
-    release(pairs, members, wanted, texts, *links)
     nodes = full.select("node", "hash", "first", "copies")
     placed = materialize(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "placed")
-    least = materialize(placed.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_rows"))
+    order = F.struct(F.col("first").isNull(), F.col("first"), F.col("hash"))
+    least = materialize(placed.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_rows"), F.min_by("node", order).alias("head"))
                         .filter("class_rows > 1"), "classes")
-    found = join_skewed(placed, least, "label", F.col("node")).select("hash", "class_id", "class_rows", "label", "first")
-    found = materialize(found, "found")
-    release(full, labels, placed, least)
-    return rows, found
+    found = materialize(join_skewed(placed, least, "label", F.col("node")), "found")
+    others = materialize(found.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")), "pairs")
+    with arrow_batches(spark):
+        alike = materialize(_verified(others, texts, 0.0).select(F.col("a").alias("node"), "similarity"), "alike")
+    scored = materialize(found.join(alike, "node", "left").select(
+        "hash", "class_id", "class_rows", F.coalesce("similarity", F.lit(1.0)).alias("similarity"), "label", "first"), "scored")
+    release(pairs, members, wanted, texts, *links, full, labels, placed, least, found, others, alike)
+    return rows, scored
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                     threshold: float = THRESHOLD) -> DataFrame:
-    """``key, class_id, class_rows``, one row per row of ``docs``: the least key of its class, and how many rows the class has.
+    """``key, class_id, class_rows, similarity``, one row per row of ``docs``: the least key of its class, how many rows the
+    class has, and the similarity to the text of that key (1 for equal texts; less than the threshold where a chain links them).
 
     Equal texts share a class, and so do texts linked by a chain of weighted five-word-shingle
     similarities of the threshold or more. A text shorter than five words is one shingle; one
@@ -414,12 +421,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     integers; texts that share a key still have classes of their own. Other columns are ignored.
     """
     rows, found = classes(docs, key=key, text=text, threshold=threshold)
-    found = found.select("hash", "class_id", "class_rows", F.lit(True).alias("known"))
-    alone = rows.filter("hash is null").select(F.col("id").alias(key), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_rows"))
+    found = found.select("hash", "class_id", "class_rows", "similarity", F.lit(True).alias("known"))
+    alone = rows.filter("hash is null").select(F.col("id").alias(key), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_rows"), F.lit(1.0).alias("similarity"))
     whole = materialize(rows.filter("hash is not null"), "rows")
     return (join_skewed(whole, found, "hash", F.col("id"), "left")
             .select(F.col("id").alias(key), F.when(F.col("known"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
-                    F.coalesce("class_rows", F.lit(1)).alias("class_rows"))
+                    F.coalesce("class_rows", F.lit(1)).alias("class_rows"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
             .unionByName(alone))
 
 

@@ -76,9 +76,13 @@ WITH RECURSIVE t AS (
   SELECT d, d FROM t UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.d
 ), m AS (
   SELECT d, min(root) AS class_id FROM r GROUP BY d
+), common AS (
+  SELECT a.d, sum(least(a.n, b.n)) AS common, any_value(x.total + y.total) AS sizes FROM m JOIN c a ON a.d = m.d JOIN c b ON b.d = class_id AND b.s = a.s
+  JOIN z x ON x.d = m.d JOIN z y ON y.d = class_id WHERE m.d <> class_id GROUP BY a.d
 )
-SELECT doc_id, coalesce(class_id, doc_id) AS class_id, CASE WHEN documents.text IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY documents.text IS NULL, class_id) END::BIGINT AS class_rows
-FROM documents LEFT JOIN t USING (text) LEFT JOIN m ON m.d = t.d
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, CASE WHEN documents.text IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY documents.text IS NULL, class_id) END::BIGINT AS class_rows,
+       CASE WHEN class_id IS NULL OR class_id = t.d THEN 1.0 ELSE coalesce(common::DOUBLE / (sizes - common)::DOUBLE, 0.0) END::DOUBLE AS similarity
+FROM documents LEFT JOIN t USING (text) LEFT JOIN m ON m.d = t.d LEFT JOIN common ON common.d = t.d
 """
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
