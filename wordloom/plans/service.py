@@ -6,6 +6,7 @@ with a single worker process. Readers may be many.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 
@@ -170,10 +171,14 @@ def download_name(name: str) -> bool:
     return name in FILES
 
 
+# Fixed value: the name of sound without a usable title.
+UNTITLED = "bilingual"
+
+
 def attachment_name(title: str | None) -> str:
     """File name under which a job's sound is offered: letters, digits, blanks, ``-`` and ``_`` of its title."""
-    kept = "".join(c for c in title or "" if c.isalnum() or c in " -_").strip()
-    return f"{kept or 'bilingual'}.mp3"
+    named = re.sub(r"[^\w -]+", "", title or "").strip(" ")
+    return (named or UNTITLED) + ".mp3"
 
 
 def is_cheap(knob: str) -> bool:
