@@ -123,7 +123,7 @@ PLAUSIBLE = 0.55
 #: Pairs that agree so far are verified first, and only as many as may connect a bucket.
 LIKELY = 0.75
 #: A bucket is compared in pairs of blocks of about so many texts and so many shingles at most, or one text.
-BLOCK, BLOCK_SHINGLES = 512, 350_000
+BLOCK, BLOCK_SHINGLES = 1024, 350_000
 #: Cells of a block's table of agreements that are counted at a time.
 TABLE = 1 << 24
 
@@ -240,10 +240,11 @@ class Block:
         self.sign, self.bands, self.band = matrix("sign"), matrix("bands"), group.column("band")[0].as_py()
         self.one, self.threshold = group.column("low")[0] == group.column("high")[0], threshold
 
-    def pairs(self, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Places of differently labelled members that agree on enough coordinates, most alike first, and their agreement.
+    def pairs(self, least: float, once: bool = True) -> np.ndarray:
+        """Places of differently labelled members that agree on enough coordinates, most alike first.
 
-        Each pair is compared in the first band it shares; no pair of sizes further apart than the threshold can reach it.
+        With ``once``, each pair counts in the first band it shares alone. No pair of sizes further apart than the
+        threshold can reach it.
         """
         node, label, total = self.node, self.label, self.total
         found, agreed, n = [], [], max(1, TABLE // (len(node) * COORDINATES))
@@ -255,14 +256,14 @@ class Block:
             if not self.one:
                 good &= self.block[own, None] != self.block[None]
             i, j = np.nonzero(good)
-            first = (self.bands[i + at] == self.bands[j]).argmax(1) == self.band
-            found.append(np.stack([i[first] + at, j[first]], 1))
-            agreed.append(agree[i[first], j[first]])
-        pairs, agreed = np.concatenate(found), np.concatenate(agreed)
-        order = np.argsort(-agreed, kind="stable")
-        return pairs[order], agreed[order]
-
-    def connect(self, least: float, test: Callable[[int, int], bool]) -> np.ndarray:
+            if once:
+                first = (self.bands[i + at] == self.bands[j]).argmax(1) == self.band
+                i, j = i[first], j[first]
+            found.append(np.stack([i + at, j], 1))
+            agreed.append(agree[i, j])
+        return np.concatenate(found)[np.argsort(-np.concatenate(agreed), kind="stable")]
+
+    def connect(self, pairs: np.ndarray, test: Callable[[int, int], bool]) -> np.ndarray:
         """Pairs of nodes that pass the test and join labels that no pair before has joined: fewer than there are members."""
         root: dict = {}
 
@@ -273,7 +274,7 @@ class Block:
             return x
 
         kept = []
-        for i, j in self.pairs(least)[0].tolist():
+        for i, j in pairs.tolist():
             x, y = find(self.label[i]), find(self.label[j])
             if x != y and test(i, j):
                 root[max(x, y)] = min(x, y)
@@ -295,27 +296,32 @@ def _by_block(rows: DataFrame, columns: list[str], answer: Callable[[pa.Table],
     return rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "node").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _blocks(members: DataFrame, labels: DataFrame, full: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components, once for each pair of blocks they are in, with their signatures."""
+def _blocks(members: DataFrame, labels: DataFrame, full: DataFrame, paired: bool) -> DataFrame:
+    """Members of the buckets that hold several components, with their signatures: once, in their own block, or once for each pair of blocks.
+
+    Blocks are dealt anew in each band, so texts that share several bands meet in one block or other.
+    """
     labelled = (members.filter("n > 2").select("bucket", "band", "node", "n", "shingles").join(labels, "node", "left")
                 .withColumn("label", F.coalesce("label", "node")))
     mixed = (labelled.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"))
              .filter("least < most").select("bucket"))
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    return (labelled.join(mixed, "bucket").withColumn("blocks", blocks)
-            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = (labelled.join(mixed, "bucket").withColumn("blocks", blocks)
+            .withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int")))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if paired else F.col("block")
+    return (rows.withColumn("other", other)
             .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
             .join(full.select("node", "sign", "bands", "total"), "node"))
 
 
 def _bridges(members: DataFrame, labels: DataFrame, full: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that connect more: of each pair of blocks, the likeliest pairs that would connect its labels."""
+    """Links (a, b) that connect more: of each block, the likeliest pairs that would connect its labels."""
     def likely(group: pa.Table) -> np.ndarray:
-        return Block(group, threshold).connect(LIKELY, lambda i, j: True)
+        block = Block(group, threshold)
+        return block.connect(block.pairs(LIKELY, once=False), lambda i, j: True)
 
     with arrow_batches(texts.sparkSession, 4096):
-        pairs = materialize(_by_block(_blocks(members, labels, full), [], likely, ["a", "b"]).distinct(), "pairs")
+        pairs = materialize(_by_block(_blocks(members, labels, full, paired=False), [], likely, ["a", "b"]).distinct(), "pairs")
     with arrow_batches(texts.sparkSession):
         found = materialize(_verified(pairs, texts, threshold).select("a", "b"), "edges")
     release(pairs)
@@ -329,7 +335,7 @@ def _crossings(members: DataFrame, labels: DataFrame, full: DataFrame, texts: Da
     """
     def concerned(group: pa.Table) -> np.ndarray:
         block = Block(group, threshold)
-        rows = block.node[np.unique(block.pairs(PLAUSIBLE)[0])]
+        rows = block.node[np.unique(block.pairs(PLAUSIBLE))]
         return np.stack([*(np.full(len(rows), group.column(c)[0].as_py()) for c in KEYS), rows], 1)
 
     def verified(group: pa.Table) -> np.ndarray:
@@ -340,9 +346,9 @@ def _crossings(members: DataFrame, labels: DataFrame, full: DataFrame, texts: Da
                 sets[i] = weighted(texts[i].as_py())
             return sets[i]
 
-        return block.connect(PLAUSIBLE, lambda i, j: similarity(of(i), of(j)) >= threshold)
+        return block.connect(block.pairs(PLAUSIBLE), lambda i, j: similarity(of(i), of(j)) >= threshold)
 
-    rows = materialize(_blocks(members, labels, full), "blocks")
+    rows = materialize(_blocks(members, labels, full, paired=True), "blocks")
     with arrow_batches(texts.sparkSession, 4096):
         some = materialize(_by_block(rows, [], concerned, [*KEYS, "node"]), "concerned")
     wanted = rows.join(some.select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) for c in some.columns]), [*KEYS, "node"], "left_semi")
@@ -361,10 +367,10 @@ def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     Steps: signatures of all whole texts; one node per different text; nodes that share a band
     meet in buckets. Each bucket's members are compared with its least node, every pair exactly,
     and verified links joined to components. Buckets of three or more that still hold several
-    components are then compared across components by signature, in pairs of blocks that no
-    bucket can overfill, each pair in the first band it shares: first the most alike pairs
-    that could connect a bucket, then, of what still isn't connected, all plausible ones. Both
-    are verified exactly. No bucket is expanded into pairs: what leaves a pair of blocks is
+    components are then compared across components by signature: first the most alike pairs
+    inside each block of a bucket that could connect it, then, of what still isn't connected, all
+    plausible ones, in pairs of blocks that no bucket can overfill, each in the first band it
+    shares. Both are verified exactly. No bucket is expanded into pairs: what leaves a pair of blocks is
     at most one row for each of its members.
     """
     spark = docs.sparkSession
