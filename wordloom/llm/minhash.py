@@ -118,7 +118,7 @@ def band_keys(sign: np.ndarray) -> np.ndarray:
 
 
 #: Pairs of different components are verified from this agreement on. At the threshold fewer than 53 of 96 coordinates
-#: agree with probability under 1e-8, while no band agrees with 3e-6.
+#: agree with probability 1e-8, while no band agrees with 3e-6.
 PLAUSIBLE = 0.55
 #: Pairs that agree so far are verified first, and only as many as may connect a bucket.
 LIKELY = 0.75

@@ -35,7 +35,7 @@ def water_fill(sources: DataFrame, size: str, weight: str, total: Column, max_ep
     clamped and the others share the rest by weight. A source is clamped exactly if its
     cap is no more than its share of what the sources sorted before it leave, so a prefix
     sum finds the state without iterating. ``sources`` has one row per source; sizes are
-    integers, so all sums are exact. If all are clamped, the total isn't reached.
+    integers, so all sums are exact. If all are clamped, the total isn't reached. One task sees the row of every source.
     """
     cap, w = F.col("__cap"), F.col(weight)
     rising = Window.orderBy(cap.cast("double") / w, F.col("__key"))
