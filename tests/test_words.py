@@ -1,9 +1,28 @@
 import random
 
+import numpy as np
+
 from wordloom.operators import folds, words
 from wordloom.params import CHUNKS
 
 
+def fill_times(start: list, end: list) -> tuple[list[float], list[float]]:
+    """Missing starts take the previous word's end (0 at first), missing ends their start; no end before its start."""
+    starts, ends, last = [], [], 0.0
+    for s, e in zip(start, end):
+        s = last if s is None or s != s else float(s)
+        last = s if e is None or e != e else max(float(e), s)
+        starts.append(s)
+        ends.append(last)
+    return starts, ends
+
+
+def runs_of(starts: list, ends: list, gap: float = folds.RUN_GAP) -> list[int]:
+    """Run number of each word: a pause of more than ``gap`` starts a new one."""
+    pause = np.asarray(starts[1:], float) - np.asarray(ends[:-1], float)
+    return np.concatenate(([0], np.cumsum(pause > gap))).astype(int).tolist() if len(starts) else []
+
+
 def chunks(spark, *rows):
     return spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], CHUNKS)
 
@@ -37,10 +56,10 @@ def test_windows_agree_with_the_fold(spark):
     for i in range(200):
         at += rnd.choice([0.1, 0.8, 0.9, -0.05])
         rows.append((f"w{i}", at, rnd.choice([None, at + 0.2, at - 0.1])))
-    start, end = folds.fill_times([r[1] for r in rows], [r[2] for r in rows])
+    start, end = fill_times([r[1] for r in rows], [r[2] for r in rows])
     got = runs(spark, *rows)
     assert [(r[1], r[2]) for r in got] == list(zip(start, end))
-    assert [r[3] for r in got] == folds.runs_of(start, end)
+    assert [r[3] for r in got] == runs_of(start, end)
 
 
 def test_repeats_compare_with_kept_runs():

@@ -51,7 +51,7 @@ def nonblank(c: Column) -> Column:
     return F.nullif(strip(c), F.lit(""))
 
 
-_AFTER = r"\s*[\"')\]}»”’]*$"
+_AFTER = rf"\s*[{CLOSING.replace(']', chr(92) + ']')}]*$"
 _MARK = rf"(?U)[{TERMINAL}]{_AFTER}"
 _PERIOD = rf"(?U)\.{_AFTER}"
 _TOKEN = rf"(?U)(\S+)\s*\.{_AFTER}"

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import LANGUAGES, language_name, reply_object, strip
+from wordloom.operators.segments import translatable
 from wordloom.operators.words import by_job
 
 #: A pluggable model: system prompt, user prompt and temperature to reply; it may raise.
@@ -93,7 +94,7 @@ def translate(segments: DataFrame, completer: Completer, target: str, size: int
     they; a sentence that fails again keeps its source text and is flagged.
     """
     told = (TRANSLATOR.format(target=LANGUAGES.get(target, target)), TRANSLATOR_TEMPERATURE)
-    batched = with_batches(segments.filter((F.col("kind") == "speech") & (strip(F.col("text")) != "")), size, context)
+    batched = with_batches(translatable(segments), size, context)
     good = checked(complete(prompts(batched, target), completer, *told))
     first = batched.join(good, ["job_id", "batch", "place"], "left")
     failed = first.filter("translation is null")

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
 
 from wordloom.params import Params
 
@@ -18,32 +16,6 @@ RUN_GAP = 0.8
 REPEAT_WINDOW = 2
 
 
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str],
-                 step: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Give each key's rows, in order, to ``step``. One key is one task's work: a job's words or runs."""
-    def visit(frame: pd.DataFrame) -> pd.DataFrame:
-        return step(frame.sort_values(order, kind="stable", ignore_index=True))
-
-    return df.groupBy(*keys).applyInPandas(visit, schema)
-
-
-def fill_times(start: Sequence[float | None], end: Sequence[float | None]) -> tuple[list[float], list[float]]:
-    """Missing starts take the previous word's end (0 at first), missing ends their start; no end before its start."""
-    starts, ends, last = [], [], 0.0
-    for s, e in zip(start, end):
-        s = last if s is None or s != s else float(s)
-        last = s if e is None or e != e else max(float(e), s)
-        starts.append(s)
-        ends.append(last)
-    return starts, ends
-
-
-def runs_of(starts: Sequence[float], ends: Sequence[float], gap: float = RUN_GAP) -> list[int]:
-    """Run number of each word: a pause of more than ``gap`` starts a new one."""
-    pause = np.asarray(starts[1:], float) - np.asarray(ends[:-1], float)
-    return np.concatenate(([0], np.cumsum(pause > gap))).astype(int).tolist() if len(starts) else []
-
-
 def accepted(texts: Sequence[str], rejected: Sequence[bool]) -> list[bool]:
     """Which runs stay: not rejected, not blank, not equal to one of the last two that stayed."""
     recent: list[str] = []
