@@ -42,7 +42,7 @@ INDEX = ("url_key string, captured_at string, page_id long, payload_bytes long,
 
 
 def plan_records(pages: DataFrame, *, key: str = "page_id") -> DataFrame:
-    """``page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to`` of each row.
+    """``page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to, refers_url`` of each row.
 
     Of equal payloads of at least 100 bytes, rows with the smallest key are responses and the
     others revisit it; shorter ones are all responses. A null html is an empty payload. A row
@@ -57,7 +57,8 @@ def plan_records(pages: DataFrame, *, key: str = "page_id") -> DataFrame:
     hashed = (hashed.withColumn("payload_bytes", F.octet_length("payload").cast("long"))
               .withColumn("payload_digest", F.sha2(F.col("payload").cast("binary"), 256)))
     repeated = materialize(hashed.filter(F.col("payload_bytes") >= LEAST_REVISIT)
-                           .groupBy(F.unhex("payload_digest").alias("digest")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+                           .groupBy(F.unhex("payload_digest").alias("digest")).agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", F.coalesce("url", F.lit("")).alias("url")))).alias("first"),
+                                F.count(F.lit(1)).alias("n"))
                            .filter("n > 1"), "repeated")
     least = max(HOT_DIGEST, (repeated.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
     hot, rest = repeated.filter(F.col("n") > least).drop("n"), repeated.filter(F.col("n") <= least).drop("n")
@@ -67,26 +68,32 @@ def plan_records(pages: DataFrame, *, key: str = "page_id") -> DataFrame:
     alone = (F.col("payload_bytes") < LEAST_REVISIT) | F.col("hot_first").isNotNull()
     known = known.withColumn("digest", F.when(alone, F.concat(F.lit("-").cast("binary"), F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary"))).otherwise(F.col("digest")))
     found = join_small(known, rest, ["digest"], "left").withColumn("first", F.coalesce("first", "hot_first"))
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     return (found.withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
-            .withColumn("refers_to", F.when(revisit, F.col("first"))).drop("first", "hot_first", "digest"))
+            .withColumn("refers_to", F.when(revisit, F.col("first.page_id"))).withColumn("refers_url", F.when(revisit, F.col("first.url")))
+            .drop("first", "hot_first", "digest"))
 
 
 def _record(captured_at: Column) -> Column:
     """A record as text, without the separator that follows it."""
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(END)), F.lit(""))
-    name = lambda c: F.concat(F.lit(f"<{ID_PREFIX}"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
+
+    def name(page: Column, url: Column) -> Column:
+        """Page, and a hash of what else tells its records apart: only rows alike in all three share a name."""
+        rest = F.substring(F.sha2(F.concat_ws("\n", F.coalesce(url, F.lit("")), F.col("payload_digest")).cast("binary"), 256), 1, 16)
+        return F.concat(F.lit(f"<{ID_PREFIX}"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), rest, F.lit(">"))
+
     revisit = F.col("record_type") == "revisit"
     block = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "),
                      F.col("payload_bytes").cast("string"), F.lit(END + END),
                      F.when(revisit, F.lit("")).otherwise(F.col("payload")))
     uri = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     return F.concat(
-        F.lit(f"WARC/1.1{END}"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", name(F.col("page_id"))),
+        F.lit(f"WARC/1.1{END}"), line("WARC-Type", F.col("record_type")), line("WARC-Record-ID", name(F.col("page_id"), F.col("url"))),
         line("WARC-Date", captured_at), line("WARC-Target-URI", uri),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
-        line("WARC-Refers-To", F.when(revisit, name(F.col("refers_to")))),
+        line("WARC-Refers-To", F.when(revisit, name(F.col("refers_to"), F.col("refers_url")))),
         F.lit(f"Content-Type: application/http; msgtype=response{END}"),
         line("Content-Length", F.octet_length(block).cast("string")), F.lit(END), block)
 
@@ -141,7 +148,7 @@ def parse_records(data: bytes | memoryview) -> Iterator[tuple[int, int, dict[str
 
 
 def _page(name: str | None) -> int | None:
-    digits = (name or "").removeprefix(f"<{ID_PREFIX}").removesuffix(">")
+    digits = (name or "").removeprefix(f"<{ID_PREFIX}").split(":")[0]
     return int(digits) if digits else None
 
 
