@@ -28,6 +28,15 @@ def test_oracle(spark, name):
         assert con.sql(f"SELECT * FROM {a} EXCEPT ALL SELECT * FROM {b} LIMIT 3").fetchall() == []
 
 
+def test_matched_signals_are_the_sqls_to_the_bit(spark):
+    """SQL holds the two zeros for equal; whoever compares rows as text or bytes doesn't."""
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    got = {r["vec_id"]: [float(x).hex() for x in r["samples"]] for r in queries.signal_matched(spark, SF).collect()}
+    wanted = {n: [float(x).hex() for x in xs] for n, xs in con.sql(oracle.ORACLE["signal_matched"]).fetchall()}
+    assert got == wanted and any("-0x0.0p+0" in xs for xs in wanted.values())
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(oracle.ORACLE)))
 def test_queries_without_sql_run(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0

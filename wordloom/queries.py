@@ -382,7 +382,7 @@ def signal_matched(spark, sf_dir):
     """Signals brought to one loudness and faded."""
     x = F.col("samples")
     even = _signals(spark, sf_dir).withColumn("samples", signal.matched(x, signal.loudness_of(x, RATE), F.lit(0.1)))
-    return even.select("vec_id", F.transform(signal.fade(x, F.lit(4), F.lit(3)), lambda v: F.round(v.cast("double"), 4)).alias("samples"))
+    return even.select("vec_id", F.transform(signal.fade(x, F.lit(4), F.lit(3)), lambda v: signal.rounded(v.cast("double"), 4)).alias("samples"))
 
 
 #: Embeddings as sound: 64 samples a chunk, 16 chunks a job, so many samples a second.
