@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordloom import storage
+from wordloom.operators import words
 
 
 def test_hot_keys_are_dealt(spark, monkeypatch):
@@ -86,3 +87,15 @@ def test_arrow_settings_come_back(spark):
 def test_any_columns_can_be_sorted(spark):
     df = spark.sql("SELECT 1 AS a, map('k', 2) AS m, array(map('k', 1)) AS n, struct('x', map('y', 1)) AS s, parse_json('[1]') AS v")
     assert df.orderBy(*storage.sortable(df)).count() == 1
+
+
+def test_texts_are_dealt_to_small_partitions(spark, tmp_path, monkeypatch):
+    """However few bytes are shuffled, adaptive execution doesn't join them."""
+    path = str(tmp_path / "documents.parquet")
+    spark.range(400).selectExpr("id AS doc_id", "repeat(concat(id, ' '), 50) AS text").coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path)
+    size = sum(os.path.getsize(os.path.join(path, f)) for f in os.listdir(path) if f.endswith(".parquet"))
+    monkeypatch.setattr(storage, "BYTES_PER_PART", size // 40)
+    assert words.from_documents(docs).rdd.getNumPartitions() == -(-size // (size // 40)) >= 40
+    unknown = spark.createDataFrame(spark.sparkContext.parallelize([(1, "a b")]), "doc_id long, text string")
+    assert words.from_documents(unknown).count() == 2

@@ -15,18 +15,14 @@ from wordloom.params import Params
 BOUNDARY = ["source", "score", "sat_prob", "pause_after", "has_terminal_punct"]
 
 
-def with_splits(candidates: DataFrame, p: Params) -> DataFrame:
-    """Candidates with ``is_split``: over the threshold, before a long pause, or at the end."""
-    w = by_job("word_index")
-    after = F.lead("start").over(w)
-    split = (F.col("score") >= p.sat_threshold) | after.isNull() | (after - F.col("end") >= p.never_merge_across_gap)
-    return candidates.withColumn("is_split", split)
+def _splits(score: Column, end: Column, after: Column, p: Params) -> Column:
+    return (score >= p.sat_threshold) | after.isNull() | (after - end >= p.never_merge_across_gap)
 
 
-def number_segments(split_words: DataFrame) -> DataFrame:
-    """Words with ``seg_index``: how many splits come before each."""
-    before = by_job("word_index").rowsBetween(Window.unboundedPreceding, -1)
-    return split_words.withColumn("seg_index", F.coalesce(F.sum(F.col("is_split").cast("int")).over(before), F.lit(0)).cast("int"))
+def with_splits(candidates: DataFrame, p: Params) -> DataFrame:
+    """Candidates with ``is_split``: over the threshold, before a long pause, or at the end."""
+    after = F.lead("start").over(by_job("word_index"))
+    return candidates.withColumn("is_split", _splits(F.col("score"), F.col("end"), after, p))
 
 
 def _closing() -> Column:
@@ -51,12 +47,28 @@ def _assembled(rows: DataFrame, p: Params, separator: str) -> DataFrame:
     return rows.withColumns({"id": name, "kind": F.when(unusable, "skip").otherwise("speech")})
 
 
-def sentences(candidates: DataFrame, p: Params, separator: str = " ") -> DataFrame:
-    """Segments by scores and pauses alone: window functions only."""
+def _jobs(candidates: DataFrame) -> DataFrame:
+    """``job_id`` and ``words``, the ordered array of its words."""
     word = F.struct("word_index", "text", "start", "end", _closing().alias("boundary"))
-    rows = (number_segments(with_splits(candidates, p)).groupBy("job_id", "seg_index")
-            .agg(F.array_sort(F.collect_list(word), lambda x, y: x["word_index"] - y["word_index"]).alias("w")))
-    return _assembled(rows, p, separator)
+    return candidates.groupBy("job_id").agg(F.array_sort(F.collect_list(word), lambda x, y: x["word_index"] - y["word_index"]).alias("words"))
+
+
+def _cut(jobs: DataFrame, ends: Column, p: Params, separator: str) -> DataFrame:
+    """Segments of :func:`_jobs` that end after so many words: the words are cut in place."""
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get("ends", i - 1))
+    parts = F.transform("ends", lambda e, i: F.struct(i.alias("seg_index"), F.slice("words", begin(i) + 1, e - begin(i)).alias("w")))
+    return _assembled(jobs.withColumn("ends", ends).select("job_id", F.inline(parts)), p, separator)
+
+
+def sentences(candidates: DataFrame, p: Params, separator: str = " ") -> DataFrame:
+    """Segments by scores and pauses alone, where :func:`with_splits` has splits.
+
+    Words are grouped once, by job: segments are too many and too small to be groups of their own.
+    """
+    def close(w: Column, i: Column) -> Column:
+        return F.when(_splits(w["boundary"]["score"], w["end"], F.get("words", i + 1)["start"], p), i + 1)
+
+    return _cut(_jobs(candidates), F.filter(F.transform("words", close), lambda e: e.isNotNull()), p, separator)
 
 
 def segment(candidates: DataFrame, p: Params, separator: str = " ") -> DataFrame:
@@ -69,12 +81,8 @@ def segment(candidates: DataFrame, p: Params, separator: str = " ") -> DataFrame
     def fold(start: pd.Series, end: pd.Series, score: pd.Series) -> pd.Series:
         return pd.Series([[b for _, b in segment_ranges(*(np.asarray(x, float) for x in job), p)] for job in zip(start, end, score)], dtype=object)
 
-    word = F.struct("word_index", "text", "start", "end", _closing().alias("boundary"))
-    jobs = candidates.groupBy("job_id").agg(F.array_sort(F.collect_list(word), lambda x, y: x["word_index"] - y["word_index"]).alias("words"))
     ends = F.pandas_udf(fold, "array<int>")(F.col("words.start"), F.col("words.end"), F.col("words.boundary.score"))
-    begin = lambda i: F.when(i == 0, 0).otherwise(F.get("ends", i - 1))
-    parts = F.transform("ends", lambda e, i: F.struct(i.alias("seg_index"), F.slice("words", begin(i) + 1, e - begin(i)).alias("w")))
-    return _assembled(jobs.withColumn("ends", ends).select("job_id", F.inline(parts)), p, separator)
+    return _cut(_jobs(candidates), ends, p, separator)
 
 
 def translatable(segments: DataFrame) -> DataFrame:

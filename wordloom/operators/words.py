@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.text import invented, nonblank, strip
 from wordloom.operators.folds import RUN_GAP, accepted
+from wordloom.storage import dealt_fine
 
 #: A run of at least so many bytes that compresses by more than this factor is a stuck decoder's.
 DEGENERATE_BYTES, DEGENERATE_RATIO = 40, 2.4
@@ -113,9 +114,10 @@ def from_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     Durations and gaps are integers of milliseconds computed from key, place and length; rare
     gaps are long or negative. Times divide once, so any engine gets the same doubles. Texts
     are dealt by job before they are split: what follows needs its rows by job, and whole texts
-    shuffle smaller than their words.
+    shuffle smaller than their words. A text's words take some twenty times its bytes, so partitions are small.
     """
-    jobs = docs.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("text").alias("text"))
+    known = dealt_fine(docs.filter(F.col(key).isNotNull()).select(key, "text"), docs, key)
+    jobs = known.groupBy(key).agg(F.min("text").alias("text"))
     split = jobs.select(F.col(key).alias("job_id"), F.posexplode(F.filter(F.split("text", r"[ \t\n]+"), lambda x: x != "")).alias("word_index", "text"))
     h = (F.col("job_id") * 7919 + F.col("word_index") * 104729) % 1000
     gap = F.when(h < 5, 2500).when(h < 20, 900).when(h < 30, -40).otherwise(20 + h % 200)

@@ -23,6 +23,8 @@ BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 64 << 20
 HOT_ROWS, HOT_KEYS = 256, 20_000
 #: Rows of a range, about, where rows are dealt by range; their number follows the counted rows.
 ROWS_PER_RANGE = 200_000
+#: Of stored input, where each text becomes many rows: bytes of a partition. Unknown sizes count as at least UNKNOWN_BYTES.
+BYTES_PER_PART, UNKNOWN_BYTES = 2 << 20, 1 << 50
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -152,6 +154,18 @@ def join_skewed(many: DataFrame, one: DataFrame, key: str, spread: Column, how:
     return join_dealt(many, one, key, hot_keys(many, key), spread, how)
 
 
+def dealt_fine(df: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` to partitions that hold about 2 MB each of what ``stored``, the tables it comes from, takes as files.
+
+    For rows that grow manifold afterwards: adaptive execution joins partitions by the bytes that were shuffled, which
+    says nothing of the rows to come, and leaves these as they are. Where Spark doesn't know the size, its own number stays.
+    """
+    size = int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= UNKNOWN_BYTES:
+        return df.repartition(key)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // BYTES_PER_PART)), key)
+
+
 def running_total(df: DataFrame, group: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
     """Exclusive running sum of ``value`` within ``group``, in order; ``df`` is materialised.
 
