@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,7 +13,7 @@ from wordloom.functions.text import ends_sentence, language_name, punctuation_we
 from wordloom.operators.batches import Completer, complete
 from wordloom.operators.words import by_job
 from wordloom.params import Params
-from wordloom.storage import materialize
+from wordloom.storage import arrow_batches, materialize
 
 #: A pluggable boundary model: a job's joined text to a probability for each of its characters; it may raise.
 Detector = Callable[[str], list[float]]
@@ -60,25 +61,37 @@ def probabilities_at_words(words: DataFrame, char_probs: DataFrame, separator: s
             .withColumn("probability", F.try_element_at("probs", at)).drop("last", "probs"))
 
 
+def _at_words(probs: list[float], texts: list[str], separator: str) -> list[float | None]:
+    """As :func:`probabilities_at_words`, for one job."""
+    last = itertools.accumulate(len(x) + len(separator) for x in texts)
+    return [probs[max(0, min(n - len(separator), len(probs)) - 1)] if probs else None for n in last]
+
+
 def detected(words: DataFrame, detector: Detector, separator: str = " ") -> tuple[DataFrame, DataFrame]:
-    """Words with ``probability``, and warnings of the jobs where the detector failed: there it is null."""
-    texts = words.groupBy("job_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("word_index", "text"))), lambda w: w["text"]), separator).alias("text"))
+    """Words with ``probability``, and warnings of the jobs where the detector failed: there it is null.
+
+    Of what the detector says of a job's characters, only what its words need is kept.
+    """
+    said = words.filter("text is not null").groupBy("job_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("word_index", "text"))), lambda w: w["text"]).alias("texts"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for job, text in frame[["job_id", "text"]].itertuples(index=False):
+            for job, texts in frame[["job_id", "texts"]].itertuples(index=False):
                 try:
-                    rows.append((job, [float(x) for x in detector(text)], None))
+                    rows.append((job, _at_words([float(x) for x in detector(separator.join(texts))], texts, separator), None))
                 except Exception as e:  # the job's boundaries then rest on marks and pauses
                     rows.append((job, None, str(e) or type(e).__name__))
-            yield pd.DataFrame(rows, columns=["job_id", "probs", "error"])
+            yield pd.DataFrame(rows, columns=["job_id", "at_words", "error"])
 
-    found = materialize(texts.mapInPandas(run, "job_id long, probs array<double>, error string"), "detected")
+    with arrow_batches(words.sparkSession):
+        found = materialize(said.mapInPandas(run, "job_id long, at_words array<double>, error string"), "detected")
     warnings = found.filter("error is not null").select("job_id", F.lit("segment").alias("stage"), F.concat(F.lit("No boundary model: "), "error").alias("message"),
                                                         F.lit(None).cast("int").alias("seg_index"))
-    return probabilities_at_words(words, found.select("job_id", "probs"), separator), warnings
+    place = F.count("text").over(by_job("word_index").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    out = words.withColumn("__place", F.greatest(F.lit(1), place)).join(found.select("job_id", "at_words"), "job_id", "left")
+    return out.withColumn("probability", F.try_element_at("at_words", F.col("__place"))).drop("__place", "at_words"), warnings
 
 
 def ambiguous(candidates: DataFrame, p: Params) -> DataFrame:
