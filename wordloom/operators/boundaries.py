@@ -110,12 +110,22 @@ def arbiter_batches(candidates: DataFrame, p: Params, size: int = 25, before: in
 
 
 def arbiter_prompts(batches: DataFrame, words: DataFrame, separator: str = " ") -> DataFrame:
-    """Batches with ``tokens``: ``[index]text`` of the window's words. Places explode, so words join by equality."""
-    shown = (batches.withColumn("word_index", F.explode(F.sequence("low", F.col("high") - 1)))
-             .join(words.select("job_id", "word_index", "text"), ["job_id", "word_index"]))
-    token = F.concat(F.lit("["), F.col("word_index"), F.lit("]"), F.col("text"))
-    return shown.groupBy("job_id", "batch", "asked").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("word_index", token.alias("token")))), lambda x: x["token"]), separator).alias("tokens"))
+    """Batches with ``tokens``: ``[index]text`` of the window's words.
+
+    A job's words meet its batches as one array, so nothing but jobs is joined and no word is repeated on the way.
+    """
+    spoken = words.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("word_index", "text"))).alias("spoken"))
+    place = F.col("spoken.word_index")
+    first, last = F.array_min(place), F.array_max(place)
+    dense = (last - first + 1 == F.size(place)) & (F.size(F.array_distinct(place)) == F.size(place))
+    spoken = spoken.withColumns({"__first": first, "__end": last + 1, "__dense": dense})
+    low, high = F.greatest("low", "__first"), F.least("high", "__end")
+    # Where no place is missing or repeated, the window is a slice; elsewhere it is looked for.
+    shown = F.when(F.col("__dense"), F.slice("spoken", (low - F.col("__first") + 1).cast("int"), F.greatest(F.lit(0), high - low).cast("int"))).otherwise(
+        F.filter("spoken", lambda w: (w["word_index"] >= F.col("low")) & (w["word_index"] < F.col("high"))))
+    token = lambda w: F.concat(F.lit("["), w["word_index"], F.lit("]"), w["text"])
+    return (batches.join(spoken, "job_id").withColumn("tokens", F.array_join(F.transform(shown, token), separator))
+            .select("job_id", "batch", "asked", "tokens"))
 
 
 def arbiter_requests(prompts: DataFrame, lang: Column) -> DataFrame:
@@ -144,7 +154,8 @@ def arbitrate(candidates: DataFrame, completer: Completer | None, p: Params, lan
     if completer is None or not p.llm_arbitration:
         return candidates
     batches = arbiter_requests(arbiter_prompts(arbiter_batches(candidates, p), candidates, separator), lang if lang is not None else F.lit("en"))
-    replies = materialize(complete(batches.select("job_id", "batch", "asked", "prompt"), completer, ARBITER, ARBITER_TEMPERATURE), "arbitrated")
+    with arrow_batches(candidates.sparkSession):
+        replies = materialize(complete(batches.select("job_id", "batch", "asked", "prompt"), completer, ARBITER, ARBITER_TEMPERATURE).drop("prompt"), "arbitrated")
     return apply_arbitration(candidates, confirmed_places(replies.withColumn("boundaries", read_boundaries(F.col("reply")))), p)
 
 
@@ -158,12 +169,15 @@ def confirmed_places(replies: DataFrame) -> DataFrame:
 
 
 def apply_arbitration(candidates: DataFrame, confirmed: DataFrame, p: Params) -> DataFrame:
-    """Candidates whose ambiguous scores are moved over or under the threshold, with source ``llm``."""
+    """Candidates whose ambiguous scores are moved over or under the threshold, with source ``llm``.
+
+    A job's confirmed places come as one array, which only its ambiguous words look into, so words aren't shuffled.
+    """
     gray = (F.col("score") >= p.gray_low) & (F.col("score") < p.gray_high) & (F.col("source") != "eof")
-    said = confirmed.select("job_id", "word_index", F.lit(True).alias("agreed")).distinct()
-    moved = (F.when(F.col("agreed"), F.greatest("score", F.lit(p.sat_threshold + 0.1)))
+    said = confirmed.groupBy("job_id").agg(F.collect_set(F.col("word_index").cast("long")).alias("confirmed"))
+    moved = (F.when(F.coalesce(F.array_contains("confirmed", F.col("word_index").cast("long")), F.lit(False)), F.greatest("score", F.lit(p.sat_threshold + 0.1)))
              .otherwise(F.least("score", F.lit(p.sat_threshold - 0.1))))
-    return (candidates.join(said, ["job_id", "word_index"], "left").withColumn("gray", gray)
+    return (candidates.join(said, "job_id", "left").withColumn("gray", gray)
             .withColumns({"score": F.when(F.col("gray"), moved).otherwise(F.col("score")),
                           "source": F.when(F.col("gray"), "llm").otherwise(F.col("source"))})
-            .drop("agreed", "gray"))
+            .drop("confirmed", "gray"))
