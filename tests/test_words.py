@@ -83,3 +83,11 @@ def test_collect_drops_credits_and_sorts(spark):
 
 def test_empty(spark):
     assert words.collect_words(spark.createDataFrame([], CHUNKS)).count() == 0
+
+
+def test_collected_words_shuffle_once(spark):
+    """Words are put in order inside their job's array; a window after the Python fold would shuffle them all again."""
+    rows = chunks(spark, ("b", 5.0, 5.5), ("a", 0.0, 0.5), ("c", 5.0, 5.2))
+    made = words.collect_words(rows, stuck=False)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [(r["word_index"], r["text"]) for r in made.orderBy("word_index").collect()] == [(0, "a"), (1, "c"), (2, "b")]
