@@ -3,6 +3,8 @@ import pytest
 import sound
 from pyspark.sql import functions as F
 
+from wordloom import queries
+from wordloom.operators import segments
 from wordloom.params import Params
 from wordloom.plans import cuts, dub, edits, render, stages
 from wordloom.sources import wav
@@ -105,6 +107,18 @@ def test_preview_of_a_late_segment(spark):
     assert first(False)["src_start"] == pytest.approx(13.9) and first(True)["src_start"] == 0.0
 
 
+def test_list_of_an_excerpt_without_a_join(spark):
+    """Segments are chosen where they are: the list isn't computed twice, and equal ids of a job choose nothing else."""
+    made = cut(spark, [[(float(i), i + 0.6)] for i in range(1, 12, 2)], kinds={1: "skip"})
+    listed = lambda rows, chosen: sorted(map(tuple, edits.clips(rows, Params(), selected=chosen).drop("segment_id").collect()), key=str)
+    for index, places in ((0, [0, 2]), (2, [2, 3, 4]), (9, [4, 5])):
+        chosen = made.filter(F.col("seg_index").isin(places)).select("job_id", "id")
+        assert listed(made, segments.in_excerpt(index)) == listed(made, chosen)
+        assert listed(made.withColumn("id", F.lit("same")), segments.in_excerpt(index)) == listed(made, chosen)
+        assert [r["seg_index"] for r in segments.excerpt(made, index).orderBy("seg_index").collect()] == places
+    assert "Join" not in queries.excerpt_list(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_zero_gaps_emit_no_silence(spark):
     rows = edits.clips(cut(spark, SIMPLE), Params(pre_gap=0.0))
     assert rows.filter("kind = 'silence'").count() == 3 and edits.violations(rows).isEmpty()

@@ -98,10 +98,15 @@ def summary(segments: DataFrame, warnings: DataFrame | None = None) -> DataFrame
     return counted.join(told, "job_id", "left").fillna(0, ["warnings"])
 
 
-def excerpt(segments: DataFrame, index: int, context: int = 1) -> DataFrame:
-    """Speech segments around the ``index``-th, which is clamped to what each job has."""
-    rank = F.row_number().over(by_job("seg_index")) - 1
-    ranked = segments.filter("kind = 'speech'").withColumn("rank", rank)
-    n = F.count(F.lit(1)).over(Window.partitionBy("job_id"))
+def in_excerpt(index: int, context: int = 1) -> Column:
+    """Whether a segment is speech and around its job's ``index``-th speech, which is clamped to what the job has."""
+    speech = F.col("kind") == "speech"
+    rank = F.count_if(speech).over(by_job("seg_index").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    n = F.count_if(speech).over(Window.partitionBy("job_id"))
     at = F.greatest(F.lit(0), F.least(F.lit(index), n - 1))
-    return ranked.withColumn("at", at).filter(F.abs(F.col("rank") - F.col("at")) <= context).drop("at", "rank")
+    return speech & (F.abs(rank - at) <= context)
+
+
+def excerpt(segments: DataFrame, index: int, context: int = 1) -> DataFrame:
+    """Speech segments around the ``index``-th, as :func:`in_excerpt` has them."""
+    return segments.withColumn("__in", in_excerpt(index, context)).filter("__in").drop("__in")

@@ -26,7 +26,7 @@ def _clip(order: int, kind: str, duration: Column, **values: Column) -> Column:
 
 
 def parts(cut_segments: DataFrame, p: Params, *, keep_bridge: Column | None = None, keep_outro: Column | None = None,
-          selected: DataFrame | None = None, bridge_from_zero: bool = False) -> DataFrame:
+          selected: DataFrame | Column | None = None, bridge_from_zero: bool = False) -> DataFrame:
     """What each segment puts into the list: ``job_id, seg_index, media_end, hard, part`` and a clip's fields.
 
     Each segment gives up to five clips: a bridge over a long gap before it, its own sound, and
@@ -34,12 +34,15 @@ def parts(cut_segments: DataFrame, p: Params, *, keep_bridge: Column | None = No
     no length.
 
     ``keep_bridge`` and ``keep_outro`` say whether the sound there has content (true without
-    them). ``selected`` (``job_id, id``) restricts the list and drops the outro; the first
-    selected segment's bridge then starts at the end of the segment before it, or at zero with
-    ``bridge_from_zero``.
+    them). ``selected`` (a table of ``job_id, id``, or a column that says so of each segment and
+    needs no join) restricts the list and drops the outro; the first selected segment's bridge then
+    starts at the end of the segment before it, or at zero with ``bridge_from_zero``.
     """
     whole = previous_out(cut_segments.withColumn("__last", F.lead("seg_index").over(by_job("seg_index")).isNull()))
-    rows = whole if selected is None else whole.join(selected.select("job_id", "id"), ["job_id", "id"], "left_semi")
+    if isinstance(selected, Column):
+        rows = whole.withColumn("__in", selected).filter("__in")
+    else:
+        rows = whole if selected is None else whole.join(selected.select("job_id", "id"), ["job_id", "id"], "left_semi")
     if selected is not None and bridge_from_zero:
         rows = previous_out(rows.drop("prev_out"))
     spoken = (F.col("kind") == "speech") & F.col("tts_path").isNotNull() & (F.coalesce("translation", F.lit("")) != "")

@@ -330,9 +330,7 @@ def plan_violations(spark, sf_dir):
 
 def excerpt_list(spark, sf_dir):
     """The edit list of the segments around each job's fourth."""
-    made = _cut(spark, sf_dir)
-    around = segments.excerpt(made, 3).select("job_id", "id")
-    return edits.clips(made, P, selected=around).select("job_id", "clip_index", "kind", _rounded("out_start"), _rounded("duration"), _rounded("src_start"), "fade_in")
+    return edits.clips(_cut(spark, sf_dir), P, selected=segments.in_excerpt(3)).select("job_id", "clip_index", "kind", _rounded("out_start"), _rounded("duration"), _rounded("src_start"), "fade_in")
 
 
 def freeze_times(spark, sf_dir):
